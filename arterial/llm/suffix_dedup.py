@@ -2,17 +2,18 @@
 
 1. Each document's windows of ``length`` bytes are cut into runs with the same minimizer (the smallest
    hash of the ``GRAM``-byte strings inside the window). Equal windows have equal minimizers, so equal
-   windows always meet. Runs are dealt by minimizer in blobs, and those whose minimizer occurs in one
-   document alone are dropped.
+   windows always meet. Runs are dealt by minimizer in packed blobs, and those whose minimizer occurs
+   in one document alone are dropped.
 2. The bytes of the remaining runs go to the shard of their minimizer. A shard's suffix array is built
    by induced sorting, and permuted common prefixes of ``length`` or more tie equal windows together;
    all but those of the smallest document are marked.
 3. Marked windows are united for each document and their bytes removed.
 
-What many documents share is combined before each shuffle: a task sends one run for each minimizer it
-met in several documents, and one string for each set of equal strings, so a passage in a third of all
-documents adds a row for each task and not for each document. Buckets and shards are as many as the
-measured bytes need.
+Documents travel packed and compressed, by blocks of documents; steps 2 and 3 meet them in the same
+shuffle. What many documents share is combined before each shuffle: a task sends one run for each
+minimizer it met in several documents, and one string for each set of equal strings, so a passage in a
+third of all documents adds a row for each task and not for each document. Buckets, shards and blocks
+are as many as the measured bytes need.
 
 Defined cases: a null text is empty; shorter texts lose nothing; a null doc_id stands after all
 others; rows with equal doc_id never remove bytes of each other; repeated rows get equal results;
@@ -21,35 +22,35 @@ other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesops import NOISE, ODD, U, binary, buffers, mix, pieces
+from .bytesops import NOISE, ODD, U, buffers, mix, pieces
 from .common import stored, text_key
 from .suffix_array import common_prefixes, suffix_array
 
-GRAM = 16
+#: Short grams are met by chance in many documents, long ones leave short windows of grams and more runs.
+GRAM = 26
 SLICE = 1 << 20
-#: Bytes of entries in a bucket, of strings in a shard.
+#: Bytes of entries in a bucket, of strings in a shard, of texts in a block.
 BUCKET_BYTES = 16 << 20
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 3 << 20
+BLOCK_BYTES = 8 << 20
 
-RUN = np.dtype([("pos", "<u4"), ("n", "<u4"), ("hash", "<u8")])
 SPAN = np.dtype([("pos", "<u4"), ("n", "<u4")])
+SCHEMA = "bucket long, kind int, blob binary"
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of the ``GRAM`` (16) bytes from each place on."""
+    """A hash of the ``GRAM`` bytes (16 to 32) from each place on: two overlapping halves of 16."""
     h = NOISE[data]
     k = 1
-    while k < GRAM:
+    while k < 16:
         h = h[:-k] * ODD[k] + h[k:]
         k *= 2
-    return mix(h)
+    return mix(h[: len(h) - (GRAM - 16)] * ODD[50] + h[GRAM - 16 :])
 
 
 def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
@@ -85,9 +86,10 @@ def minimizer_runs(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.n
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays with their lengths and types, compressed."""
+    """Arrays with their lengths and types, byte plane by byte plane and compressed."""
     head = np.array([len(arrays), *(x for a in arrays for x in (len(a), a.dtype.itemsize))], "<i8").tobytes()
-    raw = head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
+    planes = (np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b"" for a in arrays)
+    raw = head + b"".join(planes)
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
@@ -97,49 +99,57 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     head = np.frombuffer(raw, "<i8", 2 * n, 8).reshape(-1, 2)
     out, at = [], 8 + 16 * n
     for count, width in head.tolist():
-        out.append(np.frombuffer(raw, f"<u{width}", count, at))
+        planes = np.frombuffer(raw, np.uint8, count * width, at).reshape(width, count)
+        out.append(np.ascontiguousarray(planes.T).view(f"<u{width}").ravel() if width > 1 else planes.ravel())
         at += count * width
     return out
 
 
-def _rows(key: int, ids: np.ndarray, hashes: np.ndarray, which: np.ndarray, records: np.ndarray, bucket: int) -> pa.RecordBatch:
-    """One row for each document of ``which`` (sorted), with its records."""
-    cut = np.flatnonzero(np.concatenate(([True], which[1:] != which[:-1]))) if len(which) else np.zeros(0, np.int64)
-    off = np.append(cut, len(which)) * records.dtype.itemsize
-    own = which[cut]
-    m = len(own)
-    return pa.record_batch(
-        {
-            "bucket": pa.array(np.full(m, bucket, np.int64) if bucket >= 0 else (ids[own] & 0xFFFF).astype(np.int64)),
-            "kind": pa.array(np.full(m, key, np.int32)),
-            "doc_id": pa.array(ids[own]),
-            "th": pa.array(hashes[own]),
-            "blob": binary(records, off),
-        }
-    )
+def _out(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    bucket, kind, blob = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.record_batch({"bucket": pa.array(bucket, pa.int64()), "kind": pa.array(kind, pa.int32()), "blob": pa.array(blob, pa.binary())})
+
 
+def _grouped(keys: np.ndarray):
+    """(key, places) for each distinct key, places rising."""
+    if not len(keys):
+        return
+    order = np.argsort(keys, kind="stable")
+    s = keys[order]
+    cut = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))).tolist()
+    for a, b in zip(cut, [*cut[1:], len(s)], strict=True):
+        yield int(s[a]), order[a:b]
 
-SCHEMA = "bucket long, kind int, doc_id long, th long, blob binary"
 
+def _to_blocks(ids: np.ndarray, hashes: np.ndarray, block: np.ndarray, which: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    """Entries (``columns``, of documents ``which``) packed for the blocks of their documents."""
+    rows = []
+    for k, at in _grouped(block[which]):
+        docs, local = np.unique(which[at], return_inverse=True)
+        own = (ids[docs].view("<u8"), hashes[docs].view("<u8"), local.astype("<u4"), *(c[at] for c in columns))
+        rows.append((k, 1, pack(*own)))
+    return _out(rows)
 
-def _blob_row(bucket: int, blob: bytes) -> pa.RecordBatch:
-    return pa.record_batch(
-        {
-            "bucket": pa.array([bucket], pa.int64()),
-            "kind": pa.array([0], pa.int32()),
-            "doc_id": pa.array([0], pa.int64()),
-            "th": pa.array([0], pa.int64()),
-            "blob": pa.array([blob], pa.binary()),
-        }
-    )
 
+def _from_blobs(blobs: list[bytes], columns: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Ids and hashes of all documents of some blobs, the document of each entry and the entries' columns."""
+    docs, which, rest, base = [], [], [], 0
+    for blob in blobs:
+        ids, hashes, local, *own = unpack(blob)
+        docs.append((ids.view(np.int64), hashes.view(np.int64)))
+        which.append(local.astype(np.int64) + base)
+        rest.append(own[:columns])
+        base += len(ids)
+    ids, hashes = (np.concatenate(x) for x in zip(*docs, strict=True))
+    return ids, hashes, np.concatenate(which), [np.concatenate(x) for x in zip(*rest, strict=True)]
 
-def _send_runs(length: int, buckets: int, most: int = 8 << 20):
-    """Kernel 1: documents to blobs of runs by bucket, and runs that are shared inside the slice."""
+
+def _send_runs(length: int, buckets: int, most: int = 4 << 20):
+    """Kernel 1: documents to blobs of runs by bucket; runs shared inside the slice go on to the blocks."""
 
     def work(batches):
         for batch in pieces(batches, "text", most):
-            ids, hashes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "th"))
+            ids, hashes, block = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "th", "block"))
             parts, base = [], 0
             for piece in pieces([batch], "text", SLICE):
                 row, pos, n, h = minimizer_runs(*buffers(piece.column("text")), length)
@@ -148,6 +158,8 @@ def _send_runs(length: int, buckets: int, most: int = 8 << 20):
             row, pos, n, h = (np.concatenate(x) for x in zip(*parts, strict=True))
             if not len(row):
                 continue
+            h >>= U(16)
+            pos, n = pos.astype("<u4"), n.astype("<u4")
             order = np.argsort(h, kind="stable")  # rows rise inside a group
             group = h[order]
             first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
@@ -158,51 +170,34 @@ def _send_runs(length: int, buckets: int, most: int = 8 << 20):
             flag[order] = np.repeat(several, size)
             send = flag == 0
             send[order[first]] = True
-            if flag.any():
-                w = np.flatnonzero(flag)
-                yield _rows(1, ids, hashes, row[w], np.rec.fromarrays([pos[w], n[w], h[w]], dtype=RUN), -1)
+            hi, lo = (h >> U(16)).astype("<u4"), (h & U(0xFFFF)).astype("<u2")
+            w = np.flatnonzero(flag)
+            if len(w):
+                yield _to_blocks(ids, hashes, block, row[w], pos[w], n[w], hi[w], lo[w])
             w = np.flatnonzero(send)
-            b = (h[w] % U(buckets)).astype(np.int64)
-            for k, own in _grouped(b):
+            rows = []
+            for k, own in _grouped((h[w] % U(buckets)).astype(np.int64)):
                 own = w[own]
-                r = row[own]
-                docs, local = np.unique(r, return_inverse=True)
-                yield _blob_row(
-                    k,
-                    pack(
-                        (h[own] >> U(32)).astype("<u4"),
-                        (h[own] & U(0xFFFFFFFF)).astype("<u4"),
-                        np.diff(local, prepend=0).astype("<u4"),
-                        pos[own].astype("<u4"),
-                        n[own].astype("<u4"),
-                        flag[own],
-                        ids[docs].view("<u8"),
-                        hashes[docs].view("<u8"),
-                    ),
-                )
+                docs, local = np.unique(row[own], return_inverse=True)
+                step = np.diff(pos[own].astype(np.int64), prepend=0).astype("<u4")
+                columns = (np.diff(local, prepend=0).astype("<u4"), step, n[own], hi[own], lo[own], flag[own])
+                rows.append((k, 0, pack(ids[docs].view("<u8"), hashes[docs].view("<u8"), block[docs].astype("<u4"), *columns)))
+            yield _out(rows)
 
     return work
 
 
-def _grouped(keys: np.ndarray):
-    """(key, places) for each distinct key, places rising."""
-    order = np.argsort(keys, kind="stable")
-    s = keys[order]
-    cut = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else []
-    for a, b in zip(cut, [*cut[1:], len(s)], strict=True):
-        yield int(s[a]), order[a:b]
-
-
 def _by_bucket(batches, handle):
     """Feed the blobs of one bucket after the other to ``handle``; rows of another kind pass through."""
     bucket, blobs = None, []
     for batch in batches:
         if not batch.num_rows:
             continue
-        kind = batch.column("kind").to_numpy()
-        if (kind != 0).any():
-            yield batch.filter(pa.array(kind != 0))
-        for k, blob in zip(*(batch.filter(pa.array(kind == 0)).column(c).to_pylist() for c in ("bucket", "blob")), strict=True):
+        other = batch.column("kind").to_numpy() != 0
+        if other.any():
+            yield batch.filter(pa.array(other))
+        own = batch.filter(pa.array(~other))
+        for k, blob in zip(own.column("bucket").to_pylist(), own.column("blob").to_pylist(), strict=True):
             if k != bucket and blobs:
                 yield from handle(blobs)
                 blobs = []
@@ -213,75 +208,99 @@ def _by_bucket(batches, handle):
 
 
 def _shared_runs(batches):
-    """Kernel 2: of each bucket, the runs whose minimizer occurs in several documents."""
+    """Kernel 2: of each bucket, the runs whose minimizer occurs in several documents, to the blocks."""
 
     def handle(blobs):
         cols, docs, base = [], [], 0
         for blob in blobs:
-            hi, lo, step, pos, n, flag, ids, hashes = unpack(blob)
-            cols.append((hi.astype(U) << U(32) | lo, np.cumsum(step.astype(np.int64)) + base, pos, n, flag))
-            docs.append((ids.view(np.int64), hashes.view(np.int64)))
+            ids, hashes, block, local, pos, n, hi, lo, flag = unpack(blob)
+            which = np.cumsum(local.astype(np.int64)) + base
+            cols.append((hi.astype(U) << U(16) | lo, which, np.cumsum(pos, dtype=np.uint32), n, hi, lo, flag))
+            docs.append((ids.view(np.int64), hashes.view(np.int64), block))
             base += len(ids)
-        h, doc, pos, n, flag = (np.concatenate(x) for x in zip(*cols, strict=True))
-        ids, hashes = (np.concatenate(x) for x in zip(*docs, strict=True))
+        h, doc, pos, n, hi, lo, flag = (np.concatenate(x) for x in zip(*cols, strict=True))
+        ids, hashes, block = (np.concatenate(x) for x in zip(*docs, strict=True))
         order = np.argsort(h, kind="stable")
         group = h[order]
         first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
         size = np.diff(np.append(first, len(order)))
         here = ids[doc[order]]
         shared = (np.minimum.reduceat(here, first) != np.maximum.reduceat(here, first)) | (np.maximum.reduceat(flag[order], first) > 0)
-        w = np.sort(order[np.repeat(shared, size) & (flag[order] == 0)])
         # flagged entries stand for runs that kernel 1 passed on by itself
-        yield _rows(1, ids, hashes, doc[w], np.rec.fromarrays([pos[w], n[w], h[w]], dtype=RUN), -1)
+        w = np.sort(order[np.repeat(shared, size) & (flag[order] == 0)])
+        yield _to_blocks(ids, hashes, block, doc[w], pos[w], n[w], hi[w], lo[w])
 
     yield from _by_bucket(batches, handle)
 
 
-def _send_strings(length: int, shards: int):
-    """Kernel 3: the bytes of shared runs to their shards; equal strings of a slice go once."""
+def _pack_documents(batches):
+    """Documents packed by block."""
+    for batch in pieces(batches, "text", 4 << 20):
+        ids, hashes, block = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "th", "block"))
+        data, off = buffers(batch.column("text"))
+        raw = data.tobytes()
+        rows = []
+        for k, at in _grouped(block):
+            texts = [raw[off[r] : off[r + 1]] for r in at.tolist()]
+            sizes = (off[at + 1] - off[at]).astype("<u8")
+            rows.append((k, 2, pack(ids[at].view("<u8"), hashes[at].view("<u8"), sizes, np.frombuffer(b"".join(texts), np.uint8))))
+        yield _out(rows)
+
+
+def _documents(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """Ids, hashes, offsets and all bytes of a block's documents."""
+    ids, hashes, sizes, texts = [], [], [np.zeros(1, np.int64)], []
+    for blob in table.column("blob").to_pylist():
+        i, h, n, t = unpack(blob)
+        ids.append(i.view(np.int64))
+        hashes.append(h.view(np.int64))
+        sizes.append(n.astype(np.int64))
+        texts.append(t.tobytes())
+    z = np.zeros(0, np.int64)
+    return np.concatenate([z, *ids]), np.concatenate([z, *hashes]), np.cumsum(np.concatenate(sizes)), b"".join(texts)
 
-    def work(batches):
-        for batch in batches:
-            for piece in pieces([batch], "text", SLICE):
-                data, off = buffers(piece.column("text"))
-                raw = data.tobytes()
-                ids, hashes = (piece.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "th"))
-                runs, which = [], []
-                for r, blobs in enumerate(piece.column("blobs").to_pylist()):
-                    own = np.frombuffer(b"".join(blobs), RUN)
-                    runs.append(own)
-                    which.append(np.full(len(own), r))
-                run, row = np.concatenate(runs), np.concatenate(which)
-                start = off[row] + run["pos"]
-                end = start + run["n"] + (length - 1)
-                strings = [raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-                least: dict[bytes, int] = {}
-                own = ids[row]
-                for s, d in zip(strings, own.tolist(), strict=True):
-                    if d < least.setdefault(s, d):
-                        least[s] = d
-                low = np.fromiter((least[s] for s in strings), np.int64, len(strings))
-                late = np.flatnonzero(own > low)
-                if len(late):
-                    yield _rows(1, ids, hashes, row[late], np.rec.fromarrays([run["pos"][late], run["n"][late]], dtype=SPAN), -1)
-                w = np.flatnonzero(own == low)
-                for k, at in _grouped((run["hash"][w] % U(shards)).astype(np.int64)):
-                    at = w[at]
-                    docs, local = np.unique(row[at], return_inverse=True)
-                    text = b"".join([strings[i] for i in at.tolist()])
-                    yield _blob_row(
-                        k,
-                        pack(
-                            local.astype("<u4"), run["pos"][at], run["n"][at], ids[docs].view("<u8"), hashes[docs].view("<u8"),
-                            np.frombuffer(text, np.uint8),
-                        ),
-                    )
+
+def _send_strings(length: int, shards: int):
+    """Kernel 3: the bytes of shared runs of a block to their shards; equal strings of a block go once."""
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not right.num_rows or not left.num_rows:
+            return pa.Table.from_batches([_out([])])
+        ids, hashes, off, raw = _documents(left)
+        number = {key: r for r, key in enumerate(zip(ids.tolist(), hashes.tolist(), strict=True))}
+        own_ids, own_hashes, doc, (pos, n, hi, lo) = _from_blobs(right.column("blob").to_pylist(), 4)
+        place = np.fromiter((number[k] for k in zip(own_ids.tolist(), own_hashes.tolist(), strict=True)), np.int64, len(own_ids))
+        row = place[doc]
+        start = off[row] + pos
+        end = start + n + (length - 1)
+        strings = [raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        own = ids[row]
+        least: dict[bytes, int] = {}
+        for s, d in zip(strings, own.tolist(), strict=True):
+            if d < least.setdefault(s, d):
+                least[s] = d
+        low = np.fromiter((least[s] for s in strings), np.int64, len(strings))
+        block = np.full(len(ids), left.column("bucket")[0].as_py())
+        out = []
+        late = np.flatnonzero(own > low)
+        if len(late):
+            out.append(_to_blocks(ids, hashes, block, row[late], pos[late], n[late]))
+        w = np.flatnonzero(own == low)
+        h = (hi[w].astype(U) << U(16) | lo[w]) % U(shards)
+        rows = []
+        for k, at in _grouped(h.astype(np.int64)):
+            at = w[at]
+            docs, local = np.unique(row[at], return_inverse=True)
+            text = np.frombuffer(b"".join([strings[i] for i in at.tolist()]), np.uint8)
+            head = (ids[docs].view("<u8"), hashes[docs].view("<u8"), local.astype("<u4"), pos[at], n[at])
+            rows.append((k, 0, pack(*head, block[:1].astype("<u8"), text)))
+        return pa.Table.from_batches([*out, _out(rows)])
 
     return work
 
 
-def marked_windows(strings: list[bytes], least: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each distinct string the starts of windows that occur in a string of a smaller document.
+def marked_windows(strings: list[bytes], least: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The starts of windows that occur in a string of a smaller document, and where those of each string begin.
 
     ``least``: the smallest document of each string. One induced suffix array over all strings, one
     value 1 after each of them, ties windows whose permuted common prefixes reach ``length``.
@@ -307,45 +326,45 @@ def marked_windows(strings: list[bytes], least: np.ndarray, length: int) -> list
     low = np.repeat(np.minimum.reduceat(own, first), np.diff(np.append(first, len(place)))) if len(place) else own
     hit = np.sort(place[own > low])
     cut = np.searchsorted(hit, start)
-    return [hit[a:b] - s for a, b, s in zip(cut[:-1].tolist(), cut[1:].tolist(), start[:-1].tolist(), strict=True)]
+    return hit - np.repeat(start[:-1], np.diff(cut)), cut
 
 
 def _mark(length: int):
-    """Kernel 4: the marked windows of each shard, as spans of window starts."""
+    """Kernel 4: the marked windows of each shard, as spans of window starts, to the blocks."""
 
     def handle(blobs):
-        entries, docs, base = [], [], 0
+        parts, blocks = [], []
         number: dict[bytes, int] = {}
         which: list[int] = []
         for blob in blobs:
-            local, pos, n, ids, hashes, text = unpack(blob)
-            entries.append((local.astype(np.int64) + base, pos, n))
-            docs.append((ids.view(np.int64), hashes.view(np.int64)))
-            base += len(ids)
+            ids, _, _, _, n, block, text = unpack(blob)
+            blocks.append(np.full(len(ids), block[0].astype(np.int64)))
             raw = text.tobytes()
             at = 0
             for size in (n.astype(np.int64) + (length - 1)).tolist():
                 which.append(number.setdefault(raw[at : at + size], len(number)))
                 at += size
-        doc, pos, n = (np.concatenate(x) for x in zip(*entries, strict=True))
-        ids, hashes = (np.concatenate(x) for x in zip(*docs, strict=True))
+        ids, hashes, doc, (pos, n) = _from_blobs(blobs, 2)
+        block = np.concatenate(blocks)
         string = np.array(which, np.int64)
         least = np.full(len(number), np.iinfo(np.int64).max)
         np.minimum.at(least, string, ids[doc])
-        marked = marked_windows(list(number), least, length)
-        late = ids[doc] > least[string]
-        row, first, count = [doc[late]], [pos[late]], [n[late]]
-        for i in np.flatnonzero(~late).tolist():
-            hit = marked[string[i]]
-            if len(hit):
-                cut = np.flatnonzero(np.diff(hit, prepend=-2) != 1)
-                row.append(np.full(len(cut), doc[i]))
-                first.append(pos[i] + hit[cut])
-                count.append(np.diff(np.append(cut, len(hit))))
-        row, first, count = np.concatenate(row), np.concatenate(first), np.concatenate(count)
-        order = np.argsort(row, kind="stable")
-        spans = np.rec.fromarrays([first[order], count[order]], dtype=SPAN)
-        yield _rows(1, ids, hashes, row[order], spans, -1)
+        hit, cut = marked_windows(list(number), least, length)
+        late = np.flatnonzero(ids[doc] > least[string])
+        parts.append((doc[late], pos[late], n[late]))
+        # spans of successive marked windows in each string, for the entries of its smallest document
+        head = np.concatenate(([True], np.diff(hit) != 1)) if len(hit) else np.zeros(0, bool)
+        head[cut[:-1][cut[:-1] < len(hit)]] = True
+        first = np.flatnonzero(head)
+        count = np.diff(np.append(first, len(hit)))
+        spans = np.searchsorted(first, cut)  # of each string
+        early = np.flatnonzero(ids[doc] == least[string])
+        many = np.diff(spans)[string[early]]
+        entry = np.repeat(early, many)
+        span = np.repeat(spans[string[early]] - np.cumsum(many) + many, many) + np.arange(len(entry))
+        parts.append((doc[entry], pos[entry] + hit[first[span]], count[span]))
+        row, start, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+        yield _to_blocks(ids, hashes, block, row, start.astype("<u4"), size.astype("<u4"))
 
     def work(batches):
         yield from _by_bucket(batches, handle)
@@ -364,62 +383,68 @@ def removed_ranges(spans: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
 
 
 def _cut(length: int):
-    def work(batches):
-        for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept")}
-            for doc, text, blobs in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "blobs")), strict=True):
-                raw = text.encode()
-                start = end = np.zeros(0, np.int64)
-                if blobs:
-                    start, end = removed_ranges(np.frombuffer(b"".join(blobs), SPAN), length)
-                kept, at = [], 0
-                for a, b in zip(start.tolist(), end.tolist(), strict=True):
-                    kept.append(raw[at:a])
-                    at = b
-                out["doc_id"].append(doc)
-                out["n_bytes"].append(len(raw))
-                out["n_removed"].append(int((end - start).sum()))
-                out["n_spans"].append(len(start))
-                out["kept"].append(b"".join([*kept, raw[at:]]))
-            yield pa.record_batch(
-                {c: pa.array(v, pa.binary() if c == "kept" else pa.int64()) for c, v in out.items()}
-            )
+    """Kernel 5: a block's documents without the bytes under their marked windows."""
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, hashes, off, raw = _documents(left)
+        spans: dict[tuple[int, int], np.ndarray] = {}
+        if right.num_rows:
+            own_ids, own_hashes, doc, (pos, n) = _from_blobs(right.column("blob").to_pylist(), 2)
+            both = np.rec.fromarrays([pos, n], dtype=SPAN)
+            number: dict[tuple[int, int], int] = {}
+            keys = zip(own_ids.tolist(), own_hashes.tolist(), strict=True)
+            doc = np.fromiter((number.setdefault(k, len(number)) for k in keys), np.int64, len(own_ids))[doc]
+            names = list(number)
+            spans = {names[k]: both[at] for k, at in _grouped(doc)}
+        none = np.zeros(0, np.int64)
+        kept, removed, runs = [], [], []
+        for r, key in enumerate(zip(ids.tolist(), hashes.tolist(), strict=True)):
+            start, end = removed_ranges(spans[key], length) if key in spans else (none, none)
+            out, at = [], off[r]
+            for a, b in zip((start + off[r]).tolist(), (end + off[r]).tolist(), strict=True):
+                out.append(raw[at:a])
+                at = b
+            kept.append(b"".join([*out, raw[at : off[r + 1]]]))
+            removed.append(int((end - start).sum()))
+            runs.append(len(start))
+        return pa.table(
+            {
+                "doc_id": pa.array(ids),
+                "n_bytes": pa.array(np.diff(off)),
+                "n_removed": pa.array(removed, pa.int64()),
+                "n_spans": pa.array(runs, pa.int64()),
+                "kept": pa.array(kept, pa.binary()),
+            }
+        )
 
     return work
 
 
-def _spans(docs: DataFrame, length: int) -> DataFrame:
-    """``doc_id, th, blobs``: spans of marked window starts of the documents that have some."""
-    if length < GRAM:
-        raise ValueError(f"length must be {GRAM} or more")
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = 1 + int(total * 0.06 * 16) // BUCKET_BYTES
-    n = max(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    runs = docs.mapInArrow(_send_runs(length, buckets), SCHEMA)
-    runs = runs.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_runs, SCHEMA)
-    runs = stored(runs.select("doc_id", "th", "blob"), "runs")
-    entries = (runs.agg(F.sum(F.octet_length("blob"))).first()[0] or 0) // RUN.itemsize
-    shards = 1 + entries * (length + 25) // SHARD_BYTES
-    n = max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    each = runs.groupBy("doc_id", "th").agg(F.collect_list("blob").alias("blobs"))
-    strings = docs.join(each, ["doc_id", "th"]).mapInArrow(_send_strings(length, shards), SCHEMA)
-    spans = strings.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_mark(length), SCHEMA)
-    return spans.groupBy("doc_id", "th").agg(F.collect_list("blob").alias("blobs"))
-
-
 def suffix_dedup(docs: DataFrame, length: int = 50) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (the remaining bytes) for each row of ``docs(doc_id, text)``."""
+    if length < GRAM:
+        raise ValueError(f"length must be {GRAM} or more")
     keyed = text_key(docs)
-    # not stored: both joins read one shuffle of the texts
-    out = keyed.join(_spans(keyed, length), ["doc_id", "th"], "left").select("doc_id", "text", "blobs")
-    cut = out.mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return cut.withColumn("doc_id", F.nullif("doc_id", F.lit((1 << 63) - 1)))
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = 1 + int(total * 2 / (length - GRAM + 1) * 16) // BUCKET_BYTES
+    keyed = keyed.withColumn("block", F.pmod(F.xxhash64("doc_id", "th"), F.lit(1 + total // BLOCK_BYTES)))
+    runs = keyed.mapInArrow(_send_runs(length, buckets), SCHEMA)
+    runs = runs.repartition(max(buckets, partitions), "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_runs, SCHEMA)
+    runs = stored(runs, "runs")
+    # a run's string is as long as a window and the run; packed entries are about 10 bytes
+    packed = runs.agg(F.sum(F.octet_length("blob"))).first()[0] or 0
+    shards = 1 + packed // 10 * (length + 25) // SHARD_BYTES
+    blocks = keyed.mapInArrow(_pack_documents, SCHEMA)  # both uses below read one shuffle
+    strings = blocks.groupBy("bucket").cogroup(runs.groupBy("bucket")).applyInArrow(_send_strings(length, shards), SCHEMA)
+    strings = strings.repartition(max(shards, partitions), "bucket").sortWithinPartitions("bucket")
+    spans = strings.mapInArrow(_mark(length), SCHEMA)
+    out = blocks.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(
+        _cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+    )
+    return out.withColumn("doc_id", F.nullif("doc_id", F.lit((1 << 63) - 1)))
 
 
 def kept_digest(cut: DataFrame) -> DataFrame:
     """The operator's result with the digest of the remaining bytes in place of them."""
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-
-
-def digest(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
