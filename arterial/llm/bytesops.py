@@ -126,3 +126,54 @@ def row_shingles(data: np.ndarray, off: np.ndarray, width: int = 5) -> tuple[np.
         own = words[first[r] : first[r + 1]]
         out[place[r]] = mix((own * ODD[1 : k + 1]).sum(dtype=U).reshape(1) + ODD[40 + k])[0]
     return out, place
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays with their lengths and types, byte plane by byte plane and compressed."""
+    head = np.array([len(arrays), *(x for a in arrays for x in (len(a), a.dtype.itemsize))], "<i8").tobytes()
+    planes = (np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b"" for a in arrays)
+    raw = head + b"".join(planes)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack(blob: bytes) -> list[np.ndarray]:
+    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    head = np.frombuffer(raw, "<i8", 2 * n, 8).reshape(-1, 2)
+    out, at = [], 8 + 16 * n
+    for count, width in head.tolist():
+        planes = np.frombuffer(raw, np.uint8, count * width, at).reshape(width, count)
+        out.append(np.ascontiguousarray(planes.T).view(f"<u{width}").ravel() if width > 1 else planes.ravel())
+        at += count * width
+    return out
+
+
+def grouped(keys: np.ndarray):
+    """(key, places) for each distinct key, places rising."""
+    if not len(keys):
+        return
+    order = np.argsort(keys, kind="stable")
+    s = keys[order]
+    cut = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))).tolist()
+    for a, b in zip(cut, [*cut[1:], len(s)], strict=True):
+        yield int(s[a]), order[a:b]
+
+
+def by_bucket(batches, handle):
+    """Feed the blobs of one bucket after the other to ``handle``; rows of another kind pass through."""
+    bucket, blobs = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        other = batch.column("kind").to_numpy() != 0
+        if other.any():
+            yield batch.filter(pa.array(other))
+        own = batch.filter(pa.array(~other))
+        for k, blob in zip(own.column("bucket").to_pylist(), own.column("blob").to_pylist(), strict=True):
+            if k != bucket and blobs:
+                yield from handle(blobs)
+                blobs = []
+            bucket = k
+            blobs.append(blob)
+    if blobs:
+        yield from handle(blobs)

@@ -8,10 +8,13 @@ n - ceil(t*n) + 1 ones. The order puts frequent shingles last (a matter of speed
 common lines and passages out of the lists. The boundary between both kinds is where enumerating
 would cost more than scanning (see :func:`boundary`).
 
-A list is never expanded into all its pairs. First each member meets the list's smallest set; exact
-checks of these pairs give links and components. Then only pairs that are in different components
-are checked, so nothing that could join two components is left out, and a group of n near copies
-costs n checks and not n * n.
+Postings travel packed, by buckets of their hash; a task sends one posting for each key it met in several
+documents, so a key in a third of all documents adds an entry for each task and not for each document.
+
+A list is never expanded into all its pairs. First each member meets the smallest set of its task or
+of the list. Exact checks of these pairs give links and components. Only lists where such a pair lies in
+two components go on, and there all pairs from different components are checked, so nothing that
+could join two components is left out, and a group of n near copies costs n checks and not n * n.
 
 Defined cases: a null or wordless text has the empty set, which links with nothing; a text of fewer
 words than a shingle has its whole word sequence as its only one; a null doc_id takes no part and
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesops import U, buffers, mix, pieces, row_shingles
+from .bytesops import U, buffers, by_bucket, grouped, mix, pack, pieces, row_shingles, unpack
 from .common import components, stored
 
 #: Cost of one scanned posting (its share of candidate checks) in units of one enumerated subset.
@@ -38,6 +41,8 @@ FREQUENT_IN_TASK = 4
 FREQUENT_MOST = 500_000
 #: Members of a leader's group checked by one task.
 GROUP = 256
+#: Bytes of a bucket of postings.
+BUCKET_BYTES = 16 << 20
 #: Texts are cut into slices of about this many bytes.
 SLICE = 1 << 20
 
@@ -59,42 +64,103 @@ def boundary(percent: int, scan_cost: int = SCAN_COST, most: int = 24) -> int:
     return n
 
 
-def _frequent(docs: DataFrame, width: int) -> np.ndarray:
-    """Shingles that some task meets in several documents, the most frequent first, sorted by value at the end."""
+def _sets(docs: DataFrame, width: int) -> DataFrame:
+    """For each row its doc_id, set size and fingerprint of 128 bits (kind 1); and shingles with the number of
+    documents in which one task met them, if that is ``FREQUENT_IN_TASK`` or more (kind 0)."""
 
-    def local(batches):
+    def work(batches):
         seen: list[np.ndarray] = []
         for batch in pieces(batches, "text", SLICE):
             h, place = row_shingles(*buffers(batch.column("text")), width)
-            row = np.repeat(np.arange(batch.num_rows), np.diff(place))
-            # a shingle counts once a document: hash and row together are made distinct
-            h = h[np.unique(h * U(31) + mix(row.astype(U)), return_index=True)[1]]
-            seen.append(h)
+            rows = batch.num_rows
+            n, f1, f2 = np.zeros(rows, np.int64), np.zeros(rows, U), np.zeros(rows, U)
+            distinct = []
+            for r in range(rows):
+                s = _distinct(h[place[r] : place[r + 1]])
+                distinct.append(s)
+                n[r] = len(s)
+            flat = np.concatenate(distinct)
+            some = np.flatnonzero(n)
+            if len(some):
+                first = (np.cumsum(n) - n)[some]
+                f1[some] = np.add.reduceat(mix(flat), first)
+                f2[some] = np.add.reduceat(mix(flat * U(0x9E3779B97F4A7C15) + U(1)), first)
+            yield _kinds(1, batch.column("doc_id"), n, f1.view(np.int64), f2.view(np.int64))
+            seen.append(flat)
             if len(seen) >= 16:
                 yield _counts(seen)
                 seen = []
         if seen:
             yield _counts(seen)
 
-    found = (
-        docs.select("text")
-        .mapInArrow(local, "s long, n long")
-        .groupBy("s")
-        .agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "s")
-        .limit(FREQUENT_MOST)
-    )
-    return np.sort(np.array([r[0] for r in found.select("s").collect()], np.int64).view(U))
+    return stored(docs.mapInArrow(work, "kind int, a long, b long, c long, d long"), "sets")
+
+
+def _distinct(h: np.ndarray) -> np.ndarray:
+    s = np.sort(h)
+    return s[np.concatenate(([True], s[1:] != s[:-1]))] if len(s) > 1 else s
+
+
+def _kinds(kind: int, a, b: np.ndarray, c: np.ndarray | None = None, d: np.ndarray | None = None) -> pa.RecordBatch:
+    columns = {x: pa.nulls(len(b), pa.int64()) if v is None else pa.array(v) if isinstance(v, np.ndarray) else v for x, v in zip("abcd", (a, b, c, d), strict=True)}
+    return pa.record_batch({"kind": pa.array(np.full(len(b), kind, np.int32))} | columns)
 
 
 def _counts(seen: list[np.ndarray]) -> pa.RecordBatch:
     value, n = np.unique(np.concatenate(seen), return_counts=True)
     keep = n >= FREQUENT_IN_TASK
-    return pa.record_batch({"s": pa.array(value[keep].view(np.int64)), "n": pa.array(n[keep].astype(np.int64))})
+    return _kinds(0, value[keep].view(np.int64), n[keep].astype(np.int64))
+
+
+def _frequent(sets: DataFrame) -> np.ndarray:
+    """The most frequent shingles, in the order of their hashes."""
+    found = sets.where("kind = 0").groupBy("a").agg(F.sum("b").alias("n")).orderBy(F.desc("n"), "a").limit(FREQUENT_MOST)
+    return np.sort(np.array([r[0] for r in found.select("a").collect()], np.int64).view(U))
+
+
+def _keys(h: np.ndarray, late: np.ndarray, masks: dict[int, np.ndarray], often: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
+    """Size of a document's set and what it posts; the lowest bit tells a subset's key from a shingle."""
+    s = _distinct(h)
+    n = len(s)
+    if not n:
+        return 0, s
+    subset = mix(masks[n] @ mix(s)) | U(1) if n in masks else s[:0]
+    if late.any():
+        mark = often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s
+        s = np.concatenate((s[~mark], s[mark]))
+    return n, np.concatenate((s[: n - needed(n, percent) + 1] & ~U(1), subset))
+
+
+MEMBERS = "bucket long, kind int, blob binary, key long, size long, doc_id long, size_a long, a long"
+
+
+def _members(key: np.ndarray, size: np.ndarray, doc: np.ndarray, size_a: np.ndarray, a: np.ndarray) -> pa.RecordBatch:
+    """Members of lists with the leading set they meet."""
+    n = len(key)
+    columns = {"key": key.view(np.int64), "size": size, "doc_id": doc, "size_a": size_a, "a": a}
+    head = {"bucket": pa.array(doc & 0xFFFF), "kind": pa.array(np.ones(n, np.int32)), "blob": pa.nulls(n, pa.binary())}
+    return pa.record_batch(head | {c: pa.array(v.astype(np.int64)) for c, v in columns.items()})
+
 
+def _lists(key: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order by (key, size, doc), where each list begins in it, and the lists' lengths."""
+    order = np.lexsort((doc, size, key))
+    k = key[order]
+    first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
+    return order, first, np.diff(np.append(first, len(k)))
 
-def _signatures(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """``doc_id, n, f1, f2, keys``: the set's size, its fingerprint of 128 bits and what it posts."""
+
+def _led(key: np.ndarray, size: np.ndarray, doc: np.ndarray, order: np.ndarray, first: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+    """All members of lists longer than one but the leading ones."""
+    keep = np.repeat(length > 1, length)
+    keep[first] = False
+    lead = order[np.repeat(first, length)][keep]
+    own = order[keep]
+    return _members(key[own], size[own], doc[own], size[lead], doc[lead])
+
+
+def _post(docs: DataFrame, width: int, percent: int, frequent: np.ndarray, buckets: int) -> DataFrame:
+    """The members of all lists with several: ``key, size, doc_id, size_a, a`` (the leading set's size and document)."""
     limit = boundary(percent)
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
@@ -102,54 +168,62 @@ def _signatures(docs: DataFrame, width: int, percent: int, frequent: np.ndarray)
         often = shared.value
         filter_bits = np.zeros(1 << 20, bool)
         filter_bits[(often >> U(44)).astype(np.int64)] = True
-        plans = {n: _subset_masks(n, percent) for n in range(1, limit + 1)}
-        for batch in pieces(batches, "text", SLICE):
-            h, place = row_shingles(*buffers(batch.column("text")), width)
-            late = np.zeros(len(h), bool)
-            maybe = np.flatnonzero(filter_bits[(h >> U(44)).astype(np.int64)])
-            if len(maybe) and len(often):
-                at = np.minimum(np.searchsorted(often, h[maybe]), len(often) - 1)
-                late[maybe] = often[at] == h[maybe]
-            sizes, keys, counts = [], [], []
-            f1, f2 = np.zeros(batch.num_rows, U), np.zeros(batch.num_rows, U)
-            for r in range(batch.num_rows):
-                a, b = place[r], place[r + 1]
-                s = h[a:b].copy()
-                s.sort()
-                if len(s) > 1:
-                    s = s[np.concatenate(([True], s[1:] != s[:-1]))]
-                n = len(s)
-                sizes.append(n)
-                if not n:
-                    counts.append(0)
-                    continue
-                f1[r] = mix(s).sum(dtype=U)
-                f2[r] = mix(s * U(0x9E3779B97F4A7C15) + U(n)).sum(dtype=U)
-                if late[a:b].any():
-                    mark = often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s
-                    s = np.concatenate((s[~mark], s[mark]))
-                own = [s[: n - needed(n, percent) + 1] & ~U(1)]
-                if n <= limit:  # the lowest bit tells a subset's key from a shingle
-                    own.append(mix(plans[n] @ mix(np.sort(s))) | U(1))
-                own = np.concatenate(own)
-                counts.append(len(own))
-                keys.append(own)
-            off = np.zeros(batch.num_rows + 1, np.int32)
-            np.cumsum(counts, out=off[1:])
-            flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
+        masks = {n: _subset_masks(n, percent) for n in range(1, limit + 1)}
+        for batch in pieces(batches, "text", 4 * SLICE):
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            sizes, keys = [], []
+            for piece in pieces([batch], "text", SLICE):
+                h, place = row_shingles(*buffers(piece.column("text")), width)
+                late = np.zeros(len(h), bool)
+                maybe = np.flatnonzero(filter_bits[(h >> U(44)).astype(np.int64)])
+                if len(maybe) and len(often):
+                    near = np.minimum(np.searchsorted(often, h[maybe]), len(often) - 1)
+                    late[maybe] = often[near] == h[maybe]
+                for r in range(piece.num_rows):
+                    own = slice(place[r], place[r + 1])
+                    n, k = _keys(h[own], late[own], masks, often, percent)
+                    sizes.append(n)
+                    keys.append(k)
+            count = np.fromiter(map(len, keys), np.int64, len(keys))
+            key = np.concatenate(keys)
+            size, doc = np.repeat(np.array(sizes, np.int64), count), np.repeat(ids, count)
+            if not len(key):
+                continue
+            order, first, length = _lists(key, size, doc)
+            yield _led(key, size, doc, order, first, length)
+            row = np.repeat(np.arange(len(ids)), count)
+            lead = order[first]
+            flag = (length > 1).astype(np.uint8)
+            back = np.argsort(lead)  # documents in their order
+            lead, flag = lead[back], flag[back]
+            out: list[tuple[int, bytes]] = []
+            for k, own in grouped((key[lead] % U(buckets)).astype(np.int64)):
+                at_ = lead[own]
+                docs_, local = np.unique(row[at_], return_inverse=True)
+                step = np.diff(local, prepend=0).astype("<u4")
+                n = np.array(sizes)[docs_].astype("<u4")
+                out.append((k, pack(ids[docs_].view("<u8"), n, key[at_], step, flag[own])))
+            bucket, blob = zip(*out, strict=True)
+            nulls = {c: pa.nulls(len(out), pa.int64()) for c in ("key", "size", "doc_id", "size_a", "a")}
             yield pa.record_batch(
-                {
-                    "doc_id": batch.column("doc_id"),
-                    "n": pa.array(np.array(sizes, np.int64)),
-                    "f1": pa.array(f1.view(np.int64)),
-                    "f2": pa.array(f2.view(np.int64)),
-                    "keys": pa.ListArray.from_arrays(pa.array(off), pa.array(flat)),
-                }
+                {"bucket": pa.array(bucket, pa.int64()), "kind": pa.array(np.zeros(len(out), np.int32)), "blob": pa.array(blob, pa.binary())} | nulls
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        work, "doc_id long, n long, f1 long, f2 long, keys array<long>"
-    )
+    def gather(blobs):
+        columns = []
+        for blob in blobs:
+            ids, n, key, step, _ = unpack(blob)
+            local = np.cumsum(step.astype(np.int64))
+            columns.append((key, n.astype(np.int64)[local], ids.view(np.int64)[local]))
+        key, size, doc = (np.concatenate(x) for x in zip(*columns, strict=True))
+        yield _led(key, size, doc, *_lists(key, size, doc))
+
+    def collect(batches):
+        yield from by_bucket(batches, gather)
+
+    n = max(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = docs.where("doc_id IS NOT NULL").mapInArrow(work, MEMBERS).repartition(n, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(collect, MEMBERS).select("key", "size", "doc_id", "size_a", "a")
 
 
 def _subset_masks(n: int, percent: int) -> np.ndarray:
@@ -165,7 +239,7 @@ def _checked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     need = dealt.select(F.col("b").alias("doc_id"), "a", "part", F.lit(1).alias("role")).union(
         dealt.select(F.col("a").alias("doc_id"), "a", "part", F.lit(0).alias("role")).distinct()
     )
-    texts = need.join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id")
+    texts = need.join(docs, "doc_id")
 
     def work(batches):
         lead, own = None, []
@@ -194,37 +268,44 @@ def _checked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``docs(doc_id, text)``."""
-    signatures = stored(_signatures(docs, width, percent, _frequent(docs, width)), "signatures")
     limit = boundary(percent)
-    sets = signatures.where("n > 0 AND doc_id IS NOT NULL")
-    reps = sets.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
-    posted = (
-        sets.join(reps, ["f1", "f2"])
-        .where("doc_id = rep")
-        .select("doc_id", F.col("n").alias("size"), F.explode("keys").alias("key"))
-    )
-    lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("size", "doc_id")).alias("lead"))
-    members = stored(posted.join(lists.where("members > 1"), "key"), "lists")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sets = _sets(docs, width)
+    frequent = _frequent(sets)
+    rows = sets.where("kind = 1").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("f1"), F.col("d").alias("f2"))
+    known = rows.where("n > 0 AND doc_id IS NOT NULL")
+    reps = known.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    copies = known.join(reps.where("copies > 1"), ["f1", "f2"]).where("doc_id <> rep").select(F.col("doc_id").alias("copy"), "rep").distinct()
+    copies = stored(copies, "copies")
+
+    shingles = known.agg(F.sum("n")).first()[0] or 0
+    buckets = 1 + shingles * (100 - percent + 1) // 100 * 16 // BUCKET_BYTES
+    members = _post(docs, width, percent, frequent, int(buckets))
+    lead = copies.select(F.col("copy").alias("copy_a"), F.col("rep").alias("rep_a"))
+    members = members.join(copies, F.col("doc_id") == F.col("copy"), "left").join(lead, F.col("a") == F.col("copy_a"), "left")
+    members = members.select("key", "size", F.coalesce("rep", "doc_id").alias("doc_id"), "size_a", F.coalesce("rep_a", "a").alias("a"))
+    members = stored(members.where("doc_id <> a"), "members")
 
     near = f"{percent} * greatest(size, size_a) <= 100 * least(size, size_a)"
     enumerated = f"(key & 1 = 1 OR greatest(size, size_a) > {limit})"
-    stars = (
-        members.select("key", "size", F.col("lead.size").alias("size_a"), F.col("lead.doc_id").alias("a"), F.col("doc_id").alias("b"))
-        .where("a <> b")
-        .where(near)
-        .where(enumerated)
-        .select("a", "b")
-        .distinct()
-    )
-    stars = stored(stars, "stars")
-    links = stored(_checked(stars, docs, width, percent), "links")
-    first = components(links)
-
-    placed = members.join(first, F.col("doc_id") == F.col("node"), "left").select(
-        "key", "size", "doc_id", F.coalesce("component", "doc_id").alias("component")
+    met = members.groupBy("a", F.col("doc_id").alias("b")).agg(F.max(F.expr(f"{near} AND {enumerated}")).alias("check"))
+    met = stored(met, "met")
+    own = members.select("doc_id").union(members.select("a")).distinct()
+    texts = stored(docs.join(own, "doc_id", "left_semi"), "texts")
+    links = stored(_checked(met.where("check").select("a", "b"), texts, width, percent), "links")
+    first = stored(components(links), "classes")
+
+    at_a, at_b = (first.select(F.col("node").alias(f"node_{x}"), F.col("component").alias(f"component_{x}")) for x in "ab")
+    of_a, of_b = F.coalesce("component_a", "a"), F.coalesce("component_b", "b")
+    apart = (
+        met.join(at_a, F.col("a") == F.col("node_a"), "left").join(at_b, F.col("b") == F.col("node_b"), "left").where(of_a != of_b)
     )
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    mixed = stored(placed.join(mixed.select("key"), "key"), "mixed")
+    apart = stored(apart.select(F.col("a").alias("a"), F.col("b").alias("doc_id")), "apart")
+    keys = stored(members.join(apart, ["a", "doc_id"]).select("key").distinct(), "keys")
+    mixed = members.join(keys, "key", "left_semi")
+    mixed = mixed.select("key", "size", "doc_id").union(mixed.select("key", "size_a", "a")).distinct()
+    mixed = mixed.join(first, F.col("doc_id") == F.col("node"), "left")
+    mixed = stored(mixed.select("key", "size", "doc_id", F.coalesce("component", "doc_id").alias("component")), "mixed")
     left = mixed.select("key", F.col("size").alias("size_a"), F.col("doc_id").alias("a"), F.col("component").alias("component_a"))
     rest = (
         left.join(mixed.withColumnRenamed("doc_id", "b"), "key")
@@ -234,15 +315,16 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         .select("a", "b")
         .distinct()
     )
-    rest = rest.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = stored(_checked(stored(rest, "rest"), docs, width, percent), "links")
+    done = met.where("check").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = stored(rest.join(done, ["a", "b"], "left_anti"), "rest")
+    more = stored(_checked(rest, texts, width, percent), "links")
     joined = components(links.union(more))
 
     classes = reps.join(joined, F.col("rep") == F.col("node"), "left").select(
         "f1", "f2", F.coalesce("component", "rep").alias("component_id")
     )
-    keyed = sets.join(classes, ["f1", "f2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = signatures.where("n = 0 OR doc_id IS NULL").select(
+    keyed = known.join(classes, ["f1", "f2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    alone = rows.where("n = 0 OR doc_id IS NULL").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).alias("component_id")
     )
     return keyed.union(alone)

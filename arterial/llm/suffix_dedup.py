@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesops import NOISE, ODD, U, buffers, mix, pieces
+from .bytesops import NOISE, ODD, U, buffers, by_bucket, grouped, mix, pack, pieces, unpack
 from .common import stored, text_key
 from .suffix_array import common_prefixes, suffix_array
 
@@ -85,46 +85,15 @@ def minimizer_runs(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.n
     return row, at - off[row], count, low[at]
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays with their lengths and types, byte plane by byte plane and compressed."""
-    head = np.array([len(arrays), *(x for a in arrays for x in (len(a), a.dtype.itemsize))], "<i8").tobytes()
-    planes = (np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b"" for a in arrays)
-    raw = head + b"".join(planes)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def unpack(blob: bytes) -> list[np.ndarray]:
-    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
-    n = int(np.frombuffer(raw, "<i8", 1)[0])
-    head = np.frombuffer(raw, "<i8", 2 * n, 8).reshape(-1, 2)
-    out, at = [], 8 + 16 * n
-    for count, width in head.tolist():
-        planes = np.frombuffer(raw, np.uint8, count * width, at).reshape(width, count)
-        out.append(np.ascontiguousarray(planes.T).view(f"<u{width}").ravel() if width > 1 else planes.ravel())
-        at += count * width
-    return out
-
-
 def _out(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     bucket, kind, blob = zip(*rows, strict=True) if rows else ((), (), ())
     return pa.record_batch({"bucket": pa.array(bucket, pa.int64()), "kind": pa.array(kind, pa.int32()), "blob": pa.array(blob, pa.binary())})
 
 
-def _grouped(keys: np.ndarray):
-    """(key, places) for each distinct key, places rising."""
-    if not len(keys):
-        return
-    order = np.argsort(keys, kind="stable")
-    s = keys[order]
-    cut = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))).tolist()
-    for a, b in zip(cut, [*cut[1:], len(s)], strict=True):
-        yield int(s[a]), order[a:b]
-
-
 def _to_blocks(ids: np.ndarray, hashes: np.ndarray, block: np.ndarray, which: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
     """Entries (``columns``, of documents ``which``) packed for the blocks of their documents."""
     rows = []
-    for k, at in _grouped(block[which]):
+    for k, at in grouped(block[which]):
         docs, local = np.unique(which[at], return_inverse=True)
         own = (ids[docs].view("<u8"), hashes[docs].view("<u8"), local.astype("<u4"), *(c[at] for c in columns))
         rows.append((k, 1, pack(*own)))
@@ -176,7 +145,7 @@ def _send_runs(length: int, buckets: int, most: int = 4 << 20):
                 yield _to_blocks(ids, hashes, block, row[w], pos[w], n[w], hi[w], lo[w])
             w = np.flatnonzero(send)
             rows = []
-            for k, own in _grouped((h[w] % U(buckets)).astype(np.int64)):
+            for k, own in grouped((h[w] % U(buckets)).astype(np.int64)):
                 own = w[own]
                 docs, local = np.unique(row[own], return_inverse=True)
                 step = np.diff(pos[own].astype(np.int64), prepend=0).astype("<u4")
@@ -187,26 +156,6 @@ def _send_runs(length: int, buckets: int, most: int = 4 << 20):
     return work
 
 
-def _by_bucket(batches, handle):
-    """Feed the blobs of one bucket after the other to ``handle``; rows of another kind pass through."""
-    bucket, blobs = None, []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        other = batch.column("kind").to_numpy() != 0
-        if other.any():
-            yield batch.filter(pa.array(other))
-        own = batch.filter(pa.array(~other))
-        for k, blob in zip(own.column("bucket").to_pylist(), own.column("blob").to_pylist(), strict=True):
-            if k != bucket and blobs:
-                yield from handle(blobs)
-                blobs = []
-            bucket = k
-            blobs.append(blob)
-    if blobs:
-        yield from handle(blobs)
-
-
 def _shared_runs(batches):
     """Kernel 2: of each bucket, the runs whose minimizer occurs in several documents, to the blocks."""
 
@@ -230,7 +179,7 @@ def _shared_runs(batches):
         w = np.sort(order[np.repeat(shared, size) & (flag[order] == 0)])
         yield _to_blocks(ids, hashes, block, doc[w], pos[w], n[w], hi[w], lo[w])
 
-    yield from _by_bucket(batches, handle)
+    yield from by_bucket(batches, handle)
 
 
 def _pack_documents(batches):
@@ -240,7 +189,7 @@ def _pack_documents(batches):
         data, off = buffers(batch.column("text"))
         raw = data.tobytes()
         rows = []
-        for k, at in _grouped(block):
+        for k, at in grouped(block):
             texts = [raw[off[r] : off[r + 1]] for r in at.tolist()]
             sizes = (off[at + 1] - off[at]).astype("<u8")
             rows.append((k, 2, pack(ids[at].view("<u8"), hashes[at].view("<u8"), sizes, np.frombuffer(b"".join(texts), np.uint8))))
@@ -288,7 +237,7 @@ def _send_strings(length: int, shards: int):
         w = np.flatnonzero(own == low)
         h = (hi[w].astype(U) << U(16) | lo[w]) % U(shards)
         rows = []
-        for k, at in _grouped(h.astype(np.int64)):
+        for k, at in grouped(h.astype(np.int64)):
             at = w[at]
             docs, local = np.unique(row[at], return_inverse=True)
             text = np.frombuffer(b"".join([strings[i] for i in at.tolist()]), np.uint8)
@@ -367,7 +316,7 @@ def _mark(length: int):
         yield _to_blocks(ids, hashes, block, row, start.astype("<u4"), size.astype("<u4"))
 
     def work(batches):
-        yield from _by_bucket(batches, handle)
+        yield from by_bucket(batches, handle)
 
     return work
 
@@ -395,7 +344,7 @@ def _cut(length: int):
             keys = zip(own_ids.tolist(), own_hashes.tolist(), strict=True)
             doc = np.fromiter((number.setdefault(k, len(number)) for k in keys), np.int64, len(own_ids))[doc]
             names = list(number)
-            spans = {names[k]: both[at] for k, at in _grouped(doc)}
+            spans = {names[k]: both[at] for k, at in grouped(doc)}
         none = np.zeros(0, np.int64)
         kept, removed, runs = [], [], []
         for r, key in enumerate(zip(ids.tolist(), hashes.tolist(), strict=True)):

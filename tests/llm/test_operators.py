@@ -252,7 +252,7 @@ def test_jaccard_matches_brute_force(spark):
     assert got == brute.jaccard(docs)
 
 
-@settings(max_examples=6, deadline=None)
+@settings(max_examples=3, deadline=None)
 @given(st.integers(0, 10_000))
 def test_jaccard_small_sets(spark, seed):
     rng = random.Random(seed)
