@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,18 +22,31 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary array and the offsets of its rows (nulls are empty)."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
-        column = column.cast(pa.large_string()).cast(pa.large_binary())
-    elif not pa.types.is_large_binary(column.type):
-        column = column.cast(pa.large_binary())
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     if column.null_count:
-        column = column.fill_null(b"")
-    off = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8) if len(column) else np.zeros(1, np.int64)
+        column = column.fill_null("" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    kind, width = (np.int64, 8) if wide else (np.int32, 4)
+    off = np.frombuffer(column.buffers()[1], kind, len(column) + 1, column.offset * width).astype(np.int64)
     raw = column.buffers()[2]
     data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
     return data[off[0] : off[-1]], off - off[0]
 
 
+def trimmed(work):
+    """The kernel ``work``; when it is done, its memory goes back to the system, not to the idle worker."""
+
+    def run(batches):
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return run
+
+
 def pieces(batches, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut into slices of about ``most`` bytes of ``column`` (a longer row stands alone)."""
     for batch in batches:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesops import U, buffers, by_bucket, grouped, mix, pack, pieces, row_shingles, unpack
+from .bytesops import U, buffers, by_bucket, grouped, mix, pack, pieces, row_shingles, trimmed, unpack
 from .common import components, stored
 
 #: Cost of one scanned posting (its share of candidate checks) in units of one enumerated subset.
@@ -42,7 +42,7 @@ FREQUENT_MOST = 500_000
 #: Members of a leader's group checked by one task.
 GROUP = 256
 #: Bytes of a bucket of postings.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 4 << 20
 #: Texts are cut into slices of about this many bytes.
 SLICE = 1 << 20
 
@@ -93,7 +93,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
         if seen:
             yield _counts(seen)
 
-    return stored(docs.mapInArrow(work, "kind int, a long, b long, c long, d long"), "sets")
+    return stored(docs.mapInArrow(trimmed(work), "kind int, a long, b long, c long, d long"), "sets")
 
 
 def _distinct(h: np.ndarray) -> np.ndarray:
@@ -107,9 +107,12 @@ def _kinds(kind: int, a, b: np.ndarray, c: np.ndarray | None = None, d: np.ndarr
 
 
 def _counts(seen: list[np.ndarray]) -> pa.RecordBatch:
-    value, n = np.unique(np.concatenate(seen), return_counts=True)
+    value = np.concatenate(seen)
+    value.sort()
+    first = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1]))) if len(value) else np.zeros(0, np.int64)
+    n = np.diff(np.append(first, len(value)))
     keep = n >= FREQUENT_IN_TASK
-    return _kinds(0, value[keep].view(np.int64), n[keep].astype(np.int64))
+    return _kinds(0, value[first[keep]].view(np.int64), n[keep])
 
 
 def _frequent(sets: DataFrame) -> np.ndarray:
@@ -169,7 +172,7 @@ def _post(docs: DataFrame, width: int, percent: int, frequent: np.ndarray, bucke
         filter_bits = np.zeros(1 << 20, bool)
         filter_bits[(often >> U(44)).astype(np.int64)] = True
         masks = {n: _subset_masks(n, percent) for n in range(1, limit + 1)}
-        for batch in pieces(batches, "text", 4 * SLICE):
+        for batch in pieces(batches, "text", 2 * SLICE):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             sizes, keys = [], []
             for piece in pieces([batch], "text", SLICE):
@@ -222,8 +225,8 @@ def _post(docs: DataFrame, width: int, percent: int, frequent: np.ndarray, bucke
         yield from by_bucket(batches, gather)
 
     n = max(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = docs.where("doc_id IS NOT NULL").mapInArrow(work, MEMBERS).repartition(n, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(collect, MEMBERS).select("key", "size", "doc_id", "size_a", "a")
+    dealt = docs.where("doc_id IS NOT NULL").mapInArrow(trimmed(work), MEMBERS).repartition(n, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(trimmed(collect), MEMBERS).select("key", "size", "doc_id", "size_a", "a")
 
 
 def _subset_masks(n: int, percent: int) -> np.ndarray:
@@ -262,7 +265,7 @@ def _checked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
             yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return (
-        texts.repartition("a", "part").sortWithinPartitions("a", "part", "role").mapInArrow(work, "a long, b long").distinct()
+        texts.repartition("a", "part").sortWithinPartitions("a", "part", "role").mapInArrow(trimmed(work), "a long, b long").distinct()
     )
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesops import NOISE, ODD, U, buffers, by_bucket, grouped, mix, pack, pieces, unpack
+from .bytesops import NOISE, ODD, U, buffers, by_bucket, grouped, mix, pack, pieces, trimmed, unpack
 from .common import stored, text_key
 from .suffix_array import common_prefixes, suffix_array
 
@@ -378,16 +378,16 @@ def suffix_dedup(docs: DataFrame, length: int = 50) -> DataFrame:
     total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 + int(total * 2 / (length - GRAM + 1) * 16) // BUCKET_BYTES
     keyed = keyed.withColumn("block", F.pmod(F.xxhash64("doc_id", "th"), F.lit(1 + total // BLOCK_BYTES)))
-    runs = keyed.mapInArrow(_send_runs(length, buckets), SCHEMA)
-    runs = runs.repartition(max(buckets, partitions), "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_runs, SCHEMA)
+    runs = keyed.mapInArrow(trimmed(_send_runs(length, buckets)), SCHEMA)
+    runs = runs.repartition(max(buckets, partitions), "bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(_shared_runs), SCHEMA)
     runs = stored(runs, "runs")
     # a run's string is as long as a window and the run; packed entries are about 10 bytes
     packed = runs.agg(F.sum(F.octet_length("blob"))).first()[0] or 0
     shards = 1 + packed // 10 * (length + 25) // SHARD_BYTES
-    blocks = keyed.mapInArrow(_pack_documents, SCHEMA)  # both uses below read one shuffle
+    blocks = keyed.mapInArrow(trimmed(_pack_documents), SCHEMA)  # both uses below read one shuffle
     strings = blocks.groupBy("bucket").cogroup(runs.groupBy("bucket")).applyInArrow(_send_strings(length, shards), SCHEMA)
     strings = strings.repartition(max(shards, partitions), "bucket").sortWithinPartitions("bucket")
-    spans = strings.mapInArrow(_mark(length), SCHEMA)
+    spans = strings.mapInArrow(trimmed(_mark(length)), SCHEMA)
     out = blocks.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(
         _cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
     )
