@@ -12,9 +12,12 @@ Postings travel packed, by buckets of their hash; a task sends one posting for e
 documents, so a key in a third of all documents adds an entry for each task and not for each document.
 
 A list is never expanded into all its pairs. First each member meets the smallest set of its task or
-of the list. Exact checks of these pairs give links and components. Only lists where such a pair lies in
-two components go on, and there all pairs from different components are checked, so nothing that
-could join two components is left out, and a group of n near copies costs n checks and not n * n.
+of the list. Exact checks of these pairs give links and components. Only lists of three or more where
+such a pair lies in two components go on, and there all pairs from different components are checked, so
+nothing that could join two components is left out, and a group of n near copies costs n checks and not
+n * n. Before texts are fetched, parity bitmaps (a bit for each element and a size near the set's) bound
+the difference of two sets from below: each element in one set alone changes one bit. What they drop
+can't be a link.
 
 Defined cases: a null or wordless text has the empty set, which links with nothing; a text of fewer
 words than a shingle has its whole word sequence as its only one; a null doc_id takes no part and
@@ -65,7 +68,7 @@ def boundary(percent: int, scan_cost: int = SCAN_COST, most: int = 24) -> int:
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """For each row its doc_id, set size and fingerprint of 128 bits (kind 1); and shingles with the number of
+    """For each row its doc_id, set size, fingerprint of 128 bits and parity bitmap (kind 1); and shingles with the number of
     documents in which one task met them, if that is ``FREQUENT_IN_TASK`` or more (kind 0)."""
 
     def work(batches):
@@ -85,7 +88,8 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                 first = (np.cumsum(n) - n)[some]
                 f1[some] = np.add.reduceat(mix(flat), first)
                 f2[some] = np.add.reduceat(mix(flat * U(0x9E3779B97F4A7C15) + U(1)), first)
-            yield _kinds(1, batch.column("doc_id"), n, f1.view(np.int64), f2.view(np.int64))
+            bits = pa.array([parity(s) for s in distinct], pa.binary())
+            yield _kinds(1, batch.column("doc_id"), n, f1.view(np.int64), f2.view(np.int64), bits)
             seen.append(flat)
             if len(seen) >= 16:
                 yield _counts(seen)
@@ -93,7 +97,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
         if seen:
             yield _counts(seen)
 
-    return stored(docs.mapInArrow(trimmed(work), "kind int, a long, b long, c long, d long"), "sets")
+    return stored(docs.mapInArrow(trimmed(work), "kind int, a long, b long, c long, d long, e binary"), "sets")
 
 
 def _distinct(h: np.ndarray) -> np.ndarray:
@@ -101,8 +105,42 @@ def _distinct(h: np.ndarray) -> np.ndarray:
     return s[np.concatenate(([True], s[1:] != s[:-1]))] if len(s) > 1 else s
 
 
-def _kinds(kind: int, a, b: np.ndarray, c: np.ndarray | None = None, d: np.ndarray | None = None) -> pa.RecordBatch:
+def parity(s: np.ndarray) -> bytes:
+    """The parity bitmap of a set: as many bits as the next power of two from the size on, 64 at least."""
+    size = max(64, 1 << (len(s) - 1).bit_length()) if len(s) else 64
+    return np.packbits(np.bincount((s >> U(7)).astype(np.int64) & (size - 1), minlength=size) & 1, bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A lower bound of the symmetric difference of two sets from their bitmaps; the larger one is folded."""
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    n, m = len(a) * 8, len(b) * 8
+    while n > m:
+        n //= 2
+        x = (x >> n) ^ (x & ((1 << n) - 1))
+    while m > n:
+        m //= 2
+        y = (y >> m) ^ (y & ((1 << m) - 1))
+    return (x ^ y).bit_count()
+
+
+def _alike(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``pairs(a, b)`` that their bitmaps (``bits(doc_id, n, bits)``) don't rule out."""
+    a, b = (bits.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+
+    def work(batches):
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b"))
+            # intersection over union is percent / 100 or more where 100 * (n_a + n_b - d) >= percent * (n_a + n_b + d)
+            keep = [(100 - percent) * (n + m) >= (100 + percent) * least_difference(x, y) for n, m, x, y in zip(*columns, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(a, "a").join(b, "b").mapInArrow(work, "a long, b long").distinct()
+
+
+def _kinds(kind: int, a, b: np.ndarray, c: np.ndarray | None = None, d: np.ndarray | None = None, e: pa.Array | None = None) -> pa.RecordBatch:
     columns = {x: pa.nulls(len(b), pa.int64()) if v is None else pa.array(v) if isinstance(v, np.ndarray) else v for x, v in zip("abcd", (a, b, c, d), strict=True)}
+    columns["e"] = pa.nulls(len(b), pa.binary()) if e is None else e
     return pa.record_batch({"kind": pa.array(np.full(len(b), kind, np.int32))} | columns)
 
 
@@ -275,7 +313,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = _sets(docs, width)
     frequent = _frequent(sets)
-    rows = sets.where("kind = 1").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("f1"), F.col("d").alias("f2"))
+    rows = sets.where("kind = 1").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("f1"), F.col("d").alias("f2"), F.col("e").alias("bits"))
     known = rows.where("n > 0 AND doc_id IS NOT NULL")
     reps = known.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     copies = known.join(reps.where("copies > 1"), ["f1", "f2"]).where("doc_id <> rep").select(F.col("doc_id").alias("copy"), "rep").distinct()
@@ -289,13 +327,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     members = members.select("key", "size", F.coalesce("rep", "doc_id").alias("doc_id"), "size_a", F.coalesce("rep_a", "a").alias("a"))
     members = stored(members.where("doc_id <> a"), "members")
 
+    bits = known.select("doc_id", "n", "bits").join(copies, F.col("doc_id") == F.col("copy"), "left_anti")
     near = f"{percent} * greatest(size, size_a) <= 100 * least(size, size_a)"
     enumerated = f"(key & 1 = 1 OR greatest(size, size_a) > {limit})"
     met = members.groupBy("a", F.col("doc_id").alias("b")).agg(F.max(F.expr(f"{near} AND {enumerated}")).alias("check"))
     met = stored(met, "met")
-    own = members.select("doc_id").union(members.select("a")).distinct()
-    texts = stored(docs.join(own, "doc_id", "left_semi"), "texts")
-    links = stored(_checked(met.where("check").select("a", "b"), texts, width, percent), "links")
+    check = stored(_alike(met.where("check").select("a", "b"), bits, percent), "check")
+    links = stored(_checked(check, docs, width, percent), "links")
     first = stored(components(links), "classes")
 
     at_a, at_b = (first.select(F.col("node").alias(f"node_{x}"), F.col("component").alias(f"component_{x}")) for x in "ab")
@@ -303,9 +341,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     apart = (
         met.join(at_a, F.col("a") == F.col("node_a"), "left").join(at_b, F.col("b") == F.col("node_b"), "left").where(of_a != of_b)
     )
-    apart = stored(apart.select(F.col("a").alias("a"), F.col("b").alias("doc_id")), "apart")
-    keys = stored(members.join(apart, ["a", "doc_id"]).select("key").distinct(), "keys")
-    mixed = members.join(keys, "key", "left_semi")
+    apart = stored(apart.select(F.col("a").alias("a"), F.col("b").alias("doc_id"), F.lit(True).alias("apart")), "apart")
+    marked = members.join(apart, ["a", "doc_id"], "left")
+    keys = marked.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.max("apart").alias("apart")).where("rows > 1 AND apart")
+    mixed = members.join(stored(keys.select("key"), "keys"), "key", "left_semi")
     mixed = mixed.select("key", "size", "doc_id").union(mixed.select("key", "size_a", "a")).distinct()
     mixed = mixed.join(first, F.col("doc_id") == F.col("node"), "left")
     mixed = stored(mixed.select("key", "size", "doc_id", F.coalesce("component", "doc_id").alias("component")), "mixed")
@@ -320,7 +359,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     )
     done = met.where("check").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = stored(rest.join(done, ["a", "b"], "left_anti"), "rest")
-    more = stored(_checked(rest, texts, width, percent), "links")
+    more = stored(_checked(stored(_alike(rest, bits, percent), "check"), docs, width, percent), "links")
     joined = components(links.union(more))
 
     classes = reps.join(joined, F.col("rep") == F.col("node"), "left").select(

@@ -284,6 +284,16 @@ def test_jaccard_null_ids_and_empty_table(spark):
     assert jaccard_join.jaccard_components(frame(spark, [])).count() == 0
 
 
+def test_bitmaps_bound_the_difference():
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        pool = rng.integers(0, 1 << 62, 400).astype(np.uint64)
+        a, b = (np.unique(rng.choice(pool, rng.integers(1, 300))) for _ in range(2))
+        bound = jaccard_join.least_difference(jaccard_join.parity(a), jaccard_join.parity(b))
+        assert bound <= len(np.setxor1d(a, b))
+        assert jaccard_join.least_difference(jaccard_join.parity(a), jaccard_join.parity(a)) == 0
+
+
 def test_boundary_follows_cost():
     assert jaccard_join.boundary(80, 8) == 9
     assert jaccard_join.boundary(80, 1) < jaccard_join.boundary(80, 8) < jaccard_join.boundary(80, 100)
