@@ -11,10 +11,10 @@ would cost more than scanning (see :func:`boundary`).
 Postings travel packed, by buckets of their hash; a task sends one posting for each key it met in several
 documents, so a key in a third of all documents adds an entry for each task and not for each document.
 
-A list is never expanded into all its pairs. First each member meets the smallest set of its task or
-of the list. Exact checks of these pairs give links and components. Only lists of three or more where
-such a pair lies in two components go on, and there all pairs from different components are checked, so
-nothing that could join two components is left out, and a group of n near copies costs n checks and not
+A list is never expanded into all its pairs. First each member meets the leading set of its task or of
+the list: the one of which most postings met others, as the common original of near copies does. Exact checks of these pairs give links and components. Only lists of three or more where
+such a pair lies in two components go on, and there all pairs from different components are compared
+(long lists in several tasks), so nothing that could join two components is left out, and a group of n near copies costs n checks and not
 n * n. Before texts are fetched, parity bitmaps (a bit for each element and a size near the set's) bound
 the difference of two sets from below: each element in one set alone changes one bit. What they drop
 can't be a link.
@@ -44,6 +44,10 @@ FREQUENT_IN_TASK = 4
 FREQUENT_MOST = 500_000
 #: Members of a leader's group checked by one task.
 GROUP = 256
+#: At most this many document ids are broadcast.
+BROADCAST_IDS = 1_000_000
+#: Members of a list that one task compares with the whole list.
+PART = 2048
 #: Bytes of a bucket of postings.
 BUCKET_BYTES = 4 << 20
 #: Texts are cut into slices of about this many bytes.
@@ -138,6 +142,50 @@ def _alike(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").mapInArrow(work, "a long, b long").distinct()
 
 
+def _across(mixed: DataFrame, percent: int, limit: int) -> DataFrame:
+    """Pairs (a < b) of members of one list that lie in different components and may link by size and bitmap."""
+    parts = (F.col("rows") / PART).cast("long") + 1
+    dealt = mixed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).withColumn(
+        "own", F.pmod(F.xxhash64("doc_id"), parts) == F.col("part")
+    )
+
+    def compare(key: int, size: np.ndarray, doc: np.ndarray, component: np.ndarray, own: np.ndarray, bits: list[bytes]):
+        words = min(map(len, bits)) // 8
+        folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(b, "<u8").reshape(-1, words), axis=0) for b in bits])
+        for i in np.flatnonzero(own).tolist():
+            small, large = np.minimum(size, size[i]), np.maximum(size, size[i])
+            ok = (doc > doc[i]) & (component != component[i]) & (percent * large <= 100 * small)
+            if not key & 1:
+                ok &= large > limit
+            at = np.flatnonzero(ok)
+            if len(at):
+                d = np.bitwise_count(folded[at] ^ folded[i]).sum(axis=1, dtype=np.int64)
+                at = at[(100 - percent) * (size[at] + size[i]) >= (100 + percent) * d]
+                yield np.full(len(at), doc[i]), doc[at]
+
+    def work(batches):
+        held, at = [], None
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("key", "part", "size", "doc_id", "component", "own", "bits")), strict=True)
+            for key, part, *row in rows:
+                if at != (key, part) and held:
+                    yield pairs(at[0], held)
+                    held = []
+                at = (key, part)
+                held.append(row)
+        if held:
+            yield pairs(at[0], held)
+
+    def pairs(key: int, held: list) -> pa.RecordBatch:
+        *columns, bits = zip(*held, strict=True)
+        found = list(compare(key, *map(np.array, columns), bits))
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        return pa.record_batch({"a": pa.array(a), "b": pa.array(b)})
+
+    dealt = dealt.repartition("key", "part").sortWithinPartitions("key", "part")
+    return dealt.mapInArrow(trimmed(work), "a long, b long").distinct()
+
+
 def _kinds(kind: int, a, b: np.ndarray, c: np.ndarray | None = None, d: np.ndarray | None = None, e: pa.Array | None = None) -> pa.RecordBatch:
     columns = {x: pa.nulls(len(b), pa.int64()) if v is None else pa.array(v) if isinstance(v, np.ndarray) else v for x, v in zip("abcd", (a, b, c, d), strict=True)}
     columns["e"] = pa.nulls(len(b), pa.binary()) if e is None else e
@@ -183,14 +231,21 @@ def _members(key: np.ndarray, size: np.ndarray, doc: np.ndarray, size_a: np.ndar
     return pa.record_batch(head | {c: pa.array(v.astype(np.int64)) for c, v in columns.items()})
 
 
-def _lists(key: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order by (key, size, doc), where each list begins in it, and the lists' lengths."""
-    order = np.lexsort((doc, size, key))
+def _lists(key: np.ndarray, score: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order by (key, score, doc), where each list begins in it, and the lists' lengths."""
+    order = np.lexsort((doc, score, key))
     k = key[order]
     first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
     return order, first, np.diff(np.append(first, len(k)))
 
 
+def _scores(key: np.ndarray, row: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """For each row how many of a thousand of its postings met no other row's."""
+    _, back, times = np.unique(key, return_inverse=True, return_counts=True)
+    alone = np.bincount(row, weights=times[back] == 1, minlength=len(count))
+    return np.round(1000 * alone / np.maximum(count, 1)).astype(np.int64)
+
+
 def _led(key: np.ndarray, size: np.ndarray, doc: np.ndarray, order: np.ndarray, first: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
     """All members of lists longer than one but the leading ones."""
     keep = np.repeat(length > 1, length)
@@ -230,20 +285,18 @@ def _post(docs: DataFrame, width: int, percent: int, frequent: np.ndarray, bucke
             size, doc = np.repeat(np.array(sizes, np.int64), count), np.repeat(ids, count)
             if not len(key):
                 continue
-            order, first, length = _lists(key, size, doc)
-            yield _led(key, size, doc, order, first, length)
             row = np.repeat(np.arange(len(ids)), count)
-            lead = order[first]
-            flag = (length > 1).astype(np.uint8)
-            back = np.argsort(lead)  # documents in their order
-            lead, flag = lead[back], flag[back]
+            score = _scores(key, row, count)
+            order, first, length = _lists(key, score[row], doc)
+            yield _led(key, size, doc, order, first, length)
+            lead = np.sort(order[first])  # documents in their order
             out: list[tuple[int, bytes]] = []
             for k, own in grouped((key[lead] % U(buckets)).astype(np.int64)):
                 at_ = lead[own]
                 docs_, local = np.unique(row[at_], return_inverse=True)
                 step = np.diff(local, prepend=0).astype("<u4")
                 n = np.array(sizes)[docs_].astype("<u4")
-                out.append((k, pack(ids[docs_].view("<u8"), n, key[at_], step, flag[own])))
+                out.append((k, pack(ids[docs_].view("<u8"), n, score[docs_].astype("<u2"), key[at_], step)))
             bucket, blob = zip(*out, strict=True)
             nulls = {c: pa.nulls(len(out), pa.int64()) for c in ("key", "size", "doc_id", "size_a", "a")}
             yield pa.record_batch(
@@ -253,11 +306,11 @@ def _post(docs: DataFrame, width: int, percent: int, frequent: np.ndarray, bucke
     def gather(blobs):
         columns = []
         for blob in blobs:
-            ids, n, key, step, _ = unpack(blob)
+            ids, n, score, key, step = unpack(blob)
             local = np.cumsum(step.astype(np.int64))
-            columns.append((key, n.astype(np.int64)[local], ids.view(np.int64)[local]))
-        key, size, doc = (np.concatenate(x) for x in zip(*columns, strict=True))
-        yield _led(key, size, doc, *_lists(key, size, doc))
+            columns.append((key, n.astype(np.int64)[local], score[local], ids.view(np.int64)[local]))
+        key, size, score, doc = (np.concatenate(x) for x in zip(*columns, strict=True))
+        yield _led(key, size, doc, *_lists(key, score, doc))
 
     def collect(batches):
         yield from by_bucket(batches, gather)
@@ -280,7 +333,11 @@ def _checked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     need = dealt.select(F.col("b").alias("doc_id"), "a", "part", F.lit(1).alias("role")).union(
         dealt.select(F.col("a").alias("doc_id"), "a", "part", F.lit(0).alias("role")).distinct()
     )
-    texts = need.join(docs, "doc_id")
+    need = stored(need, "need")
+    ids = stored(need.select("doc_id").distinct(), "ids")
+    # a few ids (8 bytes each) are sent to the texts; beyond that both are shuffled
+    some = docs.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= BROADCAST_IDS else docs
+    texts = need.join(some, "doc_id")
 
     def work(batches):
         lead, own = None, []
@@ -344,22 +401,15 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     apart = stored(apart.select(F.col("a").alias("a"), F.col("b").alias("doc_id"), F.lit(True).alias("apart")), "apart")
     marked = members.join(apart, ["a", "doc_id"], "left")
     keys = marked.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.max("apart").alias("apart")).where("rows > 1 AND apart")
-    mixed = members.join(stored(keys.select("key"), "keys"), "key", "left_semi")
-    mixed = mixed.select("key", "size", "doc_id").union(mixed.select("key", "size_a", "a")).distinct()
+    keys = stored(keys.select("key", "rows"), "keys")
+    mixed = members.join(keys, "key")
+    mixed = mixed.select("key", "rows", "size", "doc_id").union(mixed.select("key", "rows", "size_a", "a")).distinct()
     mixed = mixed.join(first, F.col("doc_id") == F.col("node"), "left")
-    mixed = stored(mixed.select("key", "size", "doc_id", F.coalesce("component", "doc_id").alias("component")), "mixed")
-    left = mixed.select("key", F.col("size").alias("size_a"), F.col("doc_id").alias("a"), F.col("component").alias("component_a"))
-    rest = (
-        left.join(mixed.withColumnRenamed("doc_id", "b"), "key")
-        .where("a < b AND component_a <> component")
-        .where(near)
-        .where(enumerated)
-        .select("a", "b")
-        .distinct()
-    )
+    mixed = stored(mixed.select("key", "rows", "size", "doc_id", F.coalesce("component", "doc_id").alias("component")), "mixed")
+    rest = _across(mixed.join(bits.select("doc_id", "bits"), "doc_id"), percent, limit)
     done = met.where("check").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = stored(rest.join(done, ["a", "b"], "left_anti"), "rest")
-    more = stored(_checked(stored(_alike(rest, bits, percent), "check"), docs, width, percent), "links")
+    more = stored(_checked(rest, docs, width, percent), "links")
     joined = components(links.union(more))
 
     classes = reps.join(joined, F.col("rep") == F.col("node"), "left").select(
