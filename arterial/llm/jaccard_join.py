@@ -150,18 +150,39 @@ def _across(mixed: DataFrame, percent: int, limit: int) -> DataFrame:
     )
 
     def compare(key: int, size: np.ndarray, doc: np.ndarray, component: np.ndarray, own: np.ndarray, bits: list[bytes]):
-        words = min(map(len, bits)) // 8
-        folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(b, "<u8").reshape(-1, words), axis=0) for b in bits])
-        for i in np.flatnonzero(own).tolist():
-            small, large = np.minimum(size, size[i]), np.maximum(size, size[i])
-            ok = (doc > doc[i]) & (component != component[i]) & (percent * large <= 100 * small)
-            if not key & 1:
-                ok &= large > limit
-            at = np.flatnonzero(ok)
-            if len(at):
-                d = np.bitwise_count(folded[at] ^ folded[i]).sum(axis=1, dtype=np.int64)
-                at = at[(100 - percent) * (size[at] + size[i]) >= (100 + percent) * d]
-                yield np.full(len(at), doc[i]), doc[at]
+        # sets within the size bound have bitmaps of one length or of two next to each other
+        length = np.fromiter(map(len, bits), np.int64, len(bits))
+        for n in np.unique(length).tolist():
+            for m in (n, 2 * n):
+                left, right = np.flatnonzero(length == n), np.flatnonzero(length == m)
+                folded = [np.bitwise_xor.reduce(np.frombuffer(bits[j], "<u8").reshape(-1, n // 8), axis=0) for j in right.tolist()]
+                if not folded:
+                    continue
+                folded = np.stack(folded)
+                for i in left.tolist() if m == n else right.tolist():
+                    if own[i]:
+                        with_, rows = (right, folded) if m == n else (left, None)
+                        yield from near(key, i, with_, rows, size, doc, component, bits, n, m == n)
+
+    def near(key, i, other, rows, size, doc, component, bits, n, ordered):
+        small, large = np.minimum(size[other], size[i]), np.maximum(size[other], size[i])
+        ok = (component[other] != component[i]) & (percent * large <= 100 * small)
+        if ordered:
+            ok &= doc[other] > doc[i]
+        if not key & 1:
+            ok &= large > limit
+        at = np.flatnonzero(ok)
+        if not len(at):
+            return
+        if rows is None:
+            rows = np.stack([np.frombuffer(bits[j], "<u8") for j in other[at].tolist()])
+        else:
+            rows = rows[at]
+        mine = np.bitwise_xor.reduce(np.frombuffer(bits[i], "<u8").reshape(-1, n // 8), axis=0)
+        d = np.bitwise_count(rows ^ mine).sum(axis=1, dtype=np.int64)
+        at = other[at[(100 - percent) * (size[other[at]] + size[i]) >= (100 + percent) * d]]
+        if len(at):
+            yield np.minimum(doc[at], doc[i]), np.maximum(doc[at], doc[i])
 
     def work(batches):
         held, at = [], None
