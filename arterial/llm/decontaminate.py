@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesops import LOWER, ODD, U, buffers, mix, pieces, span_hashes, word_spans
+from .bytesops import LOWER, ODD, U, buffers, mix, pieces, span_hashes, trimmed, word_spans
 
 #: Masks of weight 5. Together they meet every placing of 3 replaced tokens among 16.
 MASKS = ("11111", "1101011", "111001001")
@@ -147,5 +147,5 @@ def find_leaks(
     for k in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
         table = spark.sparkContext.broadcast(Table([r[0] for r in own], [r[1] for r in own], masks))
-        out = out.mapInArrow(_scan(table, masks, window, percent), out.schema)
+        out = out.mapInArrow(trimmed(_scan(table, masks, window, percent)), out.schema)
     return out

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesops import LOWER, buffers, pieces
+from .bytesops import LOWER, buffers, pieces, trimmed
 
 BITS = 16
 MOST_LANGUAGES = 512
@@ -171,7 +171,7 @@ def identify(
             )
 
     schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
-    return docs.select(*columns).mapInArrow(work, schema)
+    return docs.select(*columns).mapInArrow(trimmed(work), schema)
 
 
 def held_out(doc_id: str = "doc_id"):

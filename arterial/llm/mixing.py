@@ -18,18 +18,29 @@ ordered by id and size; a null or non-positive weight counts as 1; other columns
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .bytesops import buffers, pieces, trimmed, word_spans
+from .common import stored
 
 WEIGHTS = (1, 2, 3)
 
 
-def words(text: str = "text") -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+def sized(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
+    """Columns ``keep`` of ``docs`` with ``size``, the number of words of ``text`` (counted in the bytes)."""
+
+    def work(batches):
+        for batch in pieces(batches, "text"):
+            _, _, row = word_spans(*buffers(batch.column("text")))
+            own = {c: batch.column(c) for c in keep}
+            yield pa.record_batch(own | {"size": pa.array(np.bincount(row, minlength=batch.num_rows).astype(np.int64))})
+
+    schema = docs.select(*keep).schema.add("size", "long")
+    return docs.select(*keep, "text").mapInArrow(trimmed(work), schema)
 
 
 def unit(doc_id: str = "doc_id", seed: str = "mix") -> Column:
@@ -68,7 +79,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 def mix(docs: DataFrame, weight: Column | None = None, weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed: str = "mix") -> DataFrame:
     """``doc_id, source, size, source_size, target, taken`` for each row of ``docs(doc_id, source, size)``.
 
-    ``size`` as :func:`words` counts it; ``weight``: a column over ``docs``, the quality weight.
+    ``size`` as :func:`sized` counts it; ``weight``: a column over ``docs``, the quality weight.
     """
     w = F.lit(1.0) if weight is None else F.coalesce(F.when(weight > 0, weight.cast("double")), F.lit(1.0))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -76,7 +87,7 @@ def mix(docs: DataFrame, weight: Column | None = None, weights: tuple[int, ...]
     order = [F.col("source").asc_nulls_first(), F.col("key"), F.col("doc_id"), F.col("size")]
     dealt = narrow.repartitionByRange(n, *order).sortWithinPartitions(*order)
     dealt = dealt.withColumn("part", F.shiftrightunsigned(F.monotonically_increasing_id(), 33).cast("int"))
-    dealt = stored(dealt.mapInArrow(_running, "doc_id long, source string, size long, part int, upto long"), "mix")
+    dealt = stored(dealt.mapInArrow(trimmed(_running), "doc_id long, source string, size long, part int, upto long"), "mix")
 
     pieces = dealt.groupBy("source", "part").agg(F.sum("size").alias("held"))
     by_source = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

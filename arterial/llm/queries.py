@@ -80,8 +80,7 @@ def weighted(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    docs = docs.select("doc_id", mixing.words().alias("size"), "source")
+    docs = mixing.sized(_table(spark, sf_dir, "documents"))
     out = mixing.mix(weighted(docs, _table(spark, sf_dir, "labels")), F.col("w"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
 

@@ -489,8 +489,8 @@ def test_mix_prefers_quality(spark):
 
 def test_words(spark):
     texts = ["a b", None, "", " ", " x y", "a\x0bb\x0cc\rd\ne\tf", "\x1c"]
-    df = spark.createDataFrame([(t,) for t in texts], "text string")
-    assert [r[0] for r in df.select(mixing.words()).collect()] == [len(brute.words(t)) for t in texts]
+    df = spark.createDataFrame([(t, i, "x") for i, t in enumerate(texts)], "text string, doc_id long, size string")
+    assert [r.size for r in mixing.sized(df, ("doc_id",)).collect()] == [len(brute.words(t)) for t in texts]
 
 
 def test_nothing_else_imports_this_subpackage():
