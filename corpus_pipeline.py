@@ -44,8 +44,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of what is left: ``doc_id, source, size, source_size, target, taken``."""
-    sized = docs.select("doc_id", mixing.words().alias("size"), "source")
-    return mixing.mix(weighted(sized, spark.read.parquet(f"{sf_dir}/labels.parquet")), F.col("w"))
+    return mixing.mix(weighted(mixing.sized(docs), spark.read.parquet(f"{sf_dir}/labels.parquet")), F.col("w"))
 
 
 STAGES = [
