@@ -48,6 +48,8 @@ GROUP = 256
 BROADCAST_IDS = 1_000_000
 #: Members of a list that one task compares with the whole list.
 PART = 2048
+#: Keys of a set by which a pair that meets in several lists is told once.
+LEAST_KEYS = 16
 #: Bytes of a bucket of postings.
 BUCKET_BYTES = 4 << 20
 #: Texts are cut into slices of about this many bytes.
@@ -143,13 +145,20 @@ def _alike(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
 
 
 def _across(mixed: DataFrame, percent: int, limit: int) -> DataFrame:
-    """Pairs (a < b) of members of one list that lie in different components and may link by size and bitmap."""
+    """Pairs (a < b) of members of one list that lie in different components and may link by size and bitmap.
+
+    Near copies meet in many lists. A pair is told at the least key that both have among their ``LEAST_KEYS``
+    smallest ones; without such a key at each list where it meets, and so are pairs of small sets, which
+    count at subsets only.
+    """
+    least = mixed.groupBy("doc_id").agg(F.slice(F.sort_array(F.collect_set("key")), 1, LEAST_KEYS).alias("least"))
+    mixed = mixed.join(least, "doc_id")
     parts = (F.col("rows") / PART).cast("long") + 1
     dealt = mixed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).withColumn(
         "own", F.pmod(F.xxhash64("doc_id"), parts) == F.col("part")
     )
 
-    def compare(key: int, size: np.ndarray, doc: np.ndarray, component: np.ndarray, own: np.ndarray, bits: list[bytes]):
+    def compare(key: int, size: np.ndarray, doc: np.ndarray, component: np.ndarray, own: np.ndarray, bits: list[bytes], least: list[set]):
         # sets within the size bound have bitmaps of one length or of two next to each other
         length = np.fromiter(map(len, bits), np.int64, len(bits))
         for n in np.unique(length).tolist():
@@ -162,9 +171,9 @@ def _across(mixed: DataFrame, percent: int, limit: int) -> DataFrame:
                 for i in left.tolist() if m == n else right.tolist():
                     if own[i]:
                         with_, rows = (right, folded) if m == n else (left, None)
-                        yield from near(key, i, with_, rows, size, doc, component, bits, n, m == n)
+                        yield from near(key, i, with_, rows, size, doc, component, bits, n, m == n, least)
 
-    def near(key, i, other, rows, size, doc, component, bits, n, ordered):
+    def near(key, i, other, rows, size, doc, component, bits, n, ordered, least):
         small, large = np.minimum(size[other], size[i]), np.maximum(size[other], size[i])
         ok = (component[other] != component[i]) & (percent * large <= 100 * small)
         if ordered:
@@ -181,13 +190,15 @@ def _across(mixed: DataFrame, percent: int, limit: int) -> DataFrame:
         mine = np.bitwise_xor.reduce(np.frombuffer(bits[i], "<u8").reshape(-1, n // 8), axis=0)
         d = np.bitwise_count(rows ^ mine).sum(axis=1, dtype=np.int64)
         at = other[at[(100 - percent) * (size[other[at]] + size[i]) >= (100 + percent) * d]]
+        here = [max(size[j], size[i]) <= limit or min(least[i] & least[j], default=key) == key for j in at.tolist()]
+        at = at[np.array(here, bool)]
         if len(at):
             yield np.minimum(doc[at], doc[i]), np.maximum(doc[at], doc[i])
 
     def work(batches):
         held, at = [], None
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("key", "part", "size", "doc_id", "component", "own", "bits")), strict=True)
+            rows = zip(*(batch.column(c).to_pylist() for c in ("key", "part", "size", "doc_id", "component", "own", "bits", "least")), strict=True)
             for key, part, *row in rows:
                 if at != (key, part) and held:
                     yield pairs(at[0], held)
@@ -198,8 +209,8 @@ def _across(mixed: DataFrame, percent: int, limit: int) -> DataFrame:
             yield pairs(at[0], held)
 
     def pairs(key: int, held: list) -> pa.RecordBatch:
-        *columns, bits = zip(*held, strict=True)
-        found = list(compare(key, *map(np.array, columns), bits))
+        *columns, bits, least = zip(*held, strict=True)
+        found = list(compare(key, *map(np.array, columns), bits, [set(x) for x in least]))
         a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
         return pa.record_batch({"a": pa.array(a), "b": pa.array(b)})
 
