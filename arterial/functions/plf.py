@@ -22,12 +22,15 @@ def normalized(ttf: str, period: int = PERIOD) -> str:
 
 
 def value_at(ttf: str, t: str, period: int = PERIOD) -> str:
-    """Travel time at ``t``: on a point its value, else the floor of the interpolated arrival, minus the departure."""
-    lo = f"element_at(filter({ttf}, p -> p.dep <= pmod({t}, {period})), -1)"
-    hi = f"element_at(filter({ttf}, p -> p.dep > pmod({t}, {period})), 1)"
-    x = f"pmod({t}, {period})"
-    line = f"({lo}.dep + {lo}.tt) + (({x} - {lo}.dep) * (({hi}.dep + {hi}.tt) - ({lo}.dep + {lo}.tt))) div ({hi}.dep - {lo}.dep) - {x}"
-    return f"CASE WHEN size({ttf}) <= 2 THEN element_at({ttf}, 1).tt WHEN {lo}.dep = {x} THEN {lo}.tt ELSE {line} END"
+    """Travel time at ``t``: on a point its value, else the floor of the interpolated arrival, minus the departure.
+
+    One pass over the array finds the place; arrays of one element bind it, so nothing is computed twice.
+    """
+    lo, hi = f"element_at({ttf}, k_)", f"element_at({ttf}, k_ + 1)"
+    line = f"({lo}.dep + {lo}.tt) + ((x_ - {lo}.dep) * (({hi}.dep + {hi}.tt) - ({lo}.dep + {lo}.tt))) div ({hi}.dep - {lo}.dep) - x_"
+    case = f"CASE WHEN size({ttf}) <= 2 THEN element_at({ttf}, 1).tt WHEN {lo}.dep = x_ THEN {lo}.tt ELSE {line} END"
+    place = f"array(size(filter({ttf}, p_ -> p_.dep <= x_)))"
+    return f"element_at(transform(array(pmod({t}, {period})), x_ -> element_at(transform({place}, k_ -> {case}), 1)), 1)"
 
 
 def least(ttf: str) -> str:
@@ -142,3 +145,136 @@ def fifo(dep: np.ndarray, tt: np.ndarray) -> np.ndarray:
     """The greatest function below ``tt`` that never lets a later departure arrive earlier."""
     arrive = np.minimum.accumulate((dep + tt)[::-1])[::-1]
     return arrive - dep
+
+
+def floored(ttf: str, least_time: int = 1) -> str:
+    """Travel times of at least ``least_time``."""
+    return f"transform({ttf}, p -> named_struct('dep', p.dep, 'tt', greatest(p.tt, {least_time}L)))"
+
+
+def shifted(ttf: str, cost: str) -> str:
+    """The function plus a constant."""
+    return f"transform({ttf}, p -> named_struct('dep', p.dep, 'tt', p.tt + {cost}))"
+
+
+def departure_for(ttf: str, arrival: str, period: int = PERIOD) -> str:
+    """The departure (double) that arrives at ``arrival`` of a function without overtaking; whole periods are kept."""
+    first = f"element_at({ttf}, 1).tt"
+    lo, hi = f"element_at({ttf}, k_)", f"element_at({ttf}, k_ + 1)"
+    line = f"{arrival} - x_ + {lo}.dep + ({hi}.dep - {lo}.dep) * (x_ - {lo}.dep - {lo}.tt) / ({hi}.dep + {hi}.tt - {lo}.dep - {lo}.tt)"
+    case = f"IF(size({ttf}) < 2, CAST({arrival} - {first} AS DOUBLE), {line})"
+    place = f"array(size(filter({ttf}, p_ -> p_.dep + p_.tt <= x_)))"
+    x = f"pmod({arrival} - {first}, {period}) + {first}"
+    return f"element_at(transform(array({x}), x_ -> element_at(transform({place}, k_ -> {case}), 1)), 1)"
+
+
+def switch_start(ttf: str, live: str, until: str) -> str:
+    """When waiting for ``until`` starts to be better than the live time, 0 at the earliest."""
+    return f"greatest(0L, {until} - greatest(0L, {live} - {value_at(ttf, until)}))"
+
+
+def pessimistic_upper(ttf: str, live: str, until: str, now: str) -> str:
+    """An upper bound from ``now`` on: the prediction's, or the live time as far as it counts now."""
+    return f"greatest({most(ttf)}, least(coalesce({live}, 0L), {pessimistic_value(ttf, live, until, now)}))"
+
+
+def inverse(dep: np.ndarray, tt: np.ndarray, arrival, period: float = PERIOD / 1000):
+    """Departures that arrive at times ``arrival``; whole periods are kept."""
+    if len(dep) == 1:
+        return arrival - tt[0]
+    whole = np.floor((arrival - tt[0]) / period) * period
+    return whole + np.interp(arrival - whole, dep + tt, dep)
+
+
+def crop(dep: np.ndarray, tt: np.ndarray, start: float, end: float, period: float = PERIOD / 1000) -> tuple[np.ndarray, np.ndarray]:
+    """The part of a periodic function on start..end in absolute times, which may lie in several periods."""
+    turns = np.arange(int(np.floor(start / period)), int(np.floor(end / period)) + 1) * period
+    inner = np.unique(np.concatenate([dep + k for k in turns]))
+    inner = inner[(inner > start + EPSILON) & (inner < end - EPSILON)]
+    at = np.concatenate([[start], inner, [end]]) if end > start else np.array([start], float)
+    return at, evaluate(dep, tt, at, period)
+
+
+def appended(f: tuple[np.ndarray, np.ndarray], g: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two parts in a row; ``g`` starts where ``f`` ends, and its first point counts there."""
+    if abs(f[0][-1] - g[0][0]) > EPSILON:
+        raise ValueError("the second part must start where the first one ends")
+    return _clean(np.concatenate([f[0][:-1], g[0]]), np.concatenate([f[1][:-1], g[1]]))
+
+
+def link_part(f: tuple[np.ndarray, np.ndarray], g: tuple[np.ndarray, np.ndarray], period: float = PERIOD / 1000) -> tuple[np.ndarray, np.ndarray]:
+    """A part f (absolute times) followed by the periodic g."""
+    arrive = f[0] + f[1]
+    wanted, _ = crop(*g, arrive[0], arrive[-1], period)
+    dep = np.unique(np.concatenate([f[0], np.interp(wanted[1:-1], arrive, f[0])]))
+    own = np.interp(dep, *f)
+    return _clean(dep, own + evaluate(*g, dep + own, period))
+
+
+def bounds(dep: np.ndarray, tt: np.ndarray, error: float = 1.0) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Simpler functions, one never above and one never below, both periodic and without overtaking.
+
+    Each kept point moves by the greatest deviation in the two segments it ends.
+    """
+    at, value = simplify(dep, tt, error)
+    if len(at) < 2:
+        return (at, value), (at, value)
+    off = tt - np.interp(dep, at, value)
+    part = np.clip(np.searchsorted(at, dep, "right") - 1, 0, len(at) - 2)
+    below, above = np.zeros(len(at) - 1), np.zeros(len(at) - 1)
+    np.minimum.at(below, part, off)
+    np.maximum.at(above, part, off)
+    low = value + np.minimum(np.append(below, 0), np.insert(below, 0, 0))
+    high = value + np.maximum(np.append(above, 0), np.insert(above, 0, 0))
+    for _ in range(len(at)):
+        low[[0, -1]] = min(low[0], low[-1])
+        low = fifo(at, low)
+        if low[0] == low[-1]:
+            break
+    for _ in range(len(at)):
+        high[[0, -1]] = max(high[0], high[-1])
+        high = np.maximum.accumulate(at + high) - at
+        if high[0] == high[-1]:
+            break
+    return (at, low), (at, high)
+
+
+def switch_point(dep: np.ndarray, tt: np.ndarray, live: float, soon: float, period: float = PERIOD / 1000) -> tuple[float, float]:
+    """(time, value) at which the live time, moving by one for each unit of time after ``soon``, meets the prediction."""
+    at, value = crop(dep, tt, soon, soon + period, period)
+    if abs(value[0] - live) <= EPSILON:
+        return soon, live
+    sign = -1.0 if value[0] < live else 1.0
+    line = live + sign * (at - soon)
+    gap = (value - line) * sign
+    k = int(np.flatnonzero(gap <= EPSILON)[0]) if (gap <= EPSILON).any() else len(at) - 1
+    share = gap[k - 1] / (gap[k - 1] - gap[k])
+    x = float(at[k - 1] + share * (at[k] - at[k - 1]))
+    return x, live + sign * (x - soon)
+
+
+def evaluate_live(dep: np.ndarray, tt: np.ndarray, live: float, soon: float, t, period: float = PERIOD / 1000):
+    """Live until ``soon``, then towards the prediction, which holds from where they meet."""
+    x, value = switch_point(dep, tt, live, soon, period)
+    return np.where(np.asarray(t) < x, np.interp(t, [soon, max(x, soon + EPSILON)], [live, value]), evaluate(dep, tt, t, period))
+
+
+def from_speeds(at: np.ndarray, speed: np.ndarray, length: float, period: int = PERIOD) -> tuple[np.ndarray, np.ndarray]:
+    """Integer travel times (ms) of ``length`` m when ``speed[i]`` km/h holds from ``at[i]`` (ms, from 0) on.
+
+    The way since midnight is a growing function W of time; who enters at t leaves at W^-1(W(t) + length).
+    Breakpoints are the changes of speed and the entries that leave at one. Times are rounded down once.
+    """
+    if length <= 0 or (speed <= 0).any():
+        raise ValueError("lengths and speeds must be positive")
+    edges = np.append(at, period).astype(float)
+    way = np.concatenate([[0.0], np.cumsum(np.diff(edges) * speed / 3600)])
+    days = 2 + int(np.ceil(length / way[-1]))
+    times = np.concatenate([edges[:-1] + k * period for k in range(days)] + [[days * period]])
+    walked = np.concatenate([way[:-1] + k * way[-1] for k in range(days)] + [[days * way[-1]]])
+    entries = np.interp(walked - length, walked, times, left=-1.0)
+    dep = np.unique(np.floor(np.concatenate([edges, entries[(entries >= 0) & (entries < period)]])))
+    leave = np.interp(np.interp(dep, times, walked) + length, walked, times)
+    tt = np.floor(leave - dep + 1e-6)
+    tt[-1] = tt[0]
+    return dep.astype(np.int64), fifo(dep, tt).astype(np.int64)

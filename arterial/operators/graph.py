@@ -13,11 +13,35 @@ def reversed_arcs(arcs: DataFrame) -> DataFrame:
     return arcs.select("arc_id", F.col("head").alias("tail"), F.col("tail").alias("head"), *[c for c in arcs.columns if c not in ("arc_id", "tail", "head")])
 
 
+def sliced(df: DataFrame, lead: str, parts: int | None = None) -> Column:
+    """The slice (from 0) that holds each value of ``lead``: about equal counts, rising values, nulls in the first.
+
+    Boundaries are approximate quantiles, one aggregation that sends a few numbers to the driver. They
+    enter the plan as literals, so an order over all rows becomes one for each slice plus offsets.
+    """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = [i / parts for i in range(1, parts)]
+    cuts = df.agg(F.percentile_approx(lead, shares or [0.5], 10_000)).first()[0] if parts > 1 else None
+    cuts = sorted(set(cuts or []))
+    if not cuts:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(lead)))
+
+
+def _offsets(sliced_rows: DataFrame, total: Column) -> DataFrame:
+    """``slice, offset``: the sum of ``total`` over the slices before. One row for each slice, so the window is small."""
+    sums = sliced_rows.groupBy("slice").agg(total.alias("sum"))
+    before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    return F.broadcast(sums.select("slice", F.coalesce(F.sum("sum").over(before), F.lit(0)).cast("long").alias("offset")))
+
+
 def first_out(arcs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, first_out``: number of arcs of all smaller nodes. Only degrees are ordered, one row for each node."""
-    degrees = nodes.select("node").join(arcs.groupBy(F.col("tail").alias("node")).count(), "node", "left").select("node", F.coalesce("count", F.lit(0)).alias("degree"))
-    before = Window.orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
-    return degrees.select("node", "degree", F.coalesce(F.sum("degree").over(before), F.lit(0)).cast("long").alias("first_out"))
+    """``node, degree, first_out``: number of arcs of all smaller nodes, summed within slices of nodes and over them."""
+    degrees = nodes.select("node").join(arcs.groupBy(F.col("tail").alias("node")).count(), "node", "left")
+    rows = degrees.select("node", F.coalesce("count", F.lit(0)).alias("degree"), sliced(nodes, "node").alias("slice"))
+    before = Window.partitionBy("slice").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumn("own", F.coalesce(F.sum("degree").over(before), F.lit(0))).join(_offsets(rows, F.sum("degree")), "slice")
+    return out.select("node", "degree", (F.col("own") + F.col("offset")).cast("long").alias("first_out"))
 
 
 def permuted(arcs: DataFrame, order: DataFrame, keep: Column | None = None) -> DataFrame:
@@ -75,18 +99,34 @@ def arcs_between(arcs: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(arcs, ["tail", "head"])
 
 
-def dense_ids(keys: DataFrame, column: str, name: str = "dense_id") -> DataFrame:
-    """``column`` and its rank among the distinct values, from 0. The distinct keys are ordered as a whole."""
-    return keys.select(column).distinct().withColumn(name, (F.row_number().over(Window.orderBy(column)) - 1).cast("long"))
+def dense_ids(keys: DataFrame, column: str, name: str = "dense_id", lead: str | None = None) -> DataFrame:
+    """``column`` and its rank among the distinct values, from 0.
+
+    ``lead``: the number that leads the order where ``column`` is a struct. Rows are ordered within slices.
+    """
+    own = keys.select(column).distinct()
+    lead = lead or column
+    rows = own.withColumn("slice", sliced(keys, lead))
+    nth = F.row_number().over(Window.partitionBy("slice").orderBy(column))
+    out = rows.withColumn("nth", nth).join(_offsets(rows, F.count(F.lit(1))), "slice")
+    return out.select(column, (F.col("nth") - 1 + F.col("offset")).cast("long").alias(name))
 
 
 def floor_ids(dense: DataFrame, probes: DataFrame, key: str, probe: str, name: str = "dense_id") -> DataFrame:
-    """For each of ``probes`` the dense id of the greatest key at or below it: an as-of join in one sorted union."""
+    """For each of ``probes`` the dense id of the greatest key at or below it: an as-of join in sorted slices.
+
+    A probe before its slice's first key takes the last id of the slices before.
+    """
     both = dense.select(F.col(key).alias("__k"), F.col(name).alias("__d"), F.lit(0).alias("__p")).union(
         probes.select(F.col(probe).alias("__k"), F.lit(None).cast("long").alias("__d"), F.lit(1).alias("__p")).distinct()
     )
-    seen = Window.orderBy("__k", "__p").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("__f", F.last("__d", ignorenulls=True).over(seen)).where("__p = 1").select(F.col("__k").alias(probe), F.col("__f").alias(f"floor_{name}"))
+    rows = both.withColumn("slice", sliced(both, "__k"))
+    seen = Window.partitionBy("slice").orderBy("__k", "__p").rowsBetween(Window.unboundedPreceding, 0)
+    tops = rows.groupBy("slice").agg(F.max("__d").alias("top"))
+    earlier = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = F.broadcast(tops.select("slice", F.max("top").over(earlier).alias("carried")))
+    out = rows.withColumn("__f", F.last("__d", ignorenulls=True).over(seen)).where("__p = 1").join(carried, "slice")
+    return out.select(F.col("__k").alias(probe), F.coalesce("__f", "carried").alias(f"floor_{name}"))
 
 
 def induced(arcs: DataFrame, nodes: DataFrame, inside: Column) -> DataFrame:
@@ -119,3 +159,10 @@ def compared(left: DataFrame, right: DataFrame) -> DataFrame:
     """Of two vectors ``(i, value)``: places in which they differ and the first of these."""
     both = left.withColumnRenamed("value", "l").join(right.withColumnRenamed("value", "r"), "i", "full_outer").where(~F.col("l").eqNullSafe(F.col("r")))
     return both.agg(F.count(F.lit(1)).alias("n_different"), F.min("i").alias("first_different"))
+
+
+def function_line_graph(arcs: DataFrame, forbidden: DataFrame | None, cost: Column, u_turns: bool = False) -> DataFrame:
+    """:func:`line_graph` of arcs with ``ttf``: ``from_arc, to_arc, ttf``, the turn's ``cost`` added to every point."""
+    turns = line_graph(arcs.withColumn("weight", F.lit(0).cast("long")), forbidden, cost, u_turns)
+    own = arcs.select(F.col("arc_id").alias("from_arc"), "ttf")
+    return turns.join(own, "from_arc").select("from_arc", "to_arc", F.expr("transform(ttf, p -> named_struct('dep', p.dep, 'tt', p.tt + weight))").alias("ttf"))

@@ -229,4 +229,4 @@ def ranks(settled: DataFrame) -> DataFrame:
 def nearest(dists: DataFrame, k: int) -> DataFrame:
     """Of ``source, target, dist``: the k nearest targets of each source with their ``place``, ties by target."""
     place = F.row_number().over(Window.partitionBy("source").orderBy("dist", "target"))
-    return dists.where("dist IS NOT NULL").select("source", "target", "dist").distinct().withColumn("place", place).where(F.col("place") <= k)
+    return dists.where("dist IS NOT NULL").select("source", "target", "dist").distinct().withColumn("place", place.cast("long")).where(F.col("place") <= k)

@@ -94,8 +94,8 @@ def degrees_to_first_out(spark, sf_dir):
 
 def _order(spark, sf_dir):
     """A permutation: nodes by column, then row."""
-    w = Window.orderBy("x", "y")
-    return road.nodes(spark, sf_dir).select("node", (F.row_number().over(w) - 1).cast("long").alias("rank"))
+    ids = graph.dense_ids(road.nodes(spark, sf_dir).select(F.struct("x", "y", "node").alias("key")), "key", "rank", "key.x")
+    return ids.select("key.node", "rank")
 
 
 _ORDER = "ord AS (SELECT v AS node, row_number() OVER (ORDER BY v % 50, v // 50) - 1 AS rank FROM p)"

@@ -33,8 +33,7 @@ def test_six_nodes(spark, two_sided):
 
 
 def test_stop_rule_of_the_two_sided_search(spark):
-    arcs = [(0, 1, 4), (0, 3, 7), (0, 4, 13), (1, 4, 4), (2, 2, 4), (3, 4, 7)]
-    arcs = [(0, 1, 4), (0, 3, 7), (0, 4, 13), (1, 4, 8), (3, 4, 7)]
+    arcs = [(0, 1, 4), (0, 3, 7), (0, 4, 13), (1, 2, 4), (2, 4, 4), (3, 4, 7)]
     assert search.distances(frame(spark, arcs), trips(spark, [(0, 4)]), True).first().dist == 12
     out = search.Graph(*(np.array(x) for x in zip(*arcs, strict=True)), np.arange(len(arcs)))
     assert search.bidirectional(out.lists(), out.transposed().lists(), 0, 4, cap=11) is None
