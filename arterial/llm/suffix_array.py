@@ -98,22 +98,35 @@ def _names(t: np.ndarray, sorted_lms: np.ndarray, end: np.ndarray) -> np.ndarray
 
 
 def _order_names(names: np.ndarray, depth: int | None) -> np.ndarray:
-    """The order of the suffixes of ``names`` by doubling. Two bytes at least lie under each name."""
+    """The order of the suffixes of ``names`` by doubling. Two bytes at least lie under each name.
+
+    A rank is the place where its group of equals starts, so a round sorts only members of groups of
+    two or more. Equals may come in any order: a group's members share a rank.
+    """
     n = len(names)
-    rank = names.astype(np.int64)
+    order = np.argsort(names)
+    rank = np.empty(n, np.int64)
+    new = np.concatenate(([True], np.diff(names[order]) != 0))
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     h = 1
-    while True:
-        most = int(rank.max()) + 2
-        nxt = np.zeros(n, np.int64)
-        nxt[: n - h] = rank[h:] + 1
-        if int(rank.max()) + 1 == n or h >= n or (depth and 2 * h > depth):
-            return np.argsort(rank, kind="stable")
-        key = rank * most + nxt
-        order = np.argsort(key, kind="stable")
-        new = np.empty(n, np.int64)
-        new[order] = np.concatenate(([0], np.cumsum(np.diff(key[order]) != 0)))
-        rank = new
+    while h < n and not (depth and 2 * h > depth):
+        alone = new & np.append(new[1:], True)
+        slot = np.flatnonzero(~alone)
+        if not len(slot):
+            break
+        own = order[slot]
+        nxt = np.zeros(len(own), np.int64)
+        inside = own + h < n
+        nxt[inside] = rank[own[inside] + h] + 1
+        key = rank[own] * (n + 1) + nxt
+        by = np.argsort(key)
+        own, key = own[by], key[by]
+        order[slot] = own
+        first = np.concatenate(([True], key[1:] != key[:-1]))
+        new[slot] = first
+        rank[own] = np.maximum.accumulate(np.where(first, slot, 0))
         h *= 2
+    return order
 
 
 def suffix_array(t: np.ndarray, depth: int | None = None) -> np.ndarray:
