@@ -5,6 +5,7 @@ A path is a list of nodes. Smooth weights are what drivers know, live ones what
 
 from __future__ import annotations
 
+import heapq
 import time
 from collections import deque
 from collections.abc import Callable
@@ -13,7 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .search import Graph, _dealt, settle
+from ..schema import PERIOD
+from .search import Graph, _dealt, collect, settle, value
 
 # Fixed values of the penalty method.
 STRETCH, PENALTY, REJOIN, MOST_PENALTIES, NEW_SHARE, MOST_PATHS = 1.25, (11, 10), 100, 5, 5, 5
@@ -21,11 +23,11 @@ STRETCH, PENALTY, REJOIN, MOST_PENALTIES, NEW_SHARE, MOST_PATHS = 1.25, (11, 10)
 TIME_LIMIT_MS = 10_000
 
 
-def shortest(out: list, source: int, target: int, step=None, allowed: set[int] | None = None) -> tuple[int, list[int]] | None:
-    """(distance, nodes)."""
+def shortest(out: list, source: int, target: int, step=None, allowed: set[int] | None = None, start: int = 0) -> tuple[int, list[int]] | None:
+    """(label at the target, nodes); the source has the label ``start``."""
     before = {}
     part = out if allowed is None else [[x for x in out[v] if x[0] in allowed] if v in allowed else [] for v in range(len(out))]
-    for v, d, b in settle(part, [(source, 0)], step):
+    for v, d, b in settle(part, [(source, start)], step):
         before[v] = b
         if v == target:
             path = [v]
@@ -167,8 +169,6 @@ class Forbidden:
 
 def avoiding(out: list, step: Callable[[int, int, int], int], forbidden: Forbidden, source: int, target: int, start: int = 0) -> tuple[int, list[int]] | None:
     """(label, nodes) of the best walk without a forbidden sequence, as a search over pairs of node and state."""
-    import heapq
-
     first = (source, forbidden.step(0, source))
     best = {first: start}
     before: dict = {first: None}
@@ -198,8 +198,6 @@ def avoiding(out: list, step: Callable[[int, int, int], int], forbidden: Forbidd
 def avoiding_detours(out: list, step: Callable[[int, int, int], int], forbidden: list[list[int]], source: int, target: int, start: int = 0) -> tuple[int, list[int]] | None:
     """Like :func:`avoiding` with one label for each node: an arc is refused if it completes a forbidden sequence along the
     present predecessors. Faster, but it may miss a walk."""
-    import heapq
-
     ending: dict[int, list[list[int]]] = {}
     for path in forbidden:
         ending.setdefault(path[-1], []).append(path[-2::-1])
@@ -364,3 +362,30 @@ def traffic_aware(arcs: DataFrame, trips: DataFrame, live: str, eps: float, how:
             yield pd.DataFrame(rows, columns=["qid", "live_dist", "path", "done"])
 
     return _dealt(trips.select("qid", "source", "target")).mapInPandas(work, "qid long, live_dist long, path array<long>, done boolean")
+
+
+def td_traffic_aware(arcs: DataFrame, trips: DataFrame, eps: float, how: str = "blocking", limit_ms: float | None = TIME_LIMIT_MS, period: int = PERIOD) -> DataFrame:
+    """:func:`traffic_aware` at the time of day: ``arcs(..., weight, ttf)``, ``trips(qid, source, target, departure)``; ``live_dist`` is the travel time."""
+    if how not in HOW:
+        raise ValueError(f"{how} is none of {HOW}")
+    shared = arcs.sparkSession.sparkContext.broadcast(collect(arcs))
+
+    def work(frames):
+        g = shared.value
+        points = [(d.tolist(), t.tolist()) for d, t in g.extra]
+        own = Traffic(g.lists(), g.weight.tolist(), [], lambda at, _, p: at + value(*points[p], at % period))
+        for frame in frames:
+            rows = []
+            for q, s, t, start in zip(*(frame[c].tolist() for c in ("qid", "source", "target", "departure")), strict=True):
+                if how in ("blocking", "detours"):
+                    found = own.blocked(s, t, eps, limit_ms, start, how == "detours")
+                    if found:
+                        rows.append((q, found[0] - start, found[1], found[3]))
+                    continue
+                found = shortest(own.out, s, t, own.known if how == "smooth" else own.step, start=0 if how == "smooth" else start)
+                if found:
+                    path, done = own.fixed(found[1], eps, limit_ms) if how == "fixing" else (found[1], True)
+                    rows.append((q, own.label(path, start) - start, path, done))
+            yield pd.DataFrame(rows, columns=["qid", "live_dist", "path", "done"])
+
+    return _dealt(trips.select("qid", "source", "target", "departure")).mapInPandas(work, "qid long, live_dist long, path array<long>, done boolean")

@@ -146,3 +146,158 @@ def label_distances(trips: DataFrame, out_labels: DataFrame, in_labels: DataFram
     met = pairs.join(a, "source").join(b, ["target", "hub"]).groupBy("source", "target")
     best = met.agg(F.min(F.struct((F.col("d1") + F.col("d2")).alias("dist"), "hub")).alias("m")).select("source", "target", "m.dist", "m.hub")
     return trips.join(best, ["source", "target"], "left")
+
+
+def lower_neighbours(own: Hierarchy) -> list[list[int]]:
+    out: list[list[int]] = [[] for _ in own.upper]
+    for v, u in enumerate(own.upper):
+        for a in u:
+            out[a].append(v)
+    return out
+
+
+def unpack(weights: tuple[list[dict[int, int]], list[dict[int, int]]], lower: list[list[int]], a: int, b: int) -> list[int]:
+    """Ranks on the path that a customized arc stands for: below it lies the triangle whose sides sum up to its weight, or nothing."""
+    up, down = weights
+    out, stack = [a], [(a, b)]
+    while stack:
+        x, y = stack.pop()
+        low, high = min(x, y), max(x, y)
+        w = up[low][high] if x < y else down[low][high]
+        via = next((v for v in lower[low] if high in up[v] and down[v].get(x, INFINITY) + up[v].get(y, INFINITY) == w), None)
+        if via is None:
+            out.append(y)
+        else:
+            stack += [(via, y), (x, via)]
+    return out
+
+
+def _tree(own: Hierarchy, weights: list[dict[int, int]], v: int) -> dict[int, tuple[int, int]]:
+    """(distance, rank before) of the ancestors of ``v``."""
+    dist = {v: (0, -1)}
+    at = v
+    while at >= 0:
+        if at in dist:
+            d = dist[at][0]
+            for b, w in weights[at].items():
+                if w < INFINITY and (b not in dist or d + w < dist[b][0]):
+                    dist[b] = (d + w, at)
+        at = int(own.parent[at])
+    return dist
+
+
+def shortest_path(own: Hierarchy, weights: tuple[list, list], lower: list[list[int]], source: int, target: int) -> tuple[int, list[int]] | None:
+    """(distance, nodes): both ancestor walks meet at the best hub, then arcs are unpacked."""
+    fw, bw = (_tree(own, w, int(own.rank[v])) for w, v in zip(weights, (source, target), strict=True))
+    hub = min(fw.keys() & bw.keys(), key=lambda h: (fw[h][0] + bw[h][0], h), default=None)
+    if hub is None:
+        return None
+    chain = [hub]
+    while fw[chain[0]][1] >= 0:
+        chain.insert(0, fw[chain[0]][1])
+    while bw[chain[-1]][1] >= 0:
+        chain.append(bw[chain[-1]][1])
+    path = [chain[0]]
+    for a, b in zip(chain, chain[1:], strict=False):
+        path += unpack(weights, lower, a, b)[1:]
+    return fw[hub][0] + bw[hub][0], own.order[path].tolist()
+
+
+def paths(spark: SparkSession, own: Hierarchy, weights: tuple[list, list], trips: DataFrame) -> DataFrame:
+    """``qid, dist, path`` for ``trips(qid, source, target)``; trips without a path give no row."""
+    shared = spark.sparkContext.broadcast((own, weights, lower_neighbours(own)))
+
+    def work(frames):
+        h, w, lower = shared.value
+        for frame in frames:
+            rows = []
+            for q, s, t in zip(frame["qid"].tolist(), frame["source"].tolist(), frame["target"].tolist(), strict=True):
+                found = shortest_path(h, w, lower, s, t)
+                if found:
+                    rows.append((q, *found))
+            yield pd.DataFrame(rows, columns=["qid", "dist", "path"])
+
+    return trips.select("qid", "source", "target").mapInPandas(work, "qid long, dist long, path array<long>")
+
+
+def customize_directed(own: Hierarchy, kept: tuple[list[set[int]], list[set[int]]], tail: np.ndarray, head: np.ndarray, weight: np.ndarray):
+    """Like :meth:`Hierarchy.customize` on arc sets that differ by direction (``finite_arcs``)."""
+    up, down = ([dict.fromkeys(sorted(s), INFINITY) for s in side] for side in kept)
+    for a, b, w in zip(own.rank[tail].tolist(), own.rank[head].tolist(), weight.tolist(), strict=True):
+        side, low, high = (up, a, b) if a < b else (down, b, a)
+        if high in side[low]:
+            side[low][high] = min(side[low][high], w)
+    for v in range(len(own.order)):
+        for a, w in down[v].items():
+            for b, x in up[v].items():
+                side, low, high = (up, a, b) if a < b else (down, b, a)
+                if a != b and w + x < side[low].get(high, 0):
+                    side[low][high] = w + x
+    return up, down
+
+
+def finite_arcs(metrics: list[tuple[list[dict[int, int]], list[dict[int, int]]]]) -> tuple[list[set[int]], list[set[int]]]:
+    """Upward and downward arcs that some customized metric makes finite; all others can go, each direction by itself."""
+    sides = zip(*metrics, strict=True)
+    up, down = ([{b for w in ws for b, x in w.items() if x < INFINITY} for ws in zip(*side, strict=True)] for side in sides)
+    return up, down
+
+
+def customize_valid(own: Hierarchy, tail: np.ndarray, head: np.ndarray, weight: np.ndarray, since: np.ndarray):
+    """Upward and downward (weight, valid from) of each arc: the least weight, and the latest ``since`` on its path (the earliest among equals)."""
+    none = (INFINITY, 0)
+    up, down = ([dict.fromkeys(u, none) for u in own.upper] for _ in range(2))
+
+    def put(a: int, b: int, x: tuple[int, int]) -> None:
+        side, low, high = (up, a, b) if a < b else (down, b, a)
+        if a != b and x[0] < INFINITY:
+            side[low][high] = min(side[low][high], x)
+
+    for a, b, w, s in zip(own.rank[tail].tolist(), own.rank[head].tolist(), weight.tolist(), since.tolist(), strict=True):
+        put(a, b, (w, s))
+    for v, u in enumerate(own.upper):
+        for a in u:
+            for b in u:
+                x, y = down[v][a], up[v][b]
+                put(a, b, (x[0] + y[0], max(x[1], y[1])))
+    return up, down
+
+
+def separator_cells(own: Hierarchy) -> list[tuple[int, int, int]]:
+    """(node, cell, level): chains of the elimination tree, named by their top rank; roots have level 0."""
+    children = np.bincount(own.parent[own.parent >= 0], minlength=len(own.parent))
+    cell, level = [0] * len(own.parent), [0] * len(own.parent)
+    for v in range(len(own.parent) - 1, -1, -1):
+        p = int(own.parent[v])
+        cell[v], level[v] = (v, 0) if p < 0 else (cell[p], level[p]) if children[p] == 1 else (v, level[p] + 1)
+    return [(int(own.order[v]), cell[v], level[v]) for v in range(len(own.parent))]
+
+
+def depth_first_order(own: Hierarchy) -> np.ndarray:
+    """An order with the same chordal arcs in which each subtree of the elimination tree is in one piece, its root last."""
+    below: list[list[int]] = [[] for _ in own.parent]
+    stack = []
+    for v, p in enumerate(own.parent.tolist()):
+        (below[p] if p >= 0 else stack).append(v)
+    out = []
+    while stack:
+        v = stack.pop()
+        out.append(v)
+        stack += below[v]
+    return own.order[out[::-1]]
+
+
+def original_arcs(chordal: DataFrame, arcs: DataFrame, order: DataFrame) -> DataFrame:
+    """``tail, head, up, arc_id``: the arcs (both directions, parallel ones too) on each of ``chordal(tail, head)`` between ranks."""
+    ranked = arcs.select("arc_id", F.col("tail").alias("from"), F.col("head").alias("to"))
+    a = order.select(F.col("node").alias("from"), F.col("rank").alias("a"))
+    b = order.select(F.col("node").alias("to"), F.col("rank").alias("b"))
+    own = ranked.join(a, "from").join(b, "to").select("arc_id", F.least("a", "b").alias("tail"), F.greatest("a", "b").alias("head"), (F.col("a") < F.col("b")).alias("up"))
+    return chordal.select("tail", "head").join(own, ["tail", "head"]).select("tail", "head", "up", "arc_id")
+
+
+def respecting(chordal: DataFrame, mapping: DataFrame, weights: DataFrame) -> DataFrame:
+    """``tail, head, up, down``: the least weight of the original arcs of each chordal arc, null without one."""
+    w = mapping.join(weights.select("arc_id", "weight"), "arc_id").groupBy("tail", "head")
+    least = w.agg(F.min(F.when(F.col("up"), F.col("weight"))).alias("up"), F.min(F.when(~F.col("up"), F.col("weight"))).alias("down"))
+    return chordal.select("tail", "head").join(least, ["tail", "head"], "left")

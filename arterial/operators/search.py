@@ -115,6 +115,23 @@ def bidirectional(out: list, back: list, source: int, target: int, cap: int | No
     return found
 
 
+def goal_directed(out: list, back: list, source: int, target: int, to_target: dict[int, int], from_source: dict[int, int]) -> int | None:
+    """:func:`bidirectional` on reduced costs by the average of two consistent potentials (lower bounds; absent: no path).
+
+    All costs are doubled, so that the average stays whole.
+    """
+    if source not in to_target or target not in from_source:
+        return None
+    p = {v: d - from_source[v] for v, d in to_target.items() if v in from_source}
+    if source not in p or target not in p:
+        return None
+    # the same reduced cost on both sides: forward and backward potentials are opposite
+    fw = [[(h, 2 * w - p[v] + p[h], x) for h, w, x in arcs if h in p] if v in p else [] for v, arcs in enumerate(out)]
+    bw = [[(t, 2 * w - p[t] + p[v], x) for t, w, x in arcs if t in p] if v in p else [] for v, arcs in enumerate(back)]
+    found = bidirectional(fw, bw, source, target)
+    return None if found is None else (found + p[source] - p[target]) // 2
+
+
 def one_to_all(arcs: DataFrame, sources: DataFrame) -> DataFrame:
     """``source, node, dist, before`` of all reachable nodes for each of ``sources(source)``."""
     graph = arcs.sparkSession.sparkContext.broadcast(collect(arcs))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import plf
-from ..operators import alternatives, experiments, graph, search, structure, td
+from ..operators import alternatives, contraction, experiments, graph, hierarchy, paths, search, structure, td
 from ..schema import INFINITY, PERIOD
 from ..sources import files
 from . import road
-from .queries import _ARCS, _AT, _FROM_TRIPS, _FROM_ZERO, _LIVE, _PATHS, _PROFILES, _live, _normal, _query, _walks, _WALKS, _zero
+from .queries import ORACLE, _ARCS, _AT, _FROM_TRIPS, _FROM_ZERO, _LIVE, _PATHS, _PROFILES, _live, _normal, _query, _walks, _WALKS, _zero
 from .storage import storer
 
 _REVERSED = _PATHS.replace("sp(", "rp(").replace("sp.", "rp.").replace("recurring.sp", "recurring.rp").replace("FROM sp", "FROM rp")
@@ -158,6 +158,52 @@ def pareto_paths(spark, sf_dir):
     return td.pareto(road.arcs(spark, sf_dir).withColumn("hops", F.lit(1)), _nation_trips(spark, sf_dir), "hops")
 
 
+# paths and hierarchies
+
+
+@_query(ORACLE["dijkstra_trips"])
+def cch_paths(spark, sf_dir):
+    """The unpacked paths, summed up again arc by arc."""
+    arcs = road.arcs(spark, sf_dir)
+    own, weights = hierarchy.build(arcs, road.nodes(spark, sf_dir))
+    trips = road.trips(spark, sf_dir)
+    walk = hierarchy.paths(spark, own, weights, trips).select("qid", F.posexplode("path").alias("pos", "node"))
+    total = paths.cumulative(walk, arcs).groupBy("qid").agg(F.max("cum").alias("dist"))
+    return trips.join(total, "qid", "left").select("qid", "source", "target", "dist")
+
+
+@_query(ORACLE["dijkstra_trips"])
+def contraction_trips(spark, sf_dir):
+    """Labels from a contraction hierarchy with witness searches."""
+    arcs = road.arcs(spark, sf_dir)
+    own = contraction.build(arcs, road.nodes(spark, sf_dir))
+    trips = road.trips(spark, sf_dir)
+    out = contraction.labels(spark, own, trips.select(F.col("source").alias("node")), down=False)
+    into = contraction.labels(spark, own, trips.select(F.col("target").alias("node")), down=True)
+    return hierarchy.label_distances(trips, out, into).select("qid", "source", "target", "dist")
+
+
+@_query()
+def separator_cells(spark, sf_dir):
+    own, _ = hierarchy.build(road.arcs(spark, sf_dir), road.nodes(spark, sf_dir))
+    return spark.createDataFrame(hierarchy.separator_cells(own), "node long, cell long, level long")
+
+
+def _chordal(spark, sf_dir):
+    arcs, nodes = road.arcs(spark, sf_dir), road.nodes(spark, sf_dir)
+    own, weights = hierarchy.build(arcs, nodes)
+    order = spark.createDataFrame(list(enumerate(own.order.tolist())), "rank long, node long")
+    return arcs, order, hierarchy.chordal_arcs(spark, own, weights)
+
+
+@_query(f"""WITH {_ARCS} SELECT count(*) AS n, CAST(sum(weight) AS BIGINT) AS total FROM (SELECT min(weight) AS weight FROM arcs WHERE tail <> head GROUP BY tail, head)""")
+def respecting_weights(spark, sf_dir):
+    """Every arc lies on one chordal arc: both directions together hold each pair's least weight."""
+    arcs, order, chordal = _chordal(spark, sf_dir)
+    w = hierarchy.respecting(chordal, hierarchy.original_arcs(chordal, arcs, order), arcs)
+    return w.agg((F.count("up") + F.count("down")).alias("n"), (F.sum("up") + F.sum("down")).alias("total"))
+
+
 # structure
 
 
@@ -219,6 +265,13 @@ def traffic_smooth_baseline(spark, sf_dir):
     return _in_traffic(spark, sf_dir, "smooth")
 
 
+@_query()
+def td_traffic_blocking(spark, sf_dir):
+    arcs = _normal(spark, sf_dir).withColumn("weight", F.expr(plf.least("ttf")))
+    trips = _nation_trips(spark, sf_dir).withColumn("departure", F.expr("qid * 3000000L"))
+    return alternatives.td_traffic_aware(arcs, trips, 0.2, limit_ms=None).selectExpr("qid", "live_dist", "size(path) AS n_nodes", "done")
+
+
 # live rows and text sinks
 
 
