@@ -74,6 +74,16 @@ def live_times(speeds: DataFrame, arcs: DataFrame) -> DataFrame:
     return first.join(last, ["tail", "head"]).where("speed > 0").selectExpr("arc_id", "3600 * dist div speed AS live_tt")
 
 
+def live_array(speeds: DataFrame, arcs: DataFrame, duration: int = 3_600_000) -> DataFrame:
+    """``arc_id, weight, duration`` for the arcs with a live speed only; each holds for an hour."""
+    return live_times(speeds, arcs).select("arc_id", F.col("live_tt").alias("weight"), F.lit(duration).cast("long").alias("duration"))
+
+
+def link_rows(arcs: DataFrame) -> DataFrame:
+    """``tail, head, length, link_id, direction`` of the arcs of :func:`road_graph`; direction 1 leads from the link's reference node."""
+    return arcs.select("tail", "head", "length", "link_id", F.col("from_ref").cast("int").alias("direction"))
+
+
 def day_buckets(points: DataFrame, minutes: int = 15, least: int = 3) -> DataFrame:
     """Mean ``value`` for each ``key`` and bucket of the day of ``ts_ms``; buckets of fewer than ``least`` rows go."""
     bucket = F.expr(f"(ts_ms div {minutes * 60000}) % {24 * 60 // minutes}").alias("bucket")

@@ -402,6 +402,13 @@ def test_road_graph(spark):
     assert got == [(0, 0, 1, 7, True), (1, 1, 0, 7, False), (2, 2, 1, 5, False)]
     assert [r.weight for r in arcs.orderBy("arc_id").collect()][0] == pytest.approx(11_132, abs=1)
     assert {r.node: r.node_id for r in kept.collect()} == {0: 10, 1: 20, 2: 30}
+    assert [(r.tail, r.head, r.link_id, r.direction) for r in files.link_rows(arcs.orderBy("arc_id")).collect()] == [(0, 1, 7, 1), (1, 0, 7, 0), (2, 1, 5, 0)]
+
+
+def test_live_array(spark):
+    speeds = spark.createDataFrame([(0, 1, 40, 1), (0, 1, 36, 2), (5, 6, 9, 3)], "tail long, head long, speed long, seq long")
+    arcs = spark.createDataFrame([(3, 0, 1, 100), (2, 0, 1, 50)], "arc_id long, tail long, head long, dist long")
+    assert [tuple(r) for r in files.live_array(speeds, arcs).collect()] == [(2, 5000, 3_600_000)]
 
 
 def test_workloads(spark):
