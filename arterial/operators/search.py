@@ -46,10 +46,9 @@ def collect(arcs: DataFrame) -> Graph:
     if n > MOST_ARCS:
         raise ValueError(f"{n} arcs are too many for a broadcast; use a fixpoint or labels")
     columns = ["tail", "head", "weight", "arc_id"]
-    p = arcs.select(*columns, *(["ttf"] if "ttf" in arcs.columns else [])).toPandas()
-    extra = None
-    if "ttf" in p:
-        extra = [(np.array([x["dep"] for x in f]), np.array([x["tt"] for x in f])) for f in p["ttf"]]
+    timed = [F.col("ttf.dep").alias("dep"), F.col("ttf.tt").alias("tt")] if "ttf" in arcs.columns else []
+    p = arcs.select(*columns, *timed).toPandas()
+    extra = [(np.asarray(d), np.asarray(t)) for d, t in zip(p["dep"], p["tt"], strict=True)] if timed else None
     return Graph(*(p[c].to_numpy(np.int64) for c in columns), extra)
 
 
