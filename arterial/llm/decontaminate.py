@@ -8,17 +8,23 @@ when some ``window`` successive tokens of it (all of them, if it is shorter) agr
 their places, no token inserted or removed. The masks are lossless for the defaults: 3 replaced
 tokens in any 16 leave at least one seed intact.
 
+Items of fewer than ``LEAST`` tokens have no room for these masks. They are seeded as a whole, under every
+mask that leaves out just as many tokens as ``percent`` allows (one of 5 to 7 at 80 percent, none of 1 to 4),
+so none of their placings is missed either. Their hits are compared all at once, equal items only once.
+
 The benchmark is a stated query set. It is held by every task in blocks of at most ``BLOCK_TOKENS``
 tokens (8 bytes and a table entry for each mask); a larger benchmark takes one pass for each block.
 
 Tokens are runs of ASCII letters, digits and bytes above 127, with A-Z lower-cased: punctuation does
-not matter. Defined cases: items of fewer than ``LEAST`` tokens match too much by chance and are left
-out; a null text is clean; repeated items count each; a null item_id is reported as null; each row of
-documents is judged by itself, so null and repeated doc_ids are kept as they are.
+not matter. Defined cases: an item of few tokens counts wherever they stand, also by chance; an item without
+tokens is never leaked; a null text is clean; repeated items count each; a null item_id is reported as
+null; each row of documents is judged by itself, so null and repeated doc_ids are kept as they are.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,19 +61,35 @@ def seed_hashes(words: np.ndarray, mask: str, salt: int) -> np.ndarray:
     return mix(h)
 
 
+def whole_masks(size: int, percent: int) -> list[str]:
+    """Masks over ``size`` tokens that leave out as many of them as may differ: together they meet every placing."""
+    gone = size + -size * percent // 100
+    return ["".join("01"[j not in out] for j in range(size)) for out in combinations(range(size), gone)]
+
+
 class Table:
     """Seeds of a block of the benchmark: sorted hashes with the item and place of each."""
 
-    def __init__(self, ids: list[int | None], texts: list[str], masks: tuple[str, ...]):
+    def __init__(self, ids: list[int | None], texts: list[str], masks: tuple[str, ...], window: int, percent: int):
         data, off = buffers(pa.array(texts, pa.large_string()))
-        words, first = tokens(data, off)
+        self.words, self.first = words, first = tokens(data, off)
         self.ids = ids
         self.items = [words[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+        #: salts of the masks of short items, and the items equal to each of them
+        self.short: dict[str, int] = {}
+        self.equal: dict[int, list[int]] = {}
+        seen: dict[bytes, int] = {}
         hashes, where = [], []
         for i, own in enumerate(self.items):
-            if len(own) < LEAST:
-                continue
-            for k, mask in enumerate(masks):
+            size = min(window, len(own))
+            use = dict(zip(masks, range(len(masks)), strict=True))
+            if size < LEAST:
+                known = seen.setdefault(own.tobytes(), i)
+                self.equal.setdefault(known, []).append(i)
+                if known != i or not size:
+                    continue
+                use = {m: self.short.setdefault(m, len(masks) + len(self.short)) for m in whole_masks(size, percent)}
+            for mask, k in use.items():
                 h = seed_hashes(own, mask, k)
                 hashes.append(h)
                 where.append(np.stack([np.full(len(h), i), np.arange(len(h))], axis=1))
@@ -98,6 +120,35 @@ def best_window(same: np.ndarray, window: int) -> tuple[int, int]:
     return int(got[at]), at
 
 
+def _short_leaks(own: Table, words: np.ndarray, first: np.ndarray, percent: int):
+    """Row, item, share and place of the best agreement with each short item; of equal ones the first."""
+    best = []
+    for mask, k in own.short.items():
+        size = len(mask)
+        place, entry = own.hits(seed_hashes(words, mask, k))
+        row = np.searchsorted(first, place, "right") - 1
+        inside = place + size <= first[row + 1]
+        place, row = place[inside], row[inside]
+        item, at = own.where[entry[inside]].T
+        known = own.first[item] + at
+        most = np.zeros(len(place), np.int64)
+        for j in range(size):
+            most += words[place + j] == own.words[known + j]
+        found = np.stack([row, item, -(most * 1000 // size), place - first[row] - at, place - first[row]], axis=1)
+        best.append(_firsts(found[most * 100 >= percent * size]))
+    for row, item, share, _, at in _firsts(np.concatenate(best)).tolist() if best else []:
+        for i in own.equal[item]:
+            yield row, i, -share, at
+
+
+def _firsts(found: np.ndarray) -> np.ndarray:
+    """The least row of each pair of the first two columns."""
+    found = found[np.lexsort(found.T[::-1])]
+    new = np.ones(len(found), bool)
+    new[1:] = (found[1:, :2] != found[:-1, :2]).any(axis=1)
+    return found[new]
+
+
 def _scan(table, masks: tuple[str, ...], window: int, percent: int):
     def work(batches):
         own: Table = table.value
@@ -118,6 +169,8 @@ def _scan(table, masks: tuple[str, ...], window: int, percent: int):
                 most, at = best_window(text[a:b] == known[a - diagonal : b - diagonal], size)
                 if most * 100 >= percent * size and most * 1000 // size > found[row].get(item, (0,))[0]:
                     found[row][item] = (most * 1000 // size, a + at)
+            for row, item, share, at in _short_leaks(own, words, first, percent):
+                found[row][item] = (share, at)
             before = batch.column("leaks").to_pylist()
             leaks = [
                 x + [{"item_id": own.ids[i], "first_token": at, "per_mille": share} for i, (share, at) in sorted(f.items())]
@@ -146,6 +199,6 @@ def find_leaks(
     out = docs.drop("leaks").withColumn("leaks", F.expr(f"CAST(array() AS {LEAKS})"))
     for k in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-        table = spark.sparkContext.broadcast(Table([r[0] for r in own], [r[1] for r in own], masks))
+        table = spark.sparkContext.broadcast(Table([r[0] for r in own], [r[1] for r in own], masks, window, percent))
         out = out.mapInArrow(trimmed(_scan(table, masks, window, percent)), out.schema)
     return out
