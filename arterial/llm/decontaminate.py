@@ -5,8 +5,8 @@ agree on a seed even when tokens between were replaced. Every text position is h
 mask and looked up in the hash table of the benchmark's positions; each hit names a diagonal (text
 position minus item position), along which tokens are compared one by one. An item counts as leaked
 when some ``window`` successive tokens of it (all of them, if it is shorter) agree in ``percent`` of
-their places, no token inserted or removed. The masks are lossless for the defaults: 3 replaced
-tokens in any 16 leave at least one seed intact.
+their places, no token inserted or removed. The masks are lossless for the defaults: the replaced tokens
+that 80 percent allow leave at least one seed intact, in any 16 tokens as in a whole item of 8 to 15.
 
 Items of fewer than ``LEAST`` tokens have no room for these masks. They are seeded as a whole, under every
 mask that leaves out just as many tokens as ``percent`` allows (one of 5 to 7 at 80 percent, none of 1 to 4),
@@ -32,8 +32,9 @@ from pyspark.sql import functions as F
 
 from .bytesops import LOWER, ODD, U, buffers, mix, pieces, span_hashes, trimmed, word_spans
 
-#: Masks of weight 5. Together they meet every placing of 3 replaced tokens among 16.
-MASKS = ("11111", "1101011", "111001001")
+#: Masks of weight 5. Together they meet every placing of the tokens that 80 percent allow to differ, for each size
+#: from ``LEAST`` to 16 (3 of 15 and 16, 2 of 10 to 14, 1 of 8 and 9); the last one is for 2 of 10.
+MASKS = ("11111", "1101011", "111001001", "110111")
 LEAST = 8
 BLOCK_TOKENS = 2_000_000
 _INSIDE = np.zeros(256, bool)

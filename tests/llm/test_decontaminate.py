@@ -1,6 +1,7 @@
 """Leaks against a comparison of every item with every place of every text, without seeds."""
 
 import random
+from itertools import combinations
 
 from arterial.llm import decontaminate
 
@@ -53,3 +54,28 @@ def test_short_items_match_brute_force(spark):
     assert got == all_leaks(docs, items)
     assert {i for x in got.values() for i, *_ in x} == {*range(12), 50, 51, 55}
     assert found_leaks(spark, docs, items, window=6, percent=66) == all_leaks(docs, items, 6, 66)
+
+
+def test_masks_are_lossless_for_every_size():
+    for size in range(1, 17):
+        masks = decontaminate.MASKS if size >= decontaminate.LEAST else decontaminate.whole_masks(size, 80)
+        for gone in combinations(range(size), size * 20 // 100):
+            assert any(
+                all(m[j] == "0" or p + j not in gone for j in range(len(m))) for m in masks for p in range(size - len(m) + 1)
+            ), (size, gone)
+
+
+def test_items_below_a_window_match_brute_force(spark):
+    items = [(n, " ".join(f"i{n}w{j}" for j in range(n))) for n in range(8, 16)] + [(30, " ".join(f"long{j}" for j in range(30)))]
+    docs = []
+    for _, t in items[:3]:
+        w = t.split()
+        docs += [(len(docs) + k, "a b c " + replaced(w, g) + " d") for k, g in enumerate(combinations(range(len(w)), 2))]
+    rng = random.Random(3)
+    for _, t in items[3:] * 4:
+        w = t.split()
+        docs.append((len(docs), "a b " + replaced(w, rng.sample(range(len(w)), len(w) // 5))))
+        docs.append((len(docs), replaced(w, rng.sample(range(len(w)), len(w) // 5 + 1))))
+    got = found_leaks(spark, docs, items)
+    assert got == all_leaks(docs, items)
+    assert sum(bool(x) and x[0][0] == 10 for x in got.values()) == 45
