@@ -2,11 +2,13 @@
 
 Rows take part when label and vector are not null and the vector has a finite, non-zero length; they
 meet only rows of the same label (and the same number of components). Equal vectors are collapsed to
-one weighted point. Unit vectors lie on a sphere where cosine >= c is distance <= tau = sqrt(2 - 2c).
+one weighted point, and so are vectors of equal unit vectors (multiples of each other): each is linked to
+the others of its point and has that point's links. Unit vectors lie on a sphere where cosine >= c is distance <= tau = sqrt(2 - 2c).
 
 The upper part of the tree is a table: a cell with more than ``cell`` points is split among a few of
 its points (chosen by hash), each point going to the nearest, level by level, and each cell keeps its
-centre and covering radius. The traversal starts with each root against itself and expands pairs of
+centre and covering radius. Cells that are still larger after ``LEVELS`` levels (where nearly all points
+are nearest to one) are dealt by hash into cells of one centre, so every point ends in a leaf. The traversal starts with each root against itself and expands pairs of
 cells by joins on their parents, dropping a pair when the centres are further apart than both radii
 and tau together. What remains are pairs of cells of bounded size, one group each.
 
@@ -33,6 +35,8 @@ from .common import components, stored
 CELL = 2048
 #: Children of a split cell.
 FAN = 16
+#: Levels of splits by distance; what is still too large then is dealt by hash.
+LEVELS = 24
 #: Bounds are widened by this much, so rounding never prunes a pair that is compared exactly afterwards.
 SLACK = 1e-9
 
@@ -169,7 +173,7 @@ def _nearest(children):
                 d = ((p - np.asarray(v)) ** 2).sum(axis=1)
                 k = int(d.argmin())
                 out.append((k, float(np.sqrt(d[k])), pivots[k]))
-            pdf["child"] = [o[0] for o in out]
+            pdf["child"] = pdf["deal"].where(pdf["deal"].notna(), [o[0] for o in out]).astype("int32")
             pdf["d"] = [o[1] for o in out]
             pdf["centre"] = [o[2] for o in out]
             yield pdf[children]
@@ -183,15 +187,22 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.98, cell: int = CELL) ->
     points = _points(rows)
     unit = F.transform("embedding", lambda x: x.cast("double") / F.col("norm"))
     points = stored(
-        points.select(F.concat_ws("/", F.col("label").cast("string"), F.col("dim").cast("string")).alias("cell"), "pid", "n", unit.alias("v"), "label", "embedding"),
+        points.select(F.concat_ws("/", F.col("label").cast("string"), F.col("dim").cast("string")).alias("cell"), "pid", "n", "norm", "label", "embedding"),
         "points",
     )
-    level = points.select("cell", "pid", "n", "v")
+    # points of equal unit vectors are one of the tree, known by g; its pid is the smallest of them
+    units = points.groupBy("cell", unit.alias("v")).agg(F.min("pid").alias("pid"), F.sum("n").alias("n"))
+    units = stored(units.withColumn("g", F.monotonically_increasing_id()), "units")
+    members = points.select("cell", unit.alias("v"), "pid", "n").join(
+        units.select("cell", "v", "g", F.col("pid").alias("first"), F.col("n").alias("total")), ["cell", "v"]
+    )
+    members = stored(members.select("pid", "n", "g", "first", "total"), "members")
+    level = units.select("cell", "g", "pid", "n", "v")
     sizes = level.groupBy("cell").count()
     pairs = sizes.select(F.col("cell").alias("a"), F.col("cell").alias("b"))  # roots against themselves
     leaves = None
     tree: list[DataFrame] = []
-    for _ in range(24):
+    for depth in range(LEVELS + 1):
         sizes = level.groupBy("cell").count()
         full = sizes.where(F.col("count") > cell)
         done = level.join(full.select("cell"), "cell", "left_anti")
@@ -201,43 +212,53 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.98, cell: int = CELL) ->
         fan = F.least(F.lit(FAN), F.ceil(F.col("count") / cell) * 2).cast("int")
         open_ = level.join(full, "cell")
         # the pivots of a cell: its points of smallest hash, gathered from a part of the cell that holds a bounded number
-        part = open_.where(F.pmod(F.xxhash64("pid", "cell"), F.lit(1 << 20)) < (F.lit(64.0 * (1 << 20)) / F.col("count")))
+        part = open_.where(F.pmod(F.xxhash64("g", "cell"), F.lit(1 << 20)) < (F.lit(64.0 * (1 << 20)) / F.col("count")))
         pivots = part.groupBy("cell").agg(
-            F.slice(F.sort_array(F.collect_list(F.struct(F.xxhash64("pid"), "v"))), 1, FAN).alias("p"), F.max(fan).alias("fan")
+            F.slice(F.sort_array(F.collect_list(F.struct(F.xxhash64("g"), "v"))), 1, FAN).alias("p"), F.max(fan).alias("fan")
         )
         pivots = pivots.select("cell", F.transform(F.slice("p", F.lit(1), F.col("fan")), lambda s: s["v"]).alias("pivots"))
-        names = ["cell", "pid", "n", "v", "child", "d", "centre"]
-        dealt = open_.join(pivots, "cell").select("cell", "pid", "n", "v", "pivots")
+        names = ["cell", "g", "pid", "n", "v", "child", "d", "centre"]
+        last = depth == LEVELS
+        if last:  # one centre for all, and parts of about half a cell
+            pivots = pivots.select("cell", F.slice("pivots", 1, 1).alias("pivots"))
+        dealt = open_.join(pivots, "cell").select("cell", "g", "pid", "n", "v", "pivots", "count")
+        deal = F.pmod(F.xxhash64("g", F.lit(depth)), F.ceil(F.col("count") / cell) * 2)
+        dealt = dealt.withColumn("deal", deal.cast("int") if last else F.lit(None).cast("int"))
         dealt = dealt.mapInPandas(
-            _nearest(names), "cell string, pid long, n long, v array<double>, child int, d double, centre array<double>"
+            _nearest(names), "cell string, g long, pid long, n long, v array<double>, child int, d double, centre array<double>"
         )
         dealt = stored(dealt.withColumn("parent", F.col("cell")).withColumn("cell", F.concat_ws(".", "cell", F.col("child").cast("string"))), "level")
         nodes = dealt.groupBy("parent", "cell").agg(F.max("d").alias("radius"), F.first("centre").alias("centre"))
         tree.append(nodes)
-        level = dealt.select("cell", "pid", "n", "v")
+        level = dealt.select("cell", "g", "pid", "n", "v")
+        if last:
+            leaves = leaves.union(level)
     leaves = stored(leaves, "leaves")
     pairs = stored(_cell_pairs(pairs, tree, tau).distinct(), "pairs")
-    left = pairs.join(leaves.withColumnRenamed("cell", "a"), "a").select("a", "b", F.lit(0).alias("side"), "pid", "n", "v")
-    right = pairs.where("a <> b").join(leaves.withColumnRenamed("cell", "b"), "b").select("a", "b", F.lit(1).alias("side"), "pid", "n", "v")
+    left = pairs.join(leaves.withColumnRenamed("cell", "a"), "a").select("a", "b", F.lit(0).alias("side"), "g", "pid", "n", "v")
+    right = pairs.where("a <> b").join(leaves.withColumnRenamed("cell", "b"), "b").select("a", "b", F.lit(1).alias("side"), "g", "pid", "n", "v")
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         sides = [pdf[pdf.side == k] for k in (0, 1)]
         x, y = (np.stack(s["v"].to_numpy()) if len(s) else None for s in sides)
         ids = [s["pid"].to_numpy() for s in sides]
+        g = [s["g"].to_numpy() for s in sides]
         w = [s["n"].to_numpy() for s in sides]
         if y is None:
             ids[1], w[1] = ids[0], w[0]
         nx, ny, edges = dual(x, y, cosine, tuple(ids), tuple(w))
-        out = [pd.DataFrame({"a": ids[0], "b": 0, "links": nx, "edge": False})]
+        out = [pd.DataFrame({"a": g[0], "b": 0, "links": nx, "edge": False})]
         if y is not None:
-            out.append(pd.DataFrame({"a": ids[1], "b": 0, "links": ny, "edge": False}))
+            out.append(pd.DataFrame({"a": g[1], "b": 0, "links": ny, "edge": False}))
         out.append(pd.DataFrame({"a": edges[:, 0], "b": edges[:, 1], "links": 0, "edge": True}))
         return pd.concat(out).astype({"a": "int64", "b": "int64", "links": "int64", "edge": bool})
 
     met = left.union(right).groupBy("a", "b").applyInPandas(group, "a long, b long, links long, edge boolean")
     met = stored(met, "met")
-    counts = met.where("NOT edge").groupBy(F.col("a").alias("pid")).agg(F.sum("links").alias("links"))
-    joined = components(met.where("edge").select("a", "b"))
+    counts = met.where("NOT edge").groupBy(F.col("a").alias("g")).agg(F.sum("links").alias("links"))
+    counts = members.join(counts, "g", "left").groupBy("pid").agg(F.sum(F.col("total") - F.col("n") + F.coalesce("links", F.lit(0))).alias("links"))
+    own = members.where("pid <> first").select(F.col("pid").alias("a"), F.col("first").alias("b"))
+    joined = components(met.where("edge").select("a", "b").union(own))
     classes = points.join(counts, "pid", "left").join(joined, F.col("pid") == F.col("node"), "left")
     classes = classes.select(
         "label",
