@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import inspect
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,14 +40,38 @@ def trimmed(work):
 
     def run(batches):
         yield from work(batches)
-        pa.default_memory_pool().release_unused()
-        libc = ctypes.CDLL(None)
-        if hasattr(libc, "malloc_trim"):
-            libc.malloc_trim(0)
+        give_back()
 
     return run
 
 
+def trimmed_group(work):
+    """The same for a kernel of one group (or of two that meet)."""
+    if len(inspect.signature(work).parameters) == 2:
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            out = work(left, right)
+            give_back()
+            return out
+
+    else:
+
+        def run(table: pa.Table) -> pa.Table:
+            out = work(table)
+            give_back()
+            return out
+
+    return run
+
+
+def give_back() -> None:
+    """Return free memory of this process to the system."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def pieces(batches, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut into slices of about ``most`` bytes of ``column`` (a longer row stands alone)."""
     for batch in batches:
@@ -173,9 +198,12 @@ def grouped(keys: np.ndarray):
         yield int(s[a]), order[a:b]
 
 
-def by_bucket(batches, handle):
-    """Feed the blobs of one bucket after the other to ``handle``; rows of another kind pass through."""
-    bucket, blobs = None, []
+def by_bucket(batches, handle, together: int = 0):
+    """Feed the blobs of one bucket after the other to ``handle``; rows of another kind pass through.
+
+    Successive buckets are fed together until their blobs unpack to ``together`` bytes.
+    """
+    bucket, blobs, held = None, [], 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -184,10 +212,11 @@ def by_bucket(batches, handle):
             yield batch.filter(pa.array(other))
         own = batch.filter(pa.array(~other))
         for k, blob in zip(own.column("bucket").to_pylist(), own.column("blob").to_pylist(), strict=True):
-            if k != bucket and blobs:
+            if k != bucket and blobs and held >= together:
                 yield from handle(blobs)
-                blobs = []
+                blobs, held = [], 0
             bucket = k
+            held += int.from_bytes(blob[:8], "little")
             blobs.append(blob)
     if blobs:
         yield from handle(blobs)

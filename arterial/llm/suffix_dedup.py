@@ -1,23 +1,25 @@
 """Suffix-array dedup: remove every byte under a string of ``length`` bytes that starts in an earlier document too.
 
-1. Each document's windows of ``length`` bytes are cut into runs with the same minimizer (the smallest
+1. Documents travel packed, by blocks. A block is chosen by the smallest hash of a document's word starts, so
+   copies and most near copies meet in one block; a key with more bytes than half a block is spread over several.
+   In a block equal texts are one: copies with a larger id lose all their windows there and go no further.
+2. Each document's windows of ``length`` bytes are cut into runs with the same minimizer (the smallest
    hash of the ``GRAM``-byte strings inside the window). Equal windows have equal minimizers, so equal
-   windows always meet. Runs are dealt by minimizer in packed blobs, and those whose minimizer occurs
-   in one document alone are dropped.
-2. The bytes of the remaining runs go to the shard of their minimizer. A shard's suffix array is built
-   by induced sorting, and permuted common prefixes of ``length`` or more tie equal windows together;
-   all but those of the smallest document are marked.
-3. Marked windows are united for each document and their bytes removed.
-
-Documents travel packed and compressed, by blocks of documents; steps 2 and 3 meet them in the same
-shuffle. What many documents share is combined before each shuffle: a task sends one run for each
-minimizer it met in several documents, and one string for each set of equal strings, so a passage in a
-third of all documents adds a row for each task and not for each document. Buckets, shards and blocks
-are as many as the measured bytes need.
+   windows always meet. A block sends its distinct minimizers as sorted hashes, about two bytes and a half each, and
+   gets a byte back for each: met in one document alone (its runs are dropped), shared, or frequent.
+3. The bytes of the remaining runs go to the shard of their minimizer, those of frequent ones window by window
+   to the shard of the window's own hash, so no minimizer makes a shard of its own. Equal strings of a block go
+   once. A shard's suffix array is built by induced sorting, and permuted common prefixes of ``length`` or more
+   tie equal windows together; all but those of the smallest document are marked.
+4. Marked windows are united for each document and their bytes removed.
+
+Steps 2 to 4 read one shuffle of the documents. The hashes have ten bits more than their number needs, so
+one in a thousand passes for shared by chance, which costs a string and changes no result. Small shards of a task
+are sorted together.
 
 Defined cases: a null text is empty; shorter texts lose nothing; a null doc_id stands after all
-others; rows with equal doc_id never remove bytes of each other; repeated rows get equal results;
-other columns are ignored.
+others, and a doc_id of 2^63 - 1 is taken for a null one; rows with equal doc_id never remove bytes of each
+other; repeated rows get equal results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesops import NOISE, ODD, U, buffers, by_bucket, grouped, mix, pack, pieces, trimmed, unpack
-from .common import stored, text_key
+from .bytesops import NOISE, ODD, SPACES, U, buffers, by_bucket, grouped, mix, pack, pieces, span_hashes, trimmed, trimmed_group, unpack
+from .common import text_key
 from .suffix_array import common_prefixes, suffix_array
 
 #: Short grams are met by chance in many documents, long ones leave short windows of grams and more runs.
@@ -37,7 +39,11 @@ SLICE = 1 << 20
 #: Bytes of entries in a bucket, of strings in a shard, of texts in a block.
 BUCKET_BYTES = 16 << 20
 SHARD_BYTES = 3 << 20
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+#: Runs of a minimizer from which on they are dealt window by window.
+HOT_RUNS = 1 << 15
+#: At most this many keys are dealt over several blocks (16 bytes each); further ones have less than its part of all bytes.
+HOT_KEYS = 100_000
 
 SPAN = np.dtype([("pos", "<u4"), ("n", "<u4")])
 SCHEMA = "bucket long, kind int, blob binary"
@@ -113,87 +119,144 @@ def _from_blobs(blobs: list[bytes], columns: int) -> tuple[np.ndarray, np.ndarra
     return ids, hashes, np.concatenate(which), [np.concatenate(x) for x in zip(*rest, strict=True)]
 
 
-def _send_runs(length: int, buckets: int, most: int = 4 << 20):
-    """Kernel 1: documents to blobs of runs by bucket; runs shared inside the slice go on to the blocks."""
-
-    def work(batches):
-        for batch in pieces(batches, "text", most):
-            ids, hashes, block = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "th", "block"))
-            parts, base = [], 0
-            for piece in pieces([batch], "text", SLICE):
-                row, pos, n, h = minimizer_runs(*buffers(piece.column("text")), length)
-                parts.append((row + base, pos, n, h))
-                base += piece.num_rows
-            row, pos, n, h = (np.concatenate(x) for x in zip(*parts, strict=True))
-            if not len(row):
-                continue
-            h >>= U(16)
-            pos, n = pos.astype("<u4"), n.astype("<u4")
-            order = np.argsort(h, kind="stable")  # rows rise inside a group
-            group = h[order]
-            first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-            size = np.diff(np.append(first, len(order)))
-            here = ids[row[order]]
+def document_keys(data: np.ndarray, off: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The least hash of the 16 bytes at a row's word starts; without any, a hash of the row."""
+    out = mix(hashes.view(U))
+    n = len(data)
+    if n < 17:
+        return out
+    space = SPACES[data]
+    start = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    row = np.searchsorted(off, start, "right") - 1
+    inside = start + 16 <= off[row + 1]
+    start, row = start[inside], row[inside]
+    if not len(start):
+        return out
+    data = np.ascontiguousarray(data)
+    eight = np.lib.stride_tricks.as_strided(data, (n - 7, 8), (1, 1))
+    low, high = (eight[start + k].view("<u8").ravel() for k in (0, 8))
+    h = mix(low * ODD[3] + (high ^ (high >> U(31))) * ODD[5])
+    first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+    out[row[first]] = np.minimum.reduceat(h, first)
+    return out
+
+
+def _key_sizes(batches):
+    """The bytes under each key of a slice."""
+    for batch in pieces(batches, "text", 4 << 20):
+        data, off = buffers(batch.column("text"))
+        keys, where = np.unique(document_keys(data, off, batch.column("th").to_numpy()), return_inverse=True)
+        n = np.bincount(where, weights=np.diff(off), minlength=len(keys)).astype(np.int64)
+        yield pa.record_batch({"key": pa.array(keys.view(np.int64)), "n": pa.array(n)})
+
+
+class _Block:
+    """A block's documents; ``first`` names for each the row of the smallest id with an equal text."""
+
+    def __init__(self, table: pa.Table):
+        self.number = table.column("bucket")[0].as_py()
+        self.ids, self.hashes, self.off, self.raw = _documents(table)
+        known: dict[int, list[int]] = {}  # by hash: the first rows of different texts
+        self.first = np.arange(len(self.ids))
+        text = memoryview(self.raw)
+        off, hashes = self.off.tolist(), self.hashes.tolist()
+        for r in np.argsort(self.ids, kind="stable").tolist():
+            same = known.setdefault(hashes[r], [])
+            own = text[off[r] : off[r + 1]]
+            at = next((k for k in same if text[off[k] : off[k + 1]] == own), None)
+            if at is None:
+                same.append(r)
+            else:
+                self.first[r] = at
+
+    def runs(self, length: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Row, first window, number of windows and minimizer (``bits`` of it) of the runs of distinct texts."""
+        own = np.unique(self.first)
+        size = (self.off[1:] - self.off[:-1])[own]
+        parts = []
+        at = 0
+        upto = np.cumsum(size)
+        while at < len(own):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SLICE, "right")))
+            rows = own[at:to]
+            data = np.frombuffer(b"".join([self.raw[self.off[r] : self.off[r + 1]] for r in rows.tolist()]), np.uint8)
+            row, pos, n, h = minimizer_runs(data, np.concatenate(([0], np.cumsum(size[at:to]))), length)
+            parts.append((rows[row], pos, n, mix(h) >> U(64 - bits)))  # least hashes are small: mixed, they fill their range
+            at = to
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _list_minimizers(length: int, bits: int, depth: int):
+    """Kernel 1: a block's distinct minimizers in order, by bucket (their top ``depth`` bits)."""
+    wide = "<u4" if bits - depth <= 32 else "<u8"
+
+    def work(table: pa.Table) -> pa.Table:
+        block = _Block(table)
+        row, _, _, h = block.runs(length, bits)
+        order = np.argsort(h, kind="stable")
+        h = h[order]
+        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+        count = np.diff(np.append(first, len(h)))
+        rows = []
+        if len(first):
+            here = block.ids[row[order]]
             several = np.minimum.reduceat(here, first) != np.maximum.reduceat(here, first)
-            flag = np.zeros(len(order), np.uint8)
-            flag[order] = np.repeat(several, size)
-            send = flag == 0
-            send[order[first]] = True
-            hi, lo = (h >> U(16)).astype("<u4"), (h & U(0xFFFF)).astype("<u2")
-            w = np.flatnonzero(flag)
-            if len(w):
-                yield _to_blocks(ids, hashes, block, row[w], pos[w], n[w], hi[w], lo[w])
-            w = np.flatnonzero(send)
-            rows = []
-            for k, own in grouped((h[w] % U(buckets)).astype(np.int64)):
-                own = w[own]
-                docs, local = np.unique(row[own], return_inverse=True)
-                step = np.diff(pos[own].astype(np.int64), prepend=0).astype("<u4")
-                columns = (np.diff(local, prepend=0).astype("<u4"), step, n[own], hi[own], lo[own], flag[own])
-                rows.append((k, 0, pack(ids[docs].view("<u8"), hashes[docs].view("<u8"), block[docs].astype("<u4"), *columns)))
-            yield _out(rows)
+            tag = (np.minimum(count, HOT_RUNS - 1) * 2 + several).astype("<u2")
+            values = h[first]
+            for k, at in grouped((values >> U(bits - depth)).astype(np.int64)):
+                local = values[at] & U((1 << (bits - depth)) - 1)
+                rows.append((k, 0, pack(np.array([block.number, k], "<u8"), np.diff(local, prepend=U(0)).astype(wide), tag[at])))
+        return pa.Table.from_batches([_out(rows)])
 
     return work
 
 
-def _shared_runs(batches):
-    """Kernel 2: of each bucket, the runs whose minimizer occurs in several documents, to the blocks."""
+def _answer(hot_runs: int):
+    """Kernel 2: for each minimizer of a block's list 0 (met in one document), 1 (in several) or 2 (in ``hot_runs`` runs)."""
 
     def handle(blobs):
-        cols, docs, base = [], [], 0
-        for blob in blobs:
-            ids, hashes, block, local, pos, n, hi, lo, flag = unpack(blob)
-            which = np.cumsum(local.astype(np.int64)) + base
-            cols.append((hi.astype(U) << U(16) | lo, which, np.cumsum(pos, dtype=np.uint32), n, hi, lo, flag))
-            docs.append((ids.view(np.int64), hashes.view(np.int64), block))
-            base += len(ids)
-        h, doc, pos, n, hi, lo, flag = (np.concatenate(x) for x in zip(*cols, strict=True))
-        ids, hashes, block = (np.concatenate(x) for x in zip(*docs, strict=True))
-        order = np.argsort(h, kind="stable")
-        group = h[order]
-        first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-        size = np.diff(np.append(first, len(order)))
-        here = ids[doc[order]]
-        shared = (np.minimum.reduceat(here, first) != np.maximum.reduceat(here, first)) | (np.maximum.reduceat(flag[order], first) > 0)
-        # flagged entries stand for runs that kernel 1 passed on by itself
-        w = np.sort(order[np.repeat(shared, size) & (flag[order] == 0)])
-        yield _to_blocks(ids, hashes, block, doc[w], pos[w], n[w], hi[w], lo[w])
+        lists = [unpack(blob) for blob in blobs]
+        value = np.concatenate([np.cumsum(step, dtype=U) for _, step, _ in lists])
+        tag = np.concatenate([t for _, _, t in lists]).astype(np.int64)
+        order = np.argsort(value, kind="stable")
+        v = value[order]
+        first = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
+        size = np.diff(np.append(first, len(v)))
+        shared = (size > 1) | (np.maximum.reduceat(tag[order] & 1, first) > 0)
+        often = np.add.reduceat(tag[order] >> 1, first) >= hot_runs
+        answer = np.empty(len(v), np.uint8)
+        answer[order] = np.repeat((shared * (1 + often)).astype(np.uint8), size)
+        upto = np.cumsum([len(t) for _, _, t in lists])
+        yield _out([(int(head[0]), 1, pack(head[1:], own)) for (head, _, _), own in zip(lists, np.split(answer, upto[:-1]), strict=True)])
 
-    yield from by_bucket(batches, handle)
+    def work(batches):
+        yield from by_bucket(batches, handle)
 
+    return work
 
-def _pack_documents(batches):
-    """Documents packed by block."""
-    for batch in pieces(batches, "text", 4 << 20):
-        ids, hashes, block = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "th", "block"))
-        data, off = buffers(batch.column("text"))
-        raw = data.tobytes()
-        rows = []
-        for k, at in grouped(block):
-            texts = [raw[off[r] : off[r + 1]] for r in at.tolist()]
-            sizes = (off[at + 1] - off[at]).astype("<u8")
-            rows.append((k, 2, pack(ids[at].view("<u8"), hashes[at].view("<u8"), sizes, np.frombuffer(b"".join(texts), np.uint8))))
-        yield _out(rows)
+
+def _pack_documents(blocks: int, hot):
+    """Documents packed by block; those of a ``hot`` key (sorted keys, and blocks for each) are spread by id and hash."""
+
+    def work(batches):
+        keys, parts = hot.value
+        for batch in pieces(batches, "text", 4 << 20):
+            ids, hashes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "th"))
+            data, off = buffers(batch.column("text"))
+            raw = data.tobytes()
+            key = document_keys(data, off, hashes)
+            if len(keys):
+                near = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                own = mix(ids.view(U) * ODD[9] + hashes.view(U)) % parts[near]
+                key = np.where(keys[near] == key, key + own * ODD[11], key)
+            rows = []
+            for k, at in grouped((mix(key) % U(blocks)).astype(np.int64)):
+                texts = [raw[off[r] : off[r + 1]] for r in at.tolist()]
+                sizes = (off[at + 1] - off[at]).astype("<u8")
+                rows.append((k, 2, pack(ids[at].view("<u8"), hashes[at].view("<u8"), sizes, np.frombuffer(b"".join(texts), np.uint8))))
+            yield _out(rows)
+
+    return work
 
 
 def _documents(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
@@ -209,17 +272,35 @@ def _documents(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, byt
     return np.concatenate([z, *ids]), np.concatenate([z, *hashes]), np.cumsum(np.concatenate(sizes)), b"".join(texts)
 
 
-def _send_strings(length: int, shards: int):
+def _send_strings(length: int, bits: int, shards: int):
     """Kernel 3: the bytes of shared runs of a block to their shards; equal strings of a block go once."""
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         if not right.num_rows or not left.num_rows:
             return pa.Table.from_batches([_out([])])
-        ids, hashes, off, raw = _documents(left)
-        number = {key: r for r, key in enumerate(zip(ids.tolist(), hashes.tolist(), strict=True))}
-        own_ids, own_hashes, doc, (pos, n, hi, lo) = _from_blobs(right.column("blob").to_pylist(), 4)
-        place = np.fromiter((number[k] for k in zip(own_ids.tolist(), own_hashes.tolist(), strict=True)), np.int64, len(own_ids))
-        row = place[doc]
+        block = _Block(left)
+        ids, hashes, off, raw = block.ids, block.hashes, block.off, block.raw
+        number = np.full(len(ids), block.number)
+        out = []
+        size = np.diff(off)
+        copies = np.flatnonzero((ids > ids[block.first]) & (size >= length))
+        if len(copies):
+            out.append(_to_blocks(ids, hashes, number, copies, np.zeros(len(copies), "<u4"), (size[copies] - length + 1).astype("<u4")))
+        row, pos, n, h = block.runs(length, bits)
+        answers = sorted((unpack(blob) for blob in right.column("blob").to_pylist()), key=lambda x: int(x[0][0]))
+        _, which = np.unique(h, return_inverse=True)
+        answer = np.concatenate([x[1] for x in answers])[which]
+        keep = np.flatnonzero(answer)
+        row, pos, n, h, answer = row[keep], pos[keep], n[keep], h[keep], answer[keep]
+        hot = np.flatnonzero(answer == 2)
+        if len(hot):
+            many = n[hot]
+            step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            rest = np.flatnonzero(answer == 1)
+            hot_row, hot_pos = np.repeat(row[hot], many), np.repeat(pos[hot], many) + step
+            row, pos = np.concatenate((row[rest], hot_row)), np.concatenate((pos[rest], hot_pos))
+            n = np.concatenate((n[rest], np.ones(len(step), np.int64)))
+            h = np.concatenate((h[rest], _window_hashes(raw, off[hot_row] + hot_pos, length)))
         start = off[row] + pos
         end = start + n + (length - 1)
         strings = [raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
@@ -229,25 +310,43 @@ def _send_strings(length: int, shards: int):
             if d < least.setdefault(s, d):
                 least[s] = d
         low = np.fromiter((least[s] for s in strings), np.int64, len(strings))
-        block = np.full(len(ids), left.column("bucket")[0].as_py())
-        out = []
+        pos, n = pos.astype("<u4"), n.astype("<u4")
         late = np.flatnonzero(own > low)
         if len(late):
-            out.append(_to_blocks(ids, hashes, block, row[late], pos[late], n[late]))
+            out.append(_to_blocks(ids, hashes, number, row[late], pos[late], n[late]))
+        # of the smallest document's equal strings one goes to the shard for all of them
+        once: dict[bytes, int] = {}
         w = np.flatnonzero(own == low)
-        h = (hi[w].astype(U) << U(16) | lo[w]) % U(shards)
         rows = []
-        for k, at in grouped(h.astype(np.int64)):
+        for k, at in grouped((h[w] % U(shards)).astype(np.int64)):
             at = w[at]
             docs, local = np.unique(row[at], return_inverse=True)
-            text = np.frombuffer(b"".join([strings[i] for i in at.tolist()]), np.uint8)
+            text = np.frombuffer(b"".join([strings[i] for i in at.tolist() if once.setdefault(strings[i], i) == i]), np.uint8)
+            again = np.fromiter((once[strings[i]] for i in at.tolist()), np.int64, len(at))
+            _, string = np.unique(again, return_inverse=True)
             head = (ids[docs].view("<u8"), hashes[docs].view("<u8"), local.astype("<u4"), pos[at], n[at])
-            rows.append((k, 0, pack(*head, block[:1].astype("<u8"), text)))
+            rows.append((k, 0, pack(*head, string.astype("<u4"), number[:1].astype("<u8"), text)))
         return pa.Table.from_batches([*out, _out(rows)])
 
     return work
 
 
+def _window_hashes(raw: bytes, start: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the ``length`` bytes from each start on."""
+    out = np.empty(len(start), U)
+    data = np.frombuffer(raw, np.uint8)
+    order = np.argsort(start, kind="stable")
+    at = 0
+    while at < len(order):  # slices of the text that lie near each other
+        low = start[order[at]]
+        to = int(np.searchsorted(start[order], low + SLICE, "left"))
+        own = order[at:to]
+        piece = data[low : start[own[-1]] + length]
+        out[own] = span_hashes(piece, start[own] - low, start[own] - low + length)
+        at = to
+    return out
+
+
 def marked_windows(strings: list[bytes], least: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """The starts of windows that occur in a string of a smaller document, and where those of each string begin.
 
@@ -284,18 +383,18 @@ def _mark(length: int):
     def handle(blobs):
         parts, blocks = [], []
         number: dict[bytes, int] = {}
-        which: list[int] = []
+        which: list[np.ndarray] = []
         for blob in blobs:
-            ids, _, _, _, n, block, text = unpack(blob)
+            ids, _, _, _, n, own, block, text = unpack(blob)
             blocks.append(np.full(len(ids), block[0].astype(np.int64)))
             raw = text.tobytes()
-            at = 0
-            for size in (n.astype(np.int64) + (length - 1)).tolist():
-                which.append(number.setdefault(raw[at : at + size], len(number)))
-                at += size
+            _, first = np.unique(own, return_index=True)  # strings stand in the order of their first entries
+            upto = np.cumsum(n[first].astype(np.int64) + (length - 1))
+            names = [number.setdefault(raw[a:b], len(number)) for a, b in zip([0, *upto[:-1].tolist()], upto.tolist(), strict=True)]
+            which.append(np.array(names, np.int64)[own])
         ids, hashes, doc, (pos, n) = _from_blobs(blobs, 2)
         block = np.concatenate(blocks)
-        string = np.array(which, np.int64)
+        string = np.concatenate(which)
         least = np.full(len(number), np.iinfo(np.int64).max)
         np.minimum.at(least, string, ids[doc])
         hit, cut = marked_windows(list(number), least, length)
@@ -316,7 +415,7 @@ def _mark(length: int):
         yield _to_blocks(ids, hashes, block, row, start.astype("<u4"), size.astype("<u4"))
 
     def work(batches):
-        yield from by_bucket(batches, handle)
+        yield from by_bucket(batches, handle, SHARD_BYTES)
 
     return work
 
@@ -369,27 +468,33 @@ def _cut(length: int):
     return work
 
 
-def suffix_dedup(docs: DataFrame, length: int = 50) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 50, hot_runs: int = HOT_RUNS) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (the remaining bytes) for each row of ``docs(doc_id, text)``."""
     if length < GRAM:
         raise ValueError(f"length must be {GRAM} or more")
+    spark = docs.sparkSession
     keyed = text_key(docs)
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = 1 + int(total * 2 / (length - GRAM + 1) * 16) // BUCKET_BYTES
-    keyed = keyed.withColumn("block", F.pmod(F.xxhash64("doc_id", "th"), F.lit(1 + total // BLOCK_BYTES)))
-    runs = keyed.mapInArrow(trimmed(_send_runs(length, buckets)), SCHEMA)
-    runs = runs.repartition(max(buckets, partitions), "bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(_shared_runs), SCHEMA)
-    runs = stored(runs, "runs")
-    # a run's string is as long as a window and the run; packed entries are about 10 bytes
-    packed = runs.agg(F.sum(F.octet_length("blob"))).first()[0] or 0
-    shards = 1 + packed // 10 * (length + 25) // SHARD_BYTES
-    blocks = keyed.mapInArrow(trimmed(_pack_documents), SCHEMA)  # both uses below read one shuffle
-    strings = blocks.groupBy("bucket").cogroup(runs.groupBy("bucket")).applyInArrow(_send_strings(length, shards), SCHEMA)
-    strings = strings.repartition(max(shards, partitions), "bucket").sortWithinPartitions("bucket")
+    least = max(BLOCK_BYTES // 2, total // HOT_KEYS)
+    sizes = keyed.mapInArrow(trimmed(_key_sizes), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    large = sorted((r[0] & ((1 << 64) - 1), 1 + r[1] // (BLOCK_BYTES // 2)) for r in sizes.where(F.col("n") > least).collect())
+    hot = spark.sparkContext.broadcast(tuple(np.array([x[k] for x in large], U) for k in (0, 1)))
+
+    runs = 1 + total * 2 // (length - GRAM + 2)
+    bits = min(runs.bit_length() + 10, 60)
+    depth = (runs * 16 // BUCKET_BYTES).bit_length()
+    shards = 1 + 2 * total // SHARD_BYTES
+    blocks = keyed.mapInArrow(trimmed(_pack_documents(1 + total // BLOCK_BYTES, hot)), SCHEMA)
+    blocks = blocks.repartition(max(total // (16 * BLOCK_BYTES), partitions), "bucket")  # all uses below read this one shuffle
+    lists = blocks.groupBy("bucket").applyInArrow(trimmed_group(_list_minimizers(length, bits, depth)), SCHEMA)
+    lists = lists.repartition(max(1 << depth, partitions), "bucket").sortWithinPartitions("bucket")
+    answers = lists.mapInArrow(trimmed(_answer(hot_runs)), SCHEMA)
+    strings = blocks.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(trimmed_group(_send_strings(length, bits, shards)), SCHEMA)
+    strings = strings.repartition(max(shards // 8, partitions), "bucket").sortWithinPartitions("bucket")
     spans = strings.mapInArrow(trimmed(_mark(length)), SCHEMA)
     out = blocks.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(
-        _cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+        trimmed_group(_cut(length)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
     )
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit((1 << 63) - 1)))
 
