@@ -2,13 +2,14 @@
 
 Each language has a codeword of +1 and -1. For each bit one binary classifier over hashed byte
 trigrams tells the languages with +1 from those with -1; its margin is the mean log odds of a text's
-trigrams. Decoding weighs every bit by its training accuracy, adds the logistic losses of the margins
-against each codeword, and takes the codeword of least loss. When the runner-up is nearly as near,
-the row is flagged as ambiguous.
+trigrams (a naive Bayes classifier). Decoding weighs every bit by how much better than chance it tells the
+training texts apart, adds the logistic losses of the margins against each codeword, and takes the codeword of
+least loss. When the runner-up is nearly as near, the row is flagged as ambiguous.
 
-Fitting uses at most ``per_language`` labelled rows of each language (chosen by a hash of the text),
-whole texts; that bound keeps the model's cost constant. At most ``MOST_LANGUAGES`` languages. The
-prediction reads only the text.
+Fitting uses at most ``per_language`` distinct labelled texts of each language (those of the smallest hashes),
+whole texts; that bound keeps the model's cost constant. Equal texts count once, however many rows have them.
+At most ``MOST_LANGUAGES`` languages; one whose chosen texts have no trigram is not learned. The prediction reads
+only the text.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0 and not ambiguous; with no
 labelled text at all everything is ``und``; with one language every text with a letter gets it, with
@@ -22,10 +23,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytesops import LOWER, buffers, pieces, trimmed
+from .common import discard, stored
 
 BITS = 16
 MOST_LANGUAGES = 512
@@ -71,9 +73,19 @@ class Model:
                 continue
             weights.append(np.log(share[bit > 0].mean(axis=0)) - np.log(share[bit < 0].mean(axis=0)))
         self.weights = np.array(weights, np.float32)
-        #: How surely each bit tells the training languages apart: the least mean margin on its right side.
+        #: The unit of each bit's margins: the least mean margin of a training language on its right side.
         means = share @ self.weights.T if languages else np.zeros((0, 0))
-        self.trust = np.maximum((means * self.code).min(axis=0), 0.05) if languages else np.zeros(0)
+        self.scale = np.maximum((means * self.code).min(axis=0), 0.05) if languages else np.zeros(0)
+        #: The weight of each bit's loss; see :meth:`weigh`.
+        self.trust = np.ones(self.code.shape[1])
+
+    def right(self, data: np.ndarray, off: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """How many rows (of languages ``number``) have each bit's margin on the right side."""
+        return (self.margins(data, off) * self.code[number] > 0).sum(axis=0)
+
+    def weigh(self, right: np.ndarray, rows: int) -> None:
+        """Weigh the bits by their accuracy above chance on ``rows`` training texts."""
+        self.trust = np.maximum(2 * right / max(rows, 1) - 1, 0.05)
 
     def margins(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Mean log odds of each row under each bit; 0 for rows of fewer than 3 bytes."""
@@ -93,7 +105,7 @@ class Model:
 
     def decode(self, margins: np.ndarray, sharpness: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Best language, its probability and the lead over the runner-up for each row."""
-        scaled = margins / self.trust * sharpness
+        scaled = margins / self.scale * sharpness
         loss = np.stack([(self.trust * np.logaddexp(0, -scaled * c)).sum(axis=1) for c in self.code], axis=1) / self.trust.sum()
         if loss.shape[1] == 1:
             return np.zeros(len(loss), int), np.ones(len(loss)), np.ones(len(loss))
@@ -104,22 +116,35 @@ class Model:
         return best, p[np.arange(len(p)), best], ordered[:, -1] - ordered[:, -2]
 
 
+def _chosen(labelled: DataFrame, sizes: dict[str, int], most: int) -> DataFrame:
+    """``lang, text``: the distinct texts of the ``most`` smallest hashes of each language.
+
+    ``sizes``: about how many distinct texts a language has; only hashes below twice what that needs are
+    ordered, and beyond ``most`` texts a language loses none of them but by that order.
+    """
+    part = F.lit(1.0)
+    for x, n in sizes.items():
+        if n > most:
+            part = F.when(F.col("lang") == x, F.lit(min(1.0, 2.5 * most / n))).otherwise(part)
+    h = F.xxhash64("text")
+    near = labelled.where(F.pmod(h, F.lit(1 << 30)) <= part * (1 << 30)).select("lang", F.pmod(h, F.lit(1 << 30)).alias("place"), h.alias("h"), "text")
+    once = near.dropDuplicates(["lang", "h"])
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("place", "h"))
+    return once.withColumn("nth", nth).where(F.col("nth") <= most).select("lang", "text")
+
+
 def fit(train: DataFrame, per_language: int = 2000) -> Model:
     """A model of the labelled rows of ``train(text, lang)``."""
-    labelled = train.where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    labelled = train.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
+    sizes = labelled.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.05))
+    sizes = {r[0]: r[1] for r in sizes.limit(MOST_LANGUAGES + 1).collect()}
     if len(sizes) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    languages = sorted(sizes)
-    number = {x: i for i, x in enumerate(languages)}
-    counts = np.zeros((len(languages), 1 << BITS))
-    if not languages:
-        return Model(languages, counts)
-    part = F.lit(1.0)
-    for x, n in sizes.items():
-        if n > per_language:
-            part = F.when(F.col("lang") == x, F.lit(per_language / n)).otherwise(part)
-    chosen = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < part * (1 << 30))
+    if not sizes:
+        return Model([], np.zeros((0, 1 << BITS)))
+    chosen = stored(_chosen(labelled, sizes, per_language), "training")
+    names = sorted(sizes)
+    number = {x: i for i, x in enumerate(names)}
 
     def count(batches):
         total = np.zeros((len(number), 1 << BITS), np.int64)
@@ -131,12 +156,31 @@ def fit(train: DataFrame, per_language: int = 2000) -> Model:
         lang, bucket = np.nonzero(total)
         yield pa.record_batch({"lang": pa.array(lang), "bucket": pa.array(bucket), "n": pa.array(total[lang, bucket])})
 
+    counts = np.zeros((len(names), 1 << BITS))
     # languages times buckets rows at most reach the driver
-    for lang, bucket, n in (
-        chosen.select("text", "lang").mapInArrow(count, "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n")).collect()
-    ):
+    for lang, bucket, n in chosen.mapInArrow(count, "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n")).collect():
         counts[lang, bucket] = n
-    return Model(languages, counts)
+    some = counts.sum(axis=1) > 0
+    model = Model([x for x, good in zip(names, some, strict=True) if good], counts[some])
+    if len(model.languages) > 1:
+        shared = chosen.sparkSession.sparkContext.broadcast(model)
+
+        def judge(batches):
+            own = shared.value
+            place = {x: i for i, x in enumerate(own.languages)}
+            for batch in pieces(batches, "text"):
+                batch = batch.filter(pa.array([x in place for x in batch.column("lang").to_pylist()]))
+                data, off = buffers(batch.column("text"))
+                right = own.right(data, off, np.array([place[x] for x in batch.column("lang").to_pylist()], np.int64))
+                bits = np.append(right, batch.num_rows)
+                yield pa.record_batch({"bit": pa.array(np.arange(len(bits))), "n": pa.array(bits.astype(np.int64))})
+
+        right = np.zeros(model.code.shape[1] + 1)
+        for bit, n in chosen.mapInArrow(trimmed(judge), "bit long, n long").groupBy("bit").agg(F.sum("n")).collect():
+            right[bit] = n
+        model.weigh(right[:-1], int(right[-1]))
+    discard(chosen)
+    return model
 
 
 def identify(
