@@ -111,18 +111,21 @@ def _running(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
-        source, size = batch.column("source").to_pylist(), batch.column("size").to_pylist()
-        upto = []
-        for x, n in zip(source, size, strict=True):
-            total = n if (x,) != held else total + n
-            held = (x,)
-            upto.append(total)
+        source, size = batch.column("source"), batch.column("size").to_numpy()
+        code = source.dictionary_encode().indices.fill_null(-1).to_numpy()
+        first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+        upto = np.cumsum(size)
+        before = (upto - size)[first]  # what earlier sources hold; less what the first one brings along
+        if held == (source[0].as_py(),):
+            before[0] -= total
+        upto -= np.repeat(before, np.diff(np.append(first, len(code))))
+        held, total = (source[-1].as_py(),), int(upto[-1])
         yield pa.record_batch(
             {
                 "doc_id": pc.cast(batch.column("doc_id"), pa.int64()),
                 "source": pc.cast(batch.column("source"), pa.string()),
                 "size": batch.column("size"),
                 "part": batch.column("part"),
-                "upto": pa.array(upto, pa.int64()),
+                "upto": pa.array(upto.astype(np.int64)),
             }
         )
