@@ -19,10 +19,12 @@ _ROOTS: set[str] = set()
 def scratch(spark: SparkSession) -> str:
     """The folder for intermediate tables: inside ``spark.checkpoint.dir``, which every node shares.
 
-    Only when that is unset (tests, one machine) a local temporary folder stands in.
+    Where that is unset, a local master gets a temporary folder; on a cluster no folder is known to be shared.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
         base = f"file://{tempfile.gettempdir()}/arterial"
     root = f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
     if root not in _ROOTS:
@@ -47,7 +49,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_paths = [path]
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the tables behind results of :func:`stored` (or of what keeps its ``stored_paths``) that nothing will read again."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        for name in getattr(df, "stored_paths", []):
+            path = context._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ranked(df: DataFrame, columns: list[str], rank: str, name: str) -> DataFrame:
@@ -65,7 +78,7 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 64) ->
     """Connected components of the undirected ``edges(a, b)`` by alternating large and small stars.
 
     Returns ``(node, component)`` for every node of an edge that isn't its component's smallest one;
-    all others are their own component. Each round is two aggregations that combine before the
+    all others are their own component. The edges may be discarded then. Each round is two aggregations that combine before the
     shuffle and two joins that adaptive execution can split, so a hub costs no single task all its
     edges. The number of rounds grows with the logarithm of the longest path.
     """
@@ -85,14 +98,17 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 64) ->
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         near = large.join(low, "u")
         small = near.select("u", F.col("m").alias("v")).union(near.select(F.col("v").alias("u"), F.col("m").alias("v")))
-        e = stored(small.where("u <> v").distinct(), name)
+        last, e = e, stored(small.where("u <> v").distinct(), name)
+        discard(last)
         now = _mark(e)
         if now == before:
             break
         before = now
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    out = e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    out.stored_paths = e.stored_paths
+    return out
 
 
 def _mark(e: DataFrame) -> tuple:
