@@ -205,6 +205,20 @@ def test_language_id_cases(spark):
     assert only[0].lang_pred == "en" and only[0].score == 1.0
 
 
+def test_language_id_learns_from_equal_and_many_texts(spark):
+    rng = random.Random(9)
+    rows = [("aa ab ac ad ae " * 8, "aa")] * 5000 + [(" ".join(rng.choice("xyz") * 3 for _ in range(20)), "bb") for _ in range(3000)] + [("x", "cc")]
+    train = spark.createDataFrame(rows, "text string, lang string")
+    model = language_id.fit(train, per_language=200)
+    assert model.languages == ["aa", "bb"]
+    chosen = language_id._chosen(train, {"aa": 1, "bb": 3000, "cc": 1}, 200).groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in chosen} == {"aa": 1, "bb": 200, "cc": 1}
+    df = spark.createDataFrame([(1, rows[0][0]), (2, rows[5001][0]), (3, "xxx yyy zzz")], "doc_id long, text string")
+    got = language_id.identify(df, model)
+    assert [(r.doc_id, r.lang_pred) for r in got.collect()] == [(1, "aa"), (2, "bb"), (3, "bb")]
+    assert language_id.identify(df.limit(0), model).count() == 0
+
+
 @pytest.mark.parametrize("n", [2, 3, 4, 7, 8, 40])
 def test_codewords_stay_apart(n):
     code = language_id.codewords(n)
@@ -443,6 +457,26 @@ def test_suffix_dedup_sample_many_shards(spark, monkeypatch):
     assert sum(r.n_removed for r in got) > 0
 
 
+@pytest.mark.parametrize("hot_runs", [1, 5])
+def test_suffix_dedup_frequent_minimizers_and_small_blocks(spark, monkeypatch, hot_runs):
+    for name in ("SHARD_BYTES", "BUCKET_BYTES", "BLOCK_BYTES"):
+        monkeypatch.setattr(suffix_dedup, name, 4000)
+    docs = corpus(5)
+    rng = random.Random(2)
+    passage = text(rng, 30)
+    docs += [(300 + i, f"{text(rng, i % 7)} {passage} {text(rng, i % 5)}") for i in range(60)] + [(400 + i, docs[3][1]) for i in range(30)]
+    got = suffix_dedup.kept_digest(suffix_dedup.suffix_dedup(frame(spark, docs), hot_runs=hot_runs)).collect()
+    assert sorted(map(tuple, got)) == brute.suffix(docs)
+
+
+def test_document_keys_of_copies_agree():
+    texts = ["one two three four five six seven", "one two three four five six seven", "", "x", "word " * 9, "-" * 40]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    off = np.cumsum([0, *map(len, texts)])
+    keys = suffix_dedup.document_keys(data, off, np.arange(6))
+    assert keys[0] == keys[1] and len(set(keys.tolist())) == 5
+
+
 def test_suffix_dedup_null_ids_and_empty_table(spark):
     t = text(random.Random(1), 40)
     got = {(r.doc_id, r.n_removed) for r in suffix_dedup.suffix_dedup(frame(spark, [(None, t), (8, t), (8, t), (9, t)])).collect()}
