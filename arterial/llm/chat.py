@@ -2,14 +2,17 @@
 
 A conversation is cut into windows of at most ``budget`` tokens (words, and two for the marks of a
 turn). Prefix sums of the turns' tokens choose spans that begin and end at turns: a window takes new
-turns while they fit. Every window but the first repeats the conversation's first system turn and, as
-context, the last turns before it, up to ``history`` tokens. Repeated turns come first and are masked;
-of the new turns the assistant's texts are under the loss mask, so each is a target once. A turn
-larger than the budget stands whole in a window of its own.
-
-Turns are grouped by (conversation, turn div ``group_turns``); a group also gets the last
-``history_turns`` turn numbers of the group before it as context. A group starts a new window, so a
-conversation of any length is spread over many rows and tasks.
+turns while they fit beside ``history`` tokens and the system turn. A window repeats the conversation's first system
+turn if that was said before it, and as context the last turns before it, up to ``history`` tokens and to what the
+budget leaves. Repeated turns come first and are masked; of the new turns the assistant's texts are under the loss
+mask, so each is a target once. Only where the system turn and one new turn exceed the budget together does
+a window exceed it, and it holds nothing else.
+
+Turns are counted by (conversation, turn div ``group_turns``), null turns by role and the first 16 characters too,
+and the counts' prefix sums deal them into groups of about ``group_turns`` turns, whatever numbers the turns have. A
+group also gets the turns of the two groups before it, which hold at least ``group_turns`` turns and thus
+``2 * group_turns`` tokens, as context. A group starts a new window, so a conversation of any length is spread over many rows
+and tasks. Conversations whose turns all have one quotient need no dealing.
 
 The template is ``<turn>role\\ntext</turn>\\n``. In role and text a backslash is doubled, and a backslash
 is put after the ``<`` of a mark (in a role, a newline becomes ``<\\br>``), so marks occur only as marks
@@ -22,7 +25,7 @@ conversation; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD
@@ -51,51 +54,78 @@ def _unescape_role(c: Column) -> Column:
     return unescape(F.replace(c, F.lit("<\\br>"), F.lit("\n")))
 
 
-def windows(
-    conversations: DataFrame, budget: int = 512, history: int = 128, group_turns: int = 64, history_turns: int = 8
-) -> DataFrame:
+def _groups(rows: DataFrame, group_turns: int) -> DataFrame:
+    """``rows`` with ``part``, the group of each turn, and copies (``new`` is false) for up to two later groups."""
+    counts = rows.groupBy("conv_id", "place").agg(F.count(F.lit(1)).alias("n"))
+    by_conv = Window.partitionBy("conv_id").orderBy("place")
+    counts = counts.withColumn("several", F.count(F.lit(1)).over(Window.partitionBy("conv_id")) > 1).where("several")
+    before = F.sum("n").over(by_conv) - F.col("n")
+    counts = counts.withColumn("part", F.floor(before / group_turns).cast("long"))
+    # the next two groups that there are
+    parts = counts.groupBy("conv_id", "part").agg(F.collect_list("place").alias("places"))
+    in_order = Window.partitionBy("conv_id").orderBy("part")
+    parts = parts.withColumn("later", F.array_compact(F.array(F.lead("part", 1).over(in_order), F.lead("part", 2).over(in_order))))
+    dealt = parts.select(F.col("conv_id").alias("c"), F.explode("places").alias("p"), F.col("part").alias("own_part"), "later")
+    known = rows.join(dealt, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("place") == F.col("p")), "left")
+    first = F.struct(F.coalesce("own_part", F.lit(0).cast("long")).alias("part"), F.lit(True).alias("new"))
+    again = F.transform(F.coalesce("later", F.expr("CAST(array() AS array<long>)")), lambda x: F.struct(x.alias("part"), F.lit(False).alias("new")))
+    return known.withColumn("at", F.explode(F.concat(F.array(first), again))).select("conv_id", "at.*", "turn", "role", "body", "tokens")
+
+
+def windows(conversations: DataFrame, budget: int = 512, history: int = 128, group_turns: int = 256) -> DataFrame:
     """``conv_id, part, window, text, n_context, loss``: one row for each window.
 
     ``(part, window)`` orders a conversation's windows; ``n_context`` turns at the start of ``text``
     repeat earlier ones; ``loss`` is an array of (start, end) in code points of ``text``.
     """
-    no_turn = -(1 << 40)
+    if 2 * group_turns < history:
+        raise ValueError("group_turns must be at least half of history")
+    text = F.coalesce("text", F.lit(""))
+    nameless = F.col("turn").isNull()
     rows = conversations.select(
         "conv_id",
-        F.coalesce(F.floor(F.col("turn") / group_turns).cast("long"), F.lit(no_turn)).alias("part"),
+        F.struct(
+            F.coalesce(F.floor(F.col("turn") / group_turns).cast("long"), F.lit(-(1 << 62))).alias("part"),
+            F.when(nameless, F.coalesce("role", F.lit(""))).otherwise("").alias("role"),
+            F.when(nameless, F.left(text, F.lit(16))).otherwise("").alias("text"),
+        ).alias("place"),
         F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 62))).alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"),
-        F.coalesce("text", F.lit("")).alias("body"),
-        (F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)) + 2).cast("long").alias("tokens"),
-    )
-    systems = rows.where("role = 'system'").groupBy("conv_id").agg(F.min(F.struct("turn", "body", "tokens")).alias("system"))
-    late = rows.where((F.col("turn") >= 0) & (F.col("turn") % group_turns >= group_turns - history_turns))
-    own = rows.withColumn("new", F.lit(True)).union(late.withColumn("part", F.col("part") + 1).withColumn("new", F.lit(False)))
-    groups = (
-        own.groupBy("conv_id", "part")
-        .agg(F.sort_array(F.collect_list(F.struct("turn", "role", "body", "tokens", "new"))).alias("turns"))
-        .where(F.exists("turns", lambda x: x["new"]))
+        text.alias("body"),
+        (F.regexp_count(text, F.lit(WORD)) + 2).cast("long").alias("tokens"),
     )
+    systems = rows.where("role = 'system'").groupBy("conv_id").agg(F.min(F.struct("turn", "role", "body", "tokens")).alias("system"))
+    own = _groups(rows, group_turns)
+    groups = own.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "body", "tokens", "new"))).alias("turns"))
     s = systems.select(F.col("conv_id").alias("s_id"), "system")
     groups = groups.join(s, F.col("conv_id").eqNullSafe(F.col("s_id")), "left").drop("s_id")
+    # the system turn is repeated in windows whose first new turn comes after it in the conversation's order
+    key = lambda t: F.struct(t["turn"].alias("turn"), t["role"].alias("role"), t["body"].alias("body"))
+    system_key = F.when(F.col("system").isNotNull(), key(F.col("system")))
+    repeated = lambda t: F.coalesce(system_key < key(t), F.lit(False))
+    system_tokens = lambda t: F.when(repeated(t), F.col("system.tokens")).otherwise(F.lit(0).cast("long"))
     # the window of each turn: a new turn starts one when it doesn't fit; context turns have window -1
-    room = F.lit(budget) - history - F.coalesce("system.tokens", F.lit(0))
-    start = F.struct(F.lit(-1).alias("window"), F.lit(0).cast("long").alias("used"), F.expr("CAST(array() AS array<int>)").alias("of"))
+    start = F.struct(
+        F.lit(-1).alias("window"),
+        F.lit(0).cast("long").alias("used"),
+        F.lit(0).cast("long").alias("room"),
+        F.expr("CAST(array() AS array<int>)").alias("of"),
+    )
 
     def place(acc: Column, turn: Column) -> Column:
-        first_ever = (acc["window"] <= 0) & (F.col("part") <= 0)
-        fits = (acc["window"] >= 0) & (acc["used"] + turn["tokens"] <= F.when(first_ever, F.lit(budget)).otherwise(room))
-        window = F.when(fits, acc["window"]).otherwise(acc["window"] + 1)
-        used = F.when(fits, acc["used"] + turn["tokens"]).otherwise(turn["tokens"])
-        return F.when(
-            turn["new"],
+        # nothing stands before a conversation's first turn
+        past = F.when((F.col("part") == 0) & (F.size(acc["of"]) == 0), F.lit(0)).otherwise(F.lit(history))
+        fits = (acc["window"] >= 0) & (acc["used"] + turn["tokens"] <= acc["room"])
+        window = F.when(fits, acc["window"]).otherwise(acc["window"] + 1).cast("int")
+        used = F.when(fits, acc["used"]).otherwise(F.lit(0)) + turn["tokens"]
+        room = F.when(fits, acc["room"]).otherwise(F.lit(budget) - past - system_tokens(turn))
+        placed = F.struct(
+            window.alias("window"), used.cast("long").alias("used"), room.cast("long").alias("room"), F.concat(acc["of"], F.array(window)).alias("of")
+        )
+        return F.when(turn["new"], placed).otherwise(
             F.struct(
-                window.cast("int").alias("window"),
-                used.cast("long").alias("used"),
-                F.concat(acc["of"], F.array(window.cast("int"))).alias("of"),
-            ),
-        ).otherwise(
-            F.struct(acc["window"].alias("window"), acc["used"].alias("used"), F.concat(acc["of"], F.array(F.lit(-1))).alias("of"))
+                acc["window"].alias("window"), acc["used"].alias("used"), acc["room"].alias("room"), F.concat(acc["of"], F.array(F.lit(-1))).alias("of")
+            )
         )
 
     sums = F.aggregate(
@@ -106,16 +136,17 @@ def windows(
     first = (F.array_position("of", F.col("window")) - 1).cast("int")
     last = F.size(F.filter("of", lambda w: w <= F.col("window")))
     each = each.withColumn("first", first).withColumn("last", last)
+    opening = F.get("turns", F.col("first"))
+    each = each.withColumn("again", repeated(opening))
     # context: the longest run of turns just before the first new one within the history's tokens, the system turn aside
-    is_system = lambda t: (
-        F.col("system").isNotNull() & (t["role"] == "system") & (t["turn"] == F.col("system.turn")) & (t["body"] == F.col("system.body"))
-    )
-    from_turn = F.size(F.filter("sums", lambda x: x < F.element_at("sums", F.col("first") + 1) - history))
+    is_system = lambda t: F.coalesce(key(t) == system_key, F.lit(False))
+    used = F.get("sums", F.col("last")) - F.get("sums", F.col("first")) + F.when(F.col("again"), F.col("system.tokens")).otherwise(F.lit(0))
+    each = each.withColumn("least", F.get("sums", F.col("first")) - F.least(F.lit(history), F.lit(budget) - used))
+    from_turn = F.least(F.size(F.filter("sums", lambda x: x < F.col("least"))), F.col("first"))
     before = F.filter(F.slice("turns", from_turn + 1, F.col("first") - from_turn), lambda t: ~is_system(t))
     fresh = F.slice("turns", F.col("first") + 1, F.col("last") - F.col("first"))
     again = F.when(
-        F.col("system").isNotNull() & ~F.exists(fresh, is_system),
-        F.array(F.struct(F.lit("system").alias("role"), F.col("system.body").alias("body"))),
+        F.col("again"), F.array(F.struct(F.lit("system").alias("role"), F.col("system.body").alias("body")))
     ).otherwise(F.expr("CAST(array() AS array<struct<role: string, body: string>>)"))
     slim = lambda a: F.transform(a, lambda t: F.struct(t["role"].alias("role"), t["body"].alias("body")))
     each = each.select(
@@ -169,31 +200,28 @@ def parse(formatted: DataFrame) -> DataFrame:
 def digests(formatted: DataFrame) -> DataFrame:
     """``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_windows`` read back from :func:`windows`.
 
-    The digests cover a whole conversation, so its text ends up in one row; windows are joined to one
-    string for each task before that.
+    The digests cover a whole conversation, so its text ends up in one row. The masked text travels by
+    itself only where it isn't that of the window's assistant turns.
     """
+    said_by = lambda turns: F.array_join(F.transform(F.filter(turns, lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    target = F.array_join("targets", "")
     back = parse(formatted).select(
-        "conv_id",
-        "part",
-        "window",
-        F.size("turns").alias("n"),
-        F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("said"),
-        F.array_join("targets", "").alias("target"),
-        F.length("text").alias("chars"),
+        "conv_id", "part", "window", "turns", F.when(target != said_by(F.col("turns")), target).alias("other"), F.length("text").alias("chars")
     )
     whole = back.groupBy("conv_id").agg(
-        F.sum("n").cast("long").alias("n_turns"),
-        F.sort_array(F.collect_list(F.struct("part", "window", "said", "target"))).alias("parts"),
+        F.sum(F.size("turns")).cast("long").alias("n_turns"),
+        F.sort_array(F.collect_list(F.struct("part", "window", "turns", "other"))).alias("parts"),
         F.sum("chars").cast("long").alias("formatted_chars"),
         F.count(F.lit(1)).alias("n_windows"),
     )
-    joined = lambda field: F.array_join(F.transform("parts", lambda x: x[field]), "")
-    return whole.select(
+    said = F.array_join(F.flatten(F.transform("parts", lambda x: F.transform(x["turns"], lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))), "")
+    loss = F.array_join(F.transform("parts", lambda x: F.coalesce(x["other"], said_by(x["turns"]))), "")
+    return whole.select("conv_id", "n_turns", said.alias("said"), loss.alias("loss"), "formatted_chars", "n_windows").select(
         "conv_id",
         "n_turns",
-        F.sha2(joined("said"), 256).alias("turns_sha256"),
-        F.length(joined("target")).cast("long").alias("loss_chars"),
-        F.sha2(joined("target"), 256).alias("loss_sha256"),
+        F.sha2("said", 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
         "formatted_chars",
         "n_windows",
     )
