@@ -127,25 +127,25 @@ def cosine_links(rows, least=0.98):
 TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
-def leaks(docs, items, masks, window=16, percent=80, least=8):
-    tok = lambda t: [x.lower() if x.isascii() else bytes(c + 32 if 65 <= c <= 90 else c for c in x) for x in TOKEN.findall((t or "").encode())]
+def leaks(docs, items, window=16, percent=80):
+    """doc -> ids of the items that some window of it agrees with; every place of an item with every place of a text"""
+    import numpy as np
+
+    number = {}
+    tok = lambda t: np.array([number.setdefault(x.lower() if x.isascii() else bytes(c + 32 if 65 <= c <= 90 else c for c in x), len(number)) for x in TOKEN.findall((t or "").encode())], int)
     out = {}
-    known = [(i, tok(t)) for i, t in items]
+    known = [(i, tok(t)) for i, t in items if t]
     for d, t in docs:
-        text = tok(t)
-        found = set()
+        text, found = tok(t), set()
         for i, item in known:
-            if len(item) < least:
-                continue
             size = min(window, len(item))
-            for g in range(-len(item), len(text)):
-                a, b = max(g, 0), min(g + len(item), len(text))
-                same = [text[p] == item[p - g] for p in range(a, b)]
-                seed = any(
-                    all(same[p + j] for j, bit in enumerate(m) if bit == "1") for m in masks for p in range(len(same) - len(m) + 1)
-                )
-                if seed and any(100 * sum(same[p : p + size]) >= percent * size for p in range(len(same) - size + 1)):
-                    found.add(i)
+            n, m = len(text) - size + 1, len(item) - size + 1
+            if not size or n <= 0:
+                continue
+            same = text[:, None] == item[None, :]
+            total = sum(same[k : k + n, k : k + m].astype(int) for k in range(size))
+            if 100 * total.max() >= percent * size:
+                found.add(i)
         out[d] = sorted(found)
     return out
 
@@ -161,6 +161,53 @@ def base_spans(text):
     return sorted(out)
 
 
+WEAK = (
+    (3, re.compile(r"\b(?=[A-Z0-9]*[0-9])[A-Z][A-Z0-9]{11,31}\b", re.A)),
+    (4, re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,}={0,2}")),
+    (5, re.compile(r"\b(?:https?|postgres|mysql|redis|amqp|s3)://[^ \t\n\x0b\f\r\"'<>]+", re.I | re.A)),
+)
+
+
+def all_spans(text, scope=200):
+    """Base spans and the weak ones that have their complements near, each pair compared."""
+    base = base_spans(text)
+    weak = [(m.start(), k, m.end()) for k, p in WEAK for m in p.finditer(text or "")]
+    weak = [w for w in weak if all(w[2] <= b[0] or b[2] <= w[0] for b in base)]
+    part = lambda k: 0 if k in (1, 3) else 2 if k == 5 else 1
+    out = list(base)
+    for w in weak:
+        met = set()
+        for o in base + weak:
+            apart = o[0] >= w[2] or w[0] >= o[2]
+            if apart and o[0] <= w[2] + scope and w[0] <= o[2] + scope and part(o[1]) != part(w[1]):
+                met.add(part(o[1]))
+        if met & {0, 1} if w[1] < 5 else met >= {0, 1}:
+            out.append(w)
+    return sorted(set(out))
+
+
+def chat_windows(turns, budget=512, history=128):
+    """The windows of one conversation of few turns in order: [(repeated system?, context turns, new turns)], by filling up."""
+    size = [len(words(body)) + 2 for _, _, body in turns]
+    system = next((i for i, t in enumerate(turns) if t[1] == "system"), None)
+    out, i = [], 0
+    while i < len(turns):
+        again = system is not None and turns[system] < turns[i]
+        own = size[system] if again else 0
+        room = budget - own - (history if i else 0)
+        j, used = i + 1, size[i]
+        while j < len(turns) and used + size[j] <= room:
+            used += size[j]
+            j += 1
+        left, k = min(history, budget - own - used), i
+        while k and size[k - 1] <= left:
+            k -= 1
+            left -= size[k]
+        out.append((again, [t for t in turns[k:i] if system is None or t != turns[system]], turns[i:j]))
+        i = j
+    return out
+
+
 def targets(sizes, weights=(1, 2, 3), most=3):
     """source -> target by filling up in rounds"""
     order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
