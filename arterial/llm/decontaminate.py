@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import LOWER, ODD, U, buffers, mix, pieces, span_hashes, trimmed, word_spans
+from .common import stored
 
 #: Masks of weight 5. Together they meet every placing of the tokens that 80 percent allow to differ, for each size
 #: from ``LEAST`` to 16 (3 of 15 and 16, 2 of 10 to 14, 1 of 8 and 9); the last one is for 2 of 10.
@@ -266,6 +267,7 @@ def find_leaks(
             )
         ).alias("leaks")
     ).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "leaks")
+    told = stored(told, "leaks")  # of known size now: while it is small, no document is shuffled to meet it
     own = docs.drop("leaks", "__k1", "__k2")
     out = own.withColumn("__k1", F.xxhash64("text")).withColumn("__k2", F.xxhash64("text", F.lit(1))).join(told, ["__k1", "__k2"], "left")
     leaks = F.when(F.col("text").isNotNull(), F.col("leaks"))
