@@ -6,7 +6,8 @@ Larger sets ("heavy") post the shingles of their prefix in inverted lists that a
 any fixed order of the shingles, sets with a Jaccard similarity of t or more share one of the first
 n - ceil(t*n) + 1 ones. The order puts frequent shingles last (a matter of speed only), which keeps
 common lines and passages out of the lists. The boundary between both kinds is where enumerating
-would cost more than scanning (see :func:`boundary`).
+would cost more than scanning (see :func:`boundary`): a subset costs one key, a posting as many as the list
+holds that it meets on average, which is measured over all texts.
 
 Postings travel packed, by buckets of their hash; a task sends one posting for each key it met in several
 documents, so a key in a third of all documents adds an entry for each task and not for each document.
@@ -34,10 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import U, buffers, by_bucket, grouped, mix, pack, pieces, row_shingles, trimmed, unpack
-from .common import components, stored
+from .common import components, discard, stored
 
-#: Cost of one scanned posting (its share of candidate checks) in units of one enumerated subset.
-SCAN_COST = 8
 #: A shingle in this many documents of one task or more is put last in the order.
 FREQUENT_IN_TASK = 4
 #: At most this many frequent shingles are sent to all tasks (8 bytes each).
@@ -65,8 +64,8 @@ def subsets(n: int, percent: int) -> int:
     return sum(comb(n, c) for c in range(needed(n, percent), n + 1))
 
 
-def boundary(percent: int, scan_cost: int = SCAN_COST, most: int = 24) -> int:
-    """The largest size up to which enumerating subsets costs no more than scanning prefix lists."""
+def boundary(percent: int, scan_cost: float, most: int = 16) -> int:
+    """The largest size up to which enumerating subsets costs no more than scanning prefix lists of ``scan_cost`` entries."""
     n = 0
     while n < most and subsets(n + 1, percent) <= scan_cost * (n + 1 - needed(n + 1, percent) + 1):
         n += 1
@@ -75,7 +74,8 @@ def boundary(percent: int, scan_cost: int = SCAN_COST, most: int = 24) -> int:
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
     """For each row its doc_id, set size, fingerprint of 128 bits and parity bitmap (kind 1); and shingles with the number of
-    documents in which one task met them, if that is ``FREQUENT_IN_TASK`` or more (kind 0)."""
+    documents in which one task met them, if that is ``FREQUENT_IN_TASK`` or more (kind 0); and what its postings would
+    scan in the lists of a slice, with their number (kind 2)."""
 
     def work(batches):
         seen: list[np.ndarray] = []
@@ -98,10 +98,10 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
             yield _kinds(1, batch.column("doc_id"), n, f1.view(np.int64), f2.view(np.int64), bits)
             seen.append(flat)
             if len(seen) >= 16:
-                yield _counts(seen)
+                yield from _counts(seen)
                 seen = []
         if seen:
-            yield _counts(seen)
+            yield from _counts(seen)
 
     return stored(docs.mapInArrow(trimmed(work), "kind int, a long, b long, c long, d long, e binary"), "sets")
 
@@ -224,13 +224,20 @@ def _kinds(kind: int, a, b: np.ndarray, c: np.ndarray | None = None, d: np.ndarr
     return pa.record_batch({"kind": pa.array(np.full(len(b), kind, np.int32))} | columns)
 
 
-def _counts(seen: list[np.ndarray]) -> pa.RecordBatch:
+def _counts(seen: list[np.ndarray]):
     value = np.concatenate(seen)
     value.sort()
     first = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1]))) if len(value) else np.zeros(0, np.int64)
     n = np.diff(np.append(first, len(value)))
     keep = n >= FREQUENT_IN_TASK
-    return _kinds(0, value[first[keep]].view(np.int64), n[keep])
+    yield _kinds(0, value[first[keep]].view(np.int64), n[keep])
+    yield _kinds(2, np.array([(n * n).sum()], np.int64), np.array([n.sum()], np.int64))
+
+
+def _scan_cost(sets: DataFrame) -> float:
+    """The entries of the list that a posting meets on average."""
+    scanned, postings = sets.where("kind = 2").agg(F.sum("a"), F.sum("b")).first()
+    return scanned / postings if postings else 1.0
 
 
 def _frequent(sets: DataFrame) -> np.ndarray:
@@ -287,9 +294,8 @@ def _led(key: np.ndarray, size: np.ndarray, doc: np.ndarray, order: np.ndarray,
     return _members(key[own], size[own], doc[own], size[lead], doc[lead])
 
 
-def _post(docs: DataFrame, width: int, percent: int, frequent: np.ndarray, buckets: int) -> DataFrame:
+def _post(docs: DataFrame, width: int, percent: int, limit: int, frequent: np.ndarray, buckets: int) -> DataFrame:
     """The members of all lists with several: ``key, size, doc_id, size_a, a`` (the leading set's size and document)."""
-    limit = boundary(percent)
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def work(batches):
@@ -359,7 +365,7 @@ def _subset_masks(n: int, percent: int) -> np.ndarray:
 
 
 def _checked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The rows of ``pairs(a, b)`` whose texts link: each group of one ``a`` is split into tasks of ``GROUP``."""
+    """A stored table of the rows of ``pairs(a, b)`` whose texts link: each group of one ``a`` is split into tasks of ``GROUP``."""
     size = pairs.groupBy("a").agg((F.count(F.lit(1)) / GROUP).cast("long").alias("parts"))
     dealt = pairs.join(size, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts") + 1).alias("part"))
     need = dealt.select(F.col("b").alias("doc_id"), "a", "part", F.lit(1).alias("role")).union(
@@ -391,16 +397,17 @@ def _checked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
                         break
             yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return (
-        texts.repartition("a", "part").sortWithinPartitions("a", "part", "role").mapInArrow(trimmed(work), "a long, b long").distinct()
-    )
+    links = texts.repartition("a", "part").sortWithinPartitions("a", "part", "role").mapInArrow(trimmed(work), "a long, b long").distinct()
+    links = stored(links, "links")
+    discard(need, ids)
+    return links
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``docs(doc_id, text)``."""
-    limit = boundary(percent)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = _sets(docs, width)
+    limit = boundary(percent, _scan_cost(sets))
     frequent = _frequent(sets)
     rows = sets.where("kind = 1").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("f1"), F.col("d").alias("f2"), F.col("e").alias("bits"))
     known = rows.where("n > 0 AND doc_id IS NOT NULL")
@@ -410,7 +417,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
 
     shingles = known.agg(F.sum("n")).first()[0] or 0
     buckets = 1 + shingles * (100 - percent + 1) // 100 * 16 // BUCKET_BYTES
-    members = _post(docs, width, percent, frequent, int(buckets))
+    members = _post(docs, width, percent, limit, frequent, int(buckets))
     lead = copies.select(F.col("copy").alias("copy_a"), F.col("rep").alias("rep_a"))
     members = members.join(copies, F.col("doc_id") == F.col("copy"), "left").join(lead, F.col("a") == F.col("copy_a"), "left")
     members = members.select("key", "size", F.coalesce("rep", "doc_id").alias("doc_id"), "size_a", F.coalesce("rep_a", "a").alias("a"))
@@ -422,8 +429,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     met = members.groupBy("a", F.col("doc_id").alias("b")).agg(F.max(F.expr(f"{near} AND {enumerated}")).alias("check"))
     met = stored(met, "met")
     check = stored(_alike(met.where("check").select("a", "b"), bits, percent), "check")
-    links = stored(_checked(check, docs, width, percent), "links")
-    first = stored(components(links), "classes")
+    links = _checked(check, docs, width, percent)
+    discard(check)
+    found = components(links)
+    first = stored(found, "classes")
+    discard(found)
 
     at_a, at_b = (first.select(F.col("node").alias(f"node_{x}"), F.col("component").alias(f"component_{x}")) for x in "ab")
     of_a, of_b = F.coalesce("component_a", "a"), F.coalesce("component_b", "b")
@@ -441,8 +451,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     rest = _across(mixed.join(bits.select("doc_id", "bits"), "doc_id"), percent, limit)
     done = met.where("check").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = stored(rest.join(done, ["a", "b"], "left_anti"), "rest")
-    more = stored(_checked(rest, docs, width, percent), "links")
+    discard(members, met, first, apart, keys, mixed)
+    more = _checked(rest, docs, width, percent)
     joined = components(links.union(more))
+    discard(rest, links, more, copies)
 
     classes = reps.join(joined, F.col("rep") == F.col("node"), "left").select(
         "f1", "f2", F.coalesce("component", "rep").alias("component_id")
