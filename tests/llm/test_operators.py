@@ -354,7 +354,7 @@ def test_bitmaps_bound_the_difference():
 
 
 def test_boundary_follows_cost():
-    assert jaccard_join.boundary(80, 8) == 9
+    assert jaccard_join.boundary(80, 8) == 9 and jaccard_join.boundary(80, 1e9) == 16
     assert jaccard_join.boundary(80, 1) < jaccard_join.boundary(80, 8) < jaccard_join.boundary(80, 100)
 
 
