@@ -9,7 +9,7 @@ from ..operators import alternatives, contraction, experiments, graph, hierarchy
 from ..schema import INFINITY, PERIOD
 from ..sources import files
 from . import road
-from .queries import ORACLE, _ARCS, _AT, _FROM_TRIPS, _FROM_ZERO, _LIVE, _PATHS, _PROFILES, _live, _normal, _query, _walks, _WALKS, _zero
+from .queries import ORACLE, _ARCS, _AT, _FROM_TRIPS, _FROM_ZERO, _LIVE, _PATHS, _PROFILES, _live, _normal, _query, _walks, _WALKS, _AT_EIGHT, _STEP, _TIMED, _arrivals, _zero
 from .storage import storer
 
 _REVERSED = _PATHS.replace("sp(", "rp(").replace("sp.", "rp.").replace("recurring.sp", "recurring.rp").replace("FROM sp", "FROM rp")
@@ -47,7 +47,7 @@ def live_not_faster(spark, sf_dir):
 @_query(f"""{_LIVE}, b AS (SELECT arc_id, max(tt) AS high FROM ipps GROUP BY arc_id)
 SELECT arc_id, greatest(high, least(coalesce(live, 0), CASE WHEN live IS NULL OR t >= soon THEN pred ELSE greatest(pred, least(live, at_soon + soon - t)) END)) AS upper,
 CASE WHEN live IS NOT NULL THEN greatest(0, soon - greatest(0, live - at_soon)) END AS switching
-FROM now JOIN then_ USING (arc_id) JOIN b USING (arc_id)""")
+FROM now JOIN b USING (arc_id)""")
 def live_bounds(spark, sf_dir):
     rows = _live(spark, sf_dir)
     return rows.selectExpr("arc_id", f"{plf.pessimistic_upper('ttf', 'live', 'soon', 't')} AS upper", f"IF(live IS NULL, NULL, {plf.switch_start('ttf', 'live', 'soon')}) AS switching")
@@ -128,13 +128,21 @@ def path_times(spark, sf_dir):
     return td.path_times(_normal(spark, sf_dir), paths)
 
 
-@_query()
+_SOON = "CASE WHEN at_soon < live THEN greatest(live + 30000000 - ta.t, 0, {p}) ELSE least(live + ta.t - 30000000, {p}) END".format(p=_STEP)
+_LIVE_SEGMENTS = f"""{_TIMED.replace('seg AS', 'seg0 AS')},
+soon AS (SELECT arc_id, {_AT.format(x='30000000')} AS at_soon FROM segments WHERE d1 <= 30000000 AND 30000000 < d2),
+seg AS (SELECT g.*, at_soon, CASE WHEN arc_id % 3 = 0 THEN weight * 2000 END AS live FROM seg0 g JOIN soon USING (arc_id) JOIN (SELECT arc_id, weight FROM arcs) USING (arc_id))"""
+_LIVE_STEP = f"(CASE WHEN live IS NULL THEN {_STEP} WHEN ta.t < 30000000 THEN live ELSE {_SOON} END)"
+_WAITING_STEP = f"(CASE WHEN live IS NULL OR ta.t >= 30000000 THEN {_STEP} ELSE greatest({_STEP}, least(live, at_soon + 30000000 - ta.t)) END)"
+
+
+@_query(f"{_LIVE_SEGMENTS}, {_AT_EIGHT}, {_arrivals(_LIVE_STEP)} SELECT source, departure, node, t - departure AS travel_time FROM ta")
 def live_td_dijkstra(spark, sf_dir):
     arcs = _normal(spark, sf_dir).withColumn("live", F.expr("IF(arc_id % 3 = 0, weight * 2000L, NULL)")).withColumn("until", F.lit(30_000_000).cast("long"))
     return td.live_arrivals(arcs, _zero(spark).withColumn("departure", F.lit(28_800_000).cast("long")))
 
 
-@_query()
+@_query(f"{_LIVE_SEGMENTS}, {_AT_EIGHT}, {_arrivals(_WAITING_STEP)} SELECT source, departure, node, t - departure AS travel_time FROM ta")
 def pessimistic_live_td_dijkstra(spark, sf_dir):
     arcs = _normal(spark, sf_dir).withColumn("live", F.expr("IF(arc_id % 3 = 0, weight * 2000L, NULL)")).withColumn("until", F.lit(30_000_000).cast("long"))
     return td.live_arrivals(arcs, _zero(spark).withColumn("departure", F.lit(28_800_000).cast("long")), pessimistic=True)
@@ -152,7 +160,19 @@ def profile_trips(spark, sf_dir):
     return out.selectExpr("source", "target", "size(dep) AS n_points", "round(array_min(tt), 3) AS low", "round(array_max(tt), 3) AS high", "size(switches) AS n_paths")
 
 
-@_query()
+_LABELS = """
+pf(source, node, dist, hops, labels) USING KEY (source, node) AS (
+  SELECT DISTINCT source, source, CAST(0 AS BIGINT), CAST(0 AS BIGINT), [{'dist': CAST(0 AS BIGINT), 'cost': CAST(0 AS BIGINT)}] FROM starts
+  UNION
+  SELECT n.source, n.node, n.dist, n.hops, list_append(coalesce(r.labels, []), {'dist': n.dist, 'cost': n.hops})
+  FROM (SELECT pf.source, a.head AS node, min(pf.dist + a.weight) AS dist, any_value(pf.hops) + 1 AS hops FROM pf JOIN arcs a ON a.tail = pf.node GROUP BY pf.source, a.head) n
+  LEFT JOIN recurring.pf r ON r.node = n.node AND r.source = n.source WHERE r.dist IS NULL OR n.dist < r.dist)
+"""
+_NATION = "nt AS (SELECT CAST(n_nationkey AS BIGINT) AS qid, CAST(n_nationkey * 7 % n AS BIGINT) AS source, CAST(n_nationkey * 19 % n AS BIGINT) AS target FROM nation, c)"
+
+
+@_query(f"""WITH RECURSIVE {_ARCS}, {_NATION}, starts AS (SELECT source FROM nt), {_LABELS}
+SELECT qid, l.dist, l.cost FROM (SELECT qid, unnest(labels) AS l FROM nt JOIN pf ON pf.source = nt.source AND pf.node = nt.target)""")
 def pareto_paths(spark, sf_dir):
     """Distance against the number of arcs."""
     return td.pareto(road.arcs(spark, sf_dir).withColumn("hops", F.lit(1)), _nation_trips(spark, sf_dir), "hops")

@@ -61,6 +61,24 @@ segments AS (
 _AT = "CASE WHEN d1 = {x} THEN t1 ELSE d1 + t1 + ({x} - d1) * ((d2 + t2) - (d1 + t1)) // (d2 - d1) - {x} END"
 
 
+_SEGMENTS = "seg AS (SELECT s.arc_id, tail, head, d1, t1, d2, t2 FROM segments s JOIN arcs USING (arc_id) WHERE d2 IS NOT NULL)"
+_TIMED = f"WITH RECURSIVE {_PROFILES.strip()[5:]}, {_SEGMENTS}"
+_STEP = "(" + _AT.format(x="(ta.t % 86400000)") + ")"
+
+
+def _arrivals(step: str = _STEP, kind: str = "BIGINT") -> str:
+    """Earliest arrivals (no overtaking) from ``tstarts(source, departure)``; ``step``: the travel time of the arc ``g`` at ``ta.t``."""
+    return f"""ta(source, departure, node, t) USING KEY (source, departure, node) AS (
+  SELECT DISTINCT source, departure, source, CAST(departure AS {kind}) FROM tstarts
+  UNION
+  SELECT ta.source, ta.departure, g.head, min(CAST(ta.t + {step} AS {kind})) FROM ta JOIN seg g ON g.tail = ta.node AND d1 <= ta.t % 86400000 AND ta.t % 86400000 < d2
+  LEFT JOIN recurring.ta r ON r.node = g.head AND r.source = ta.source AND r.departure = ta.departure
+  WHERE r.t IS NULL OR ta.t + {step} < r.t GROUP BY ta.source, ta.departure, g.head)"""
+
+
+_AT_EIGHT = "tstarts AS (SELECT CAST(0 AS BIGINT) AS source, CAST(28800000 AS BIGINT) AS departure)"
+
+
 def _normal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return road.profiles(spark, sf_dir).withColumn("ttf", F.expr(plf.normalized("ttf")))
 
@@ -261,21 +279,24 @@ def _live(spark, sf_dir):
     return out.selectExpr("arc_id", "ttf", "IF(arc_id % 3 = 0, weight * 2000, NULL) AS live", "30000000L AS soon", "29000000L + arc_id * 977 % 3000000 AS t")
 
 
+# one pass over the segments: of each arc the value at t and the one at soon
 _LIVE = f"""{_PROFILES},
-a AS (SELECT DISTINCT arc_id, CASE WHEN arc_id % 3 = 0 THEN weight * 2000 END AS live, 30000000 AS soon, 29000000 + arc_id * 977 % 3000000 AS t FROM ipps),
-now AS (SELECT a.*, {_AT.format(x='t')} AS pred FROM a JOIN segments s ON s.arc_id = a.arc_id AND d1 <= t AND t < d2),
-then_ AS (SELECT a.arc_id, {_AT.format(x='soon')} AS at_soon FROM a JOIN segments s ON s.arc_id = a.arc_id AND d1 <= soon AND soon < d2)
+a AS (SELECT arc_id, CASE WHEN arc_id % 3 = 0 THEN weight * 2000 END AS live, 30000000 AS soon, 29000000 + arc_id * 977 % 3000000 AS t FROM arcs),
+now AS (
+  SELECT arc_id, any_value(live) AS live, any_value(soon) AS soon, any_value(t) AS t,
+    max({_AT.format(x='t')}) FILTER (d1 <= t AND t < d2) AS pred, max({_AT.format(x='soon')}) FILTER (d1 <= soon AND soon < d2) AS at_soon
+  FROM (SELECT s.*, live, soon, t FROM segments s JOIN a USING (arc_id) WHERE d2 IS NOT NULL) GROUP BY arc_id)
 """
 
 
 @_query(f"""{_LIVE} SELECT arc_id, CASE WHEN live IS NULL THEN pred WHEN t < soon THEN live
-WHEN at_soon < live THEN greatest(greatest(live + soon - t, 0), pred) ELSE least(live + t - soon, pred) END AS tt FROM now JOIN then_ USING (arc_id)""")
+WHEN at_soon < live THEN greatest(greatest(live + soon - t, 0), pred) ELSE least(live + t - soon, pred) END AS tt FROM now""")
 def live_eval(spark, sf_dir):
     return _live(spark, sf_dir).selectExpr("arc_id", f"{plf.live_value('ttf', 'live', 'soon', 't')} AS tt")
 
 
 @_query(f"""{_LIVE} SELECT arc_id, CASE WHEN live IS NULL OR t >= soon THEN pred ELSE greatest(pred, least(live, at_soon + soon - t)) END AS tt
-FROM now JOIN then_ USING (arc_id)""")
+FROM now""")
 def pessimistic_live_eval(spark, sf_dir):
     return _live(spark, sf_dir).selectExpr("arc_id", f"{plf.pessimistic_value('ttf', 'live', 'soon', 't')} AS tt")
 
@@ -325,7 +346,7 @@ def relax_once(spark, sf_dir):
     return best.join(d, "node")
 
 
-@_query()
+@_query(f"{_TIMED}, {_AT_EIGHT}, {_arrivals()} SELECT source, departure, node, t - departure AS travel_time FROM ta")
 def td_dijkstra(spark, sf_dir):
     starts = _zero(spark).withColumn("departure", F.lit(28_800_000).cast("long"))
     return search.earliest_arrivals(_normal(spark, sf_dir), starts, PERIOD)
@@ -410,7 +431,18 @@ def landmark_bounds(spark, sf_dir):
     return potentials.landmark_bounds(pairs, f.join(t, ["landmark", "node"]))
 
 
-@_query()
+def _merging_sql() -> str:
+    """Three merges, each of the two metrics whose weights differ least."""
+    steps = [f"{_PROFILES}, x AS (SELECT s.*, i, i * 14400000 AS x FROM segments s, range(0, 6) r(i)), m0 AS (SELECT CAST(i AS INT) AS metric, arc_id, {_AT.format(x='x')} AS weight FROM x WHERE d1 <= x AND x < d2), g0 AS (SELECT DISTINCT metric, metric AS merged FROM m0)"]
+    for k in range(3):
+        steps.append(f"""c{k} AS (SELECT a.metric AS m, b.metric AS m2 FROM m{k} a JOIN m{k} b ON a.arc_id = b.arc_id AND a.metric < b.metric GROUP BY ALL
+  ORDER BY sum((a.weight - b.weight) * (a.weight - b.weight)), 1, 2 LIMIT 1),
+m{k + 1} AS (SELECT CASE WHEN metric = m2 THEN m ELSE metric END AS metric, arc_id, min(weight) AS weight FROM m{k}, c{k} GROUP BY ALL),
+g{k + 1} AS (SELECT metric, CASE WHEN merged = m2 THEN m ELSE merged END AS merged FROM g{k}, c{k})""")
+    return ", ".join(steps) + " SELECT min(metric) OVER (PARTITION BY merged) AS merged, metric FROM g3"
+
+
+@_query(_merging_sql())
 def metric_merging(spark, sf_dir):
     p = _normal(spark, sf_dir)
     each = p.select("arc_id", F.posexplode(F.expr(f"transform(sequence(0, 5), i -> {plf.value_at('ttf', 'CAST(i AS BIGINT) * 14400000')})")).alias("metric", "weight"))
