@@ -5,7 +5,7 @@ Random decisions come from a hash of a seed and the arc's id, so reruns and retr
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -44,6 +44,35 @@ def ball(settled: DataFrame, size: int) -> DataFrame:
     return settled.select("source", "node", "dist").withColumn("nth", nth).where(F.col("nth") <= size).drop("nth")
 
 
+def uniform_trips(spark: SparkSession, nodes: DataFrame, count: int, seed: str) -> DataFrame:
+    """``qid, source, target``: ``count`` pairs of the dense nodes 0, 1, ..., drawn independently."""
+    n = nodes.count()
+    at = lambda what: F.floor(uniform(f"{seed}-{what}", "id") * n).cast("long")
+    return spark.range(count).select(F.col("id").alias("qid"), at("source").alias("source"), at("target").alias("target"))
+
+
+def timed(trips: DataFrame, seed: str, period: int) -> DataFrame:
+    """``trips`` with a ``departure`` drawn from the period."""
+    return trips.withColumn("departure", F.floor(uniform(f"{seed}-departure", "qid") * period).cast("long"))
+
+
+def drawn_from_balls(balls: DataFrame, count: int, seed: str) -> DataFrame:
+    """Of ``balls(source, node)``: ``count`` nodes of each ball as origins and as many as targets (``ball, role, node``), drawn without repetition."""
+    key = "concat(source, '-', node)"
+    out = None
+    for role in ("origin", "target"):
+        nth = F.row_number().over(Window.partitionBy("source").orderBy(F.expr(f"md5(concat('{seed}-{role}:', {key}))"), "node"))
+        part = balls.withColumn("nth", nth).where(F.col("nth") <= count).select(F.col("source").alias("ball"), F.lit(role).alias("role"), "node")
+        out = part if out is None else out.union(part)
+    return out
+
+
+def checked(found: DataFrame, truth: DataFrame, key: list[str], value: str) -> DataFrame:
+    """``found`` with ``agrees``: whether ``value`` equals the ground truth's, nulls included."""
+    known = truth.select(*key, F.col(value).alias("__truth"))
+    return found.join(known, key, "left").withColumn("agrees", F.col(value).eqNullSafe(F.col("__truth"))).drop("__truth")
+
+
 def compared_runs(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
     """One row: number, mean difference and mean, least and greatest ratio of ``value`` in two runs that share keys."""
     both = a.select(*key, F.col("value").alias("x")).join(b.select(*key, F.col("value").alias("y")), key)

@@ -166,3 +166,13 @@ def function_line_graph(arcs: DataFrame, forbidden: DataFrame | None, cost: Colu
     turns = line_graph(arcs.withColumn("weight", F.lit(0).cast("long")), forbidden, cost, u_turns)
     own = arcs.select(F.col("arc_id").alias("from_arc"), "ttf")
     return turns.join(own, "from_arc").select("from_arc", "to_arc", F.expr("transform(ttf, p -> named_struct('dep', p.dep, 'tt', p.tt + weight))").alias("ttf"))
+
+
+def arcs_of_links(arcs: DataFrame, probes: DataFrame) -> DataFrame:
+    """``probes(link_id, from_ref)`` with ``arc_id``, the arc of a foreign link in a direction (null: unknown); ``arcs`` carry both."""
+    return probes.join(arcs.select("link_id", "from_ref", "arc_id"), ["link_id", "from_ref"], "left")
+
+
+def links_of_arcs(arcs: DataFrame, probes: DataFrame) -> DataFrame:
+    """``probes(arc_id)`` with ``link_id`` and ``from_ref``."""
+    return probes.join(arcs.select("arc_id", "link_id", "from_ref"), "arc_id")

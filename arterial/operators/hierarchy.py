@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -102,14 +104,50 @@ class Hierarchy:
         return sorted(dist.items())
 
 
+#: Arcs that the driver contracts at most: about a kilobyte each, with their chordal arcs.
+MOST_ARCS = 5_000_000
+#: Hierarchies and metrics of the last graphs, by what they hold: a query on a known graph builds nothing.
+_KNOWN: OrderedDict[tuple, tuple] = OrderedDict()
+_KEPT = 4
+
+
+def _remembered(key: tuple, make):
+    if key not in _KNOWN:
+        _KNOWN[key] = make()
+        while len(_KNOWN) > 2 * _KEPT:
+            _KNOWN.popitem(last=False)
+    _KNOWN.move_to_end(key)
+    return _KNOWN[key]
+
+
+def contents(rows: DataFrame, *columns: str) -> tuple:
+    """Number of rows and an order-free digest of the columns: 128 bits in two sums."""
+    h1, h2 = F.xxhash64(*columns), F.xxhash64(*columns, F.lit(1))
+    wide = lambda h: F.sum(h.cast("decimal(20,0)")).cast("string")
+    return (*columns, *rows.agg(F.count(F.lit(1)), wide(h1), wide(h2)).first())
+
+
 def build(arcs: DataFrame, nodes: DataFrame) -> tuple[Hierarchy, tuple[list, list]]:
-    """Order, contraction and customization on the driver: they are sequential, and as small as the graph."""
-    p = arcs.select("tail", "head", "weight").toPandas()
-    q = nodes.select("node", "x", "y").orderBy("node").toPandas()
-    tail, head, weight = (p[c].to_numpy(np.int64) for c in ("tail", "head", "weight"))
-    order = dissection_order(q["x"].to_numpy(float), q["y"].to_numpy(float), tail, head)
-    own = Hierarchy(order, tail, head)
-    return own, own.customize(tail, head, weight)
+    """Order, contraction and customization on the driver: they are sequential, and as small as the graph.
+
+    Contraction depends on the arcs' ends alone, so another metric on known arcs is only customized.
+    """
+    shape = (contents(arcs, "tail", "head"), contents(nodes, "node", "x", "y"))
+    if shape[0][2] > MOST_ARCS:
+        raise ValueError(f"{shape[0][2]} arcs are too many for the driver's contraction")
+    metric = contents(arcs, "tail", "head", "weight")
+
+    def collected():
+        p = arcs.select("tail", "head", "weight").toPandas()
+        return [p[c].to_numpy(np.int64) for c in ("tail", "head", "weight")]
+
+    def contracted() -> Hierarchy:
+        tail, head, _ = collected()
+        q = nodes.select("node", "x", "y").orderBy("node").toPandas()
+        return Hierarchy(dissection_order(q["x"].to_numpy(float), q["y"].to_numpy(float), tail, head), tail, head)
+
+    own = _remembered(shape, contracted)
+    return own, _remembered((shape, metric), lambda: own.customize(*collected()))
 
 
 def chordal_arcs(spark: SparkSession, own: Hierarchy, weights: tuple[list, list]) -> DataFrame:
@@ -301,3 +339,72 @@ def respecting(chordal: DataFrame, mapping: DataFrame, weights: DataFrame) -> Da
     w = mapping.join(weights.select("arc_id", "weight"), "arc_id").groupBy("tail", "head")
     least = w.agg(F.min(F.when(F.col("up"), F.col("weight"))).alias("up"), F.min(F.when(~F.col("up"), F.col("weight"))).alias("down"))
     return chordal.select("tail", "head").join(least, ["tail", "head"], "left")
+
+
+def top_ranks(own: Hierarchy, most: int) -> tuple[set[int], dict[int, int]]:
+    """The ranks above all cells, and the cell (its top rank) of every other: cells are maximal subtrees of at most ``most`` nodes."""
+    n = len(own.parent)
+    size = [1] * n
+    for v in range(n):
+        p = int(own.parent[v])
+        if p >= 0:
+            size[p] += size[v]
+    top = {v for v in range(n) if size[v] > most}
+    cell: dict[int, int] = {}
+    for v in range(n - 1, -1, -1):
+        if v not in top:
+            p = int(own.parent[v])
+            cell[v] = v if p < 0 or p in top else cell[p]
+    return top, cell
+
+
+def customize_in_cells(arcs: DataFrame, own: Hierarchy, most: int = 500) -> tuple[list[dict[int, int]], list[dict[int, int]]]:
+    """:meth:`Hierarchy.customize` with one task for each cell; the driver does the separators above them.
+
+    A cell's triangles change arcs inside it and among the separators, of which each task returns its own minimum.
+    """
+    spark = arcs.sparkSession
+    top, cell = top_ranks(own, most)
+    names = spark.createDataFrame([(int(own.order[v]), v, cell.get(v, -1)) for v in range(len(own.order))], "node long, rank long, cell long")
+    a = names.select(F.col("node").alias("tail"), F.col("rank").alias("a"), F.col("cell").alias("cell_a"))
+    b = names.select(F.col("node").alias("head"), F.col("rank").alias("b"), F.col("cell").alias("cell_b"))
+    placed = arcs.join(a, "tail").join(b, "head").where("a <> b")
+    placed = placed.select("a", "b", "weight", F.when(F.col("a") < F.col("b"), F.col("cell_a")).otherwise(F.col("cell_b")).alias("cell"))
+    shared = spark.sparkContext.broadcast(own)
+
+    def work(frame: pd.DataFrame) -> pd.DataFrame:
+        h = shared.value
+        weight: dict[tuple[int, int], int] = {}
+        for x, y, w in zip(frame["a"].tolist(), frame["b"].tolist(), frame["weight"].tolist(), strict=True):
+            weight[x, y] = min(w, weight.get((x, y), w))
+        name = int(frame["cell"].iloc[0])
+        if name >= 0:
+            own_ranks = [name]
+            children: dict[int, list[int]] = {}
+            for v in range(name):
+                children.setdefault(int(h.parent[v]), []).append(v)
+            for v in own_ranks:
+                own_ranks.extend(children.get(v, ()))
+            for v in sorted(own_ranks):
+                for x in h.upper[v]:
+                    to_v = weight.get((x, v))
+                    if to_v is None:
+                        continue
+                    for y in h.upper[v]:
+                        from_v = weight.get((v, y))
+                        if x != y and from_v is not None and to_v + from_v < weight.get((x, y), to_v + from_v + 1):
+                            weight[x, y] = to_v + from_v
+        rows = [(x, y, w) for (x, y), w in weight.items()]
+        return pd.DataFrame(rows, columns=["a", "b", "weight"]).astype("int64")
+
+    found = placed.groupBy("cell").applyInPandas(work, "a long, b long, weight long").groupBy("a", "b").agg(F.min("weight").alias("weight"))
+    up: list[dict[int, int]] = [dict.fromkeys(u, INFINITY) for u in own.upper]
+    down: list[dict[int, int]] = [dict.fromkeys(u, INFINITY) for u in own.upper]
+    for x, y, w in found.collect():  # as many rows as chordal arcs
+        (up if x < y else down)[min(x, y)][max(x, y)] = w
+    for v in sorted(top):
+        for i, x in enumerate(own.upper[v]):
+            for y in own.upper[v][i + 1 :]:
+                up[x][y] = min(up[x][y], down[v][x] + up[v][y])
+                down[x][y] = min(down[x][y], down[v][y] + up[v][x])
+    return up, down

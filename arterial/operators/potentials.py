@@ -37,3 +37,25 @@ def merge_metrics(metrics: DataFrame, k: int) -> list[list[int]]:
         groups[first] += groups.pop(second)
         metrics = metrics.withColumn("metric", F.when(F.col("metric") == second, first).otherwise(F.col("metric"))).groupBy("metric", "arc_id").agg(F.min("weight").alias("weight"))
     return sorted(sorted(g) for g in groups.values())
+
+
+def farthest_landmarks(arcs: DataFrame, k: int, start: int) -> DataFrame:
+    """``nth, node, gap``: each landmark is the node farthest from all before (the first one: from ``start``), ties by node.
+
+    One search and one ordering for each; the driver sees the chosen nodes.
+    """
+    from . import search
+
+    spark = arcs.sparkSession
+    rows: list[tuple[int, int, int]] = []
+    nearest = None
+    source = start
+    for nth in range(1, k + 1):
+        found = search.one_to_all(arcs, spark.createDataFrame([(source,)], "source long")).select("node", "dist")
+        if nth == 2 or nearest is None:
+            nearest = found
+        else:
+            nearest = nearest.union(found).groupBy("node").agg(F.min("dist").alias("dist"))
+        source, gap = nearest.orderBy(F.desc("dist"), "node").limit(1).collect()[0]
+        rows.append((nth, source, gap))
+    return spark.createDataFrame(rows, "nth int, node long, gap long")

@@ -5,6 +5,7 @@ Kernels run in Spark tasks over a broadcast graph. Float functions are pairs of
 
 from __future__ import annotations
 
+import bisect
 import heapq
 from collections.abc import Iterable
 
@@ -170,6 +171,35 @@ def live_arrivals(arcs: DataFrame, starts: DataFrame, period: int = PERIOD, pess
     return _dealt(starts.select("source", "departure").distinct()).mapInPandas(work, "source long, departure long, node long, travel_time long")
 
 
+def float_arrivals(arcs: DataFrame, starts: DataFrame, period: int = PERIOD) -> DataFrame:
+    """``source, departure, node, travel_time, before`` with float functions (unrounded) for each of ``starts(source, departure)``.
+
+    ``before``: the node from which each is reached, -1 at the source, so the rows are timed paths.
+    """
+    graph = arcs.sparkSession.sparkContext.broadcast(collect(arcs))
+
+    def work(frames):
+        g = graph.value
+        out = g.lists()
+        points = [(d.tolist(), t.tolist()) for d, t in g.extra]
+
+        def step(at: float, _: int, place: int) -> float:
+            dep, tt = points[place]
+            if len(dep) <= 2:
+                return at + tt[0]
+            x = at % period
+            i = bisect.bisect_right(dep, x) - 1
+            return at + (tt[i] + (x - dep[i]) * (tt[i + 1] - tt[i]) / (dep[i + 1] - dep[i]))
+
+        for frame in frames:
+            for s, t in zip(frame["source"].tolist(), frame["departure"].tolist(), strict=True):
+                rows = [(s, t, node, at - t, b) for node, at, b in settle(out, [(s, float(t))], step)]
+                yield pd.DataFrame(rows, columns=["source", "departure", "node", "travel_time", "before"])
+
+    kind = "source long, departure long, node long, travel_time double, before long"
+    return _dealt(starts.select("source", "departure").distinct()).mapInPandas(work, kind)
+
+
 def path_times(arcs: DataFrame, paths: DataFrame, period: int = PERIOD) -> DataFrame:
     """``paths(qid, departure, arcs)`` with ``travel_time``, the integer functions of the arcs applied in a row."""
     graph = arcs.sparkSession.sparkContext.broadcast(collect(arcs))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import plf
-from ..operators import graph, hierarchy, paths, potentials, search
+from ..operators import graph, hierarchy, neighbours, paths, potentials, search
 from ..schema import INFINITY, PERIOD
 from ..streaming import link_speed
 from . import road
@@ -385,7 +385,9 @@ n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY dist, target) AS
 
 @_query(_NEAREST)
 def nearest_neighbors(spark, sf_dir):
-    return search.nearest(many_to_many(spark, sf_dir), 4)
+    """A source meets only the four nearest targets of each hub."""
+    _, out, into = _labelled(spark, sf_dir)
+    return neighbours.by_buckets(out, into, 4)
 
 
 @_query(f"{_FROM_TRIPS} SELECT count(*) AS n, count(sp.dist) AS reachable, CAST(sum(sp.dist) AS BIGINT) AS total FROM trips t LEFT JOIN sp ON sp.source = t.source AND sp.node = t.target")

@@ -10,12 +10,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
-def storer(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
-    """Writes a frame below ``spark.checkpoint.dir`` and reads it back; the folder goes when the session ends.
+def folder(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir`` that goes when the session ends.
 
-    Only where that is unset (one machine) a local temporary folder stands in.
+    Where that is unset, a local master gets a temporary folder; on a cluster no folder is known to be shared.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/arterial"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
+        base = f"file://{tempfile.gettempdir()}/arterial"
     root = f"{base.rstrip('/')}/{spark.sparkContext.applicationId}-road-{uuid.uuid4().hex}"
 
     def clean() -> None:
@@ -25,6 +29,12 @@ def storer(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
     atexit.register(clean)
+    return root
+
+
+def storer(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
+    """Writes a frame to a folder of its own and reads it back."""
+    root = folder(spark)
 
     def store(df: DataFrame) -> DataFrame:
         path = f"{root}/{uuid.uuid4().hex}"

@@ -78,16 +78,35 @@ def updated_metric(arcs: DataFrame, updates: DataFrame, infinity: int) -> DataFr
     return arcs.join(last, "arc_id", "left").withColumn("weight", weight.cast("long")).drop("new", "updated")
 
 
+def metric_at(spark, table: str, version: int | None) -> DataFrame:
+    """The metric after micro-batch ``version`` (None: the base): the base with the last change of each arc up to then."""
+    base = spark.read.parquet(f"{table}/base")
+    if version is None:
+        return base
+    changes = spark.read.parquet(f"{table}/changes").where(F.col("batch") <= version)
+    return updated_metric(base, changes.select("arc_id", "weight", F.struct("batch", "seq").alias("seq")), 2147483647)
+
+
 def apply_stream(updates: DataFrame, table: str, checkpoint: str, publish):
-    """A streaming query that folds each micro-batch of ``updates`` into the metric at ``table`` and calls ``publish(version, frame)``.
+    """A streaming query that adds the last change of each arc in each micro-batch to ``table`` and calls ``publish(version, frame)``.
 
-    Versions are folders ``table/v<batch>``; a repeated batch overwrites its own folder, so a restart is safe.
+    A batch writes only what it changes, in a partition of its own that a repeated batch overwrites, so a restart is
+    safe and a batch costs as much as it holds. ``table/base`` holds the metric without changes.
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = spark.read.parquet(f"{table}/v{number - 1}" if number else f"{table}/base")
-        updated_metric(before, batch, 2147483647).write.mode("overwrite").parquet(f"{table}/v{number}")
-        publish(number, spark.read.parquet(f"{table}/v{number}"))
+        last = batch.groupBy("arc_id").agg(F.max(F.struct("seq", "weight")).alias("u")).select("arc_id", "u.seq", "u.weight")
+        last.write.mode("overwrite").parquet(f"{table}/changes/batch={number}")
+        publish(number, metric_at(batch.sparkSession, table, number))
 
     return updates.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()
+
+
+def windowed_speeds(events: DataFrame, width: str = "15 minutes", late: str = "30 minutes") -> DataFrame:
+    """``start, arc_id, n, mean`` of ``events(ts, arc_id, speed)`` in windows of time; rows later than ``late`` after the newest go.
+
+    On a stream the windows are state that the watermark closes; on a table all rows count.
+    """
+    timed = events.withWatermark("ts", late) if events.isStreaming else events
+    out = timed.groupBy(F.window("ts", width).alias("w"), "arc_id").agg(F.count(F.lit(1)).alias("n"), F.avg("speed").alias("mean"))
+    return out.select(F.col("w.start").alias("start"), "arc_id", "n", "mean")
