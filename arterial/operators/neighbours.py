@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -111,11 +112,12 @@ def by_cells(spark, own: Hierarchy, weights: tuple[list, list], sources: DataFra
     return _dealt(sources.select("source").distinct()).mapInPandas(work, "source long, target long, dist long, place long")
 
 
-def nearest_points(probes: DataFrame, points: DataFrame, size: float, rounds: int = 40) -> DataFrame:
+def nearest_points(probes: DataFrame, points: DataFrame, size: float, store: Callable[[DataFrame], DataFrame], rounds: int = 40) -> DataFrame:
     """``probe, node, gap2`` (squared distance): of ``points(node, x, y)`` the nearest to each of ``probes(probe, x, y)``, ties by node.
 
     Both sides meet in squares of a grid of width ``size``. A probe looks at the squares around its own; once the nearest
-    of them lies within the ring that it has seen, it is settled, else it looks again with twice the width.
+    of them lies within the ring that it has seen, it is settled, else it looks again with four times the width. ``store`` cuts
+    the lineage.
     """
     left = probes.select("probe", F.col("x").alias("px"), F.col("y").alias("py"))
     done = None
@@ -126,10 +128,10 @@ def nearest_points(probes: DataFrame, points: DataFrame, size: float, rounds: in
         seen = left.withColumn("s", around).select("probe", "px", "py", (square("px") + F.col("s.a")).alias("i"), (square("py") + F.col("s.b")).alias("j"))
         gap = (F.col("px") - F.col("x")) * (F.col("px") - F.col("x")) + (F.col("py") - F.col("y")) * (F.col("py") - F.col("y"))
         best = seen.join(at, ["i", "j"]).groupBy("probe").agg(F.min(F.struct(gap.alias("gap2"), "node")).alias("m"))
-        best = best.select("probe", "m.node", "m.gap2").where(F.col("gap2") <= size * size)
+        best = store(best.select("probe", "m.node", "m.gap2").where(F.col("gap2") <= size * size))
         done = best if done is None else done.union(best)
-        left = left.join(best.select("probe"), "probe", "left_anti")
+        left = store(left.join(best.select("probe"), "probe", "left_anti"))
         if left.isEmpty():
             return done
-        size *= 2
+        size *= 4
     raise RuntimeError(f"no nearest point within {rounds} rounds")

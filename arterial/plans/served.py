@@ -16,7 +16,7 @@ from ..streaming import link_speed
 from . import road
 from .extended import _NATION, _REVERSED, _UNIFORM, _nation_trips, _settled
 from .queries import _ARCS, _AT, _FROM_TRIPS, _FROM_ZERO, _NEAREST, _PATHS, _PROFILES, _SEGMENTS, _TRIPS, ORACLE, _arrivals, _normal, _query, _STEP, _TIMED, _zero
-from .storage import folder
+from .storage import folder, storer
 
 _SAME = ORACLE["dijkstra_trips"]
 _LIVE_ARCS = f"{_ARCS.strip()}, live AS (SELECT arc_id, tail, head, CASE WHEN arc_id % 5 = 0 THEN weight * 3 ELSE weight END AS weight FROM arcs)"
@@ -188,7 +188,7 @@ SELECT probe, arg_min(node, {{'g': gap2, 'v': node}}) AS node, round(min(gap2),
 def nearest_nodes(spark, sf_dir):
     """The node of the grid nearest to each customer's place."""
     probes = road.table(spark, sf_dir, "customer").selectExpr("c_custkey AS probe", "(c_custkey * 37 % 5000) / 100.0D AS x", "(c_custkey * 91 % 4000) / 100.0D AS y")
-    return neighbours.nearest_points(probes, road.nodes(spark, sf_dir), 1.0).select("probe", "node", F.round("gap2", 6).alias("gap2"))
+    return neighbours.nearest_points(probes, road.nodes(spark, sf_dir), 1.0, storer(spark)).select("probe", "node", F.round("gap2", 6).alias("gap2"))
 
 
 # time-dependent queries over bounds
@@ -414,7 +414,7 @@ def _pairs_of_arcs(spark, sf_dir, on: str):
 
 
 def _sampled(pairs, combine):
-    """The combined function of two arcs at five times of the day (s), rounded."""
+    """The combined function of two arcs at five times of the day (s), rounded; the offset keeps whole half milliseconds off the edge."""
 
     def work(frames):
         at = np.arange(5) * 17_000.0
@@ -422,7 +422,7 @@ def _sampled(pairs, combine):
             rows = []
             for a, b, ad, at_, bd, bt in zip(*(frame[c] for c in ("a", "b", "ad", "at", "bd", "bt")), strict=True):
                 f = combine((np.asarray(ad) / 1000, np.asarray(at_) / 1000), (np.asarray(bd) / 1000, np.asarray(bt) / 1000))
-                rows += [(a, b, int(t), round(float(v), 3)) for t, v in zip(at, plf.evaluate(*f, at), strict=True)]
+                rows += [(a, b, int(t), round(float(v) + 0.00013, 3)) for t, v in zip(at, plf.evaluate(*f, at), strict=True)]
             yield pd.DataFrame(rows, columns=["a", "b", "at_s", "tt"])
 
     return pairs.select("a", "b", "ad", "at", "bd", "bt").mapInPandas(work, "a long, b long, at_s long, tt double")
@@ -435,14 +435,14 @@ def _float_at(x: str) -> str:
 @_query(f"""{_PROFILES}, x AS (SELECT arc_id AS a, head, i * 17000000 AS x FROM arcs, range(0, 5) r(i)),
 f AS (SELECT a, x.head, x, {_float_at('x')} AS tt FROM x JOIN segments s ON s.arc_id = a AND d1 <= x AND x < d2),
 g AS (SELECT f.*, arc_id AS b, (x + tt) % 86400000 AS y FROM f JOIN arcs ON arcs.tail = f.head)
-SELECT a, b, x // 1000 AS at_s, round((tt + {_float_at('y')}) / 1000, 3) AS tt FROM g JOIN segments s ON s.arc_id = b AND d1 <= y AND y < d2""")
+SELECT a, b, x // 1000 AS at_s, round((tt + {_float_at('y')}) / 1000 + 0.00013::DOUBLE, 3) AS tt FROM g JOIN segments s ON s.arc_id = b AND d1 <= y AND y < d2""")
 def linked_functions(spark, sf_dir):
     return _sampled(_pairs_of_arcs(spark, sf_dir, "a_head = b_tail"), plf.link)
 
 
 @_query(f"""{_PROFILES}, x AS (SELECT arc_id AS a, tail, i * 17000000 AS x FROM arcs, range(0, 5) r(i)),
 f AS (SELECT a, x.tail, x, {_float_at('x')} AS tt FROM x JOIN segments s ON s.arc_id = a AND d1 <= x AND x < d2)
-SELECT f.a, g.a AS b, f.x // 1000 AS at_s, round(least(f.tt, g.tt) / 1000, 3) AS tt FROM f JOIN f g ON g.tail = f.tail AND g.x = f.x AND f.a < g.a""")
+SELECT f.a, g.a AS b, f.x // 1000 AS at_s, round(least(f.tt, g.tt) / 1000 + 0.00013::DOUBLE, 3) AS tt FROM f JOIN f g ON g.tail = f.tail AND g.x = f.x AND f.a < g.a""")
 def merged_functions(spark, sf_dir):
     return _sampled(_pairs_of_arcs(spark, sf_dir, "a_tail = b_tail AND a < b"), lambda f, g: plf.merge(f, g)[0])
 

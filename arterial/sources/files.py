@@ -131,13 +131,13 @@ def smoothed_speeds(rows: DataFrame, v_max: str = "v_max") -> DataFrame:
     From 23:00 to 05:00 the greatest speed holds; none is below 5; each is the mean of seven in a circle,
     rounded down, and at most ``v_max``.
     """
-    calm = F.expr("transform(speeds, (x, i) -> greatest(5L, CAST(IF(i >= 276 OR i < 60, array_max(speeds), x) AS BIGINT)))")
-    mean = F.expr(f"transform(calm, (x, i) -> least(aggregate(sequence(-3, 3), 0L, (s, o) -> s + calm[pmod(i + o, size(calm))]) div 7, CAST({v_max} AS BIGINT)))")
-    points = F.expr(
-        "transform(filter(transform(mean, (x, i) -> named_struct('at', i * 300000L, 'speed', x, 'same', IF(i = 0, false, mean[greatest(i - 1, 0)] = x))), p -> NOT p.same),"
-        " p -> named_struct('at', p.at, 'speed', p.speed))"
-    )
-    return rows.withColumn("calm", calm).withColumn("mean", mean).withColumn("profile", points).drop("calm", "mean")
+    # arrays of one element bind what later steps name, so each step is computed once and not for each of its uses
+    bound = lambda value, name, body: f"element_at(transform(array({value}), {name} -> {body}), 1)"
+    calm = "transform(speeds, (x, i) -> greatest(5L, CAST(IF(i >= 276 OR i < 60, top_, x) AS BIGINT)))"
+    mean = f"transform(calm_, (x, i) -> least(aggregate(sequence(-3, 3), 0L, (s, o) -> s + calm_[pmod(i + o, size(calm_))]) div 7, CAST({v_max} AS BIGINT)))"
+    changes = "filter(transform(mean_, (x, i) -> IF(i > 0 AND mean_[greatest(i - 1, 0)] = x, NULL, named_struct('at', i * 300000L, 'speed', x))), p -> p IS NOT NULL)"
+    profile = bound("array_max(speeds)", "top_", bound(calm, "calm_", bound(mean, "mean_", changes)))
+    return rows.withColumn("profile", F.expr(profile))
 
 
 def speed_functions(rows: DataFrame) -> DataFrame:
