@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..schema import PERIOD
-from .search import Graph, _dealt, collect, settle, value
+from .search import _dealt, check_size, collect, Graph, settle, value
 
 # Fixed values of the penalty method.
 STRETCH, PENALTY, REJOIN, MOST_PENALTIES, NEW_SHARE, MOST_PATHS = 1.25, (11, 10), 100, 5, 5, 5
@@ -302,6 +302,7 @@ class Traffic:
 
 
 def _shared(arcs: DataFrame, live: str | None):
+    check_size(arcs)
     p = arcs.select("arc_id", "tail", "head", "weight", *([live] if live else [])).toPandas()
     g = Graph(*(p[c].to_numpy(np.int64) for c in ("tail", "head", "weight", "arc_id")))
     order = np.lexsort((p["arc_id"].to_numpy(), p["tail"].to_numpy()))

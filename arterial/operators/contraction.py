@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from .hierarchy import dissection_order
+from .search import check_size
 
 
 def _witnesses(out: list[dict[int, int]], source: int, without: int, targets: set[int], cap: int) -> dict[int, int]:
@@ -96,7 +97,8 @@ class Contraction:
 
 
 def build(arcs: DataFrame, nodes: DataFrame) -> Contraction:
-    """Contraction on the driver by a nested dissection order."""
+    """Contraction on the driver by a nested dissection order, up to a checked size."""
+    check_size(arcs)
     p = arcs.select("tail", "head", "weight").toPandas()
     q = nodes.select("node", "x", "y").orderBy("node").toPandas()
     tail, head, weight = (p[c].to_numpy(np.int64) for c in ("tail", "head", "weight"))

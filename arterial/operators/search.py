@@ -1,7 +1,7 @@
 """Label-setting searches: kernels in Spark tasks over a broadcast graph, one DataFrame of queries in, one of results out.
 
-The graph is broadcast as arrays only up to ``MOST_ARCS`` arcs. :func:`distances` has another way beyond
-that: a DataFrame fixpoint of join and minimum.
+The graph is broadcast as arrays only up to ``MOST_BYTES``, estimated from its arcs and points before anything is
+collected. Beyond that :func:`fixpoint` is a way of joins and minima.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-#: 16 bytes an arc: 800 MB at most in a task's memory.
-MOST_ARCS = 50_000_000
+#: Bytes that a graph may take in a task as Python lists: about 250 for an arc and 90 for a point of its function.
+MOST_BYTES = 4 << 30
+ARC_BYTES, POINT_BYTES = 250, 90
 
 
 class Graph:
@@ -40,11 +41,17 @@ class Graph:
         return [rows[a:b] for a, b in zip(self.first[:-1].tolist(), self.first[1:].tolist(), strict=True)]
 
 
+def check_size(arcs: DataFrame, most: int = MOST_BYTES) -> None:
+    """Raise where the lists of ``arcs`` would take more than ``most`` bytes."""
+    points = F.sum(F.size("ttf")) if "ttf" in arcs.columns else F.lit(0)
+    n, held = arcs.agg(F.count(F.lit(1)), points).first()
+    if n * ARC_BYTES + (held or 0) * POINT_BYTES > most:
+        raise ValueError(f"{n} arcs with {held or 0} points are too many for a broadcast of {most} bytes; use a fixpoint or labels")
+
+
 def collect(arcs: DataFrame) -> Graph:
     """The graph in the driver's memory, for a broadcast."""
-    n = arcs.count()
-    if n > MOST_ARCS:
-        raise ValueError(f"{n} arcs are too many for a broadcast; use a fixpoint or labels")
+    check_size(arcs)
     columns = ["tail", "head", "weight", "arc_id"]
     timed = [F.col("ttf.dep").alias("dep"), F.col("ttf.tt").alias("tt")] if "ttf" in arcs.columns else []
     p = arcs.select(*columns, *timed).toPandas()

@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .search import check_size
+
 
 def weak_components(arcs: DataFrame, nodes: DataFrame, store: Callable[[DataFrame], DataFrame], rounds: int = 64) -> DataFrame:
     """``node, component`` (the smallest node) for ``nodes(node)``, arcs taken in both directions.
@@ -108,8 +110,9 @@ def core(spark: SparkSession, arcs: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node, in_core, degree, bridge``: the biggest block is the core, ``degree`` counts neighbours in it.
 
     ``bridge``: where the node's side component meets the core (itself inside, null if it never does).
-    The search is sequential, so it runs on the driver, over two longs for each arc.
+    The search is sequential, so it runs on the driver, up to a checked size.
     """
+    check_size(arcs)
     p = arcs.select("tail", "head").toPandas()
     top = nodes.agg(F.max("node")).first()[0]
     n = 0 if top is None else int(top) + 1

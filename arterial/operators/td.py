@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import plf
 from ..schema import INFINITY, PERIOD
 from .hierarchy import Hierarchy
-from .search import Graph, _dealt, collect, settle, value
+from .search import Graph, _dealt, check_size, collect, settle, value
 
 Function = tuple[np.ndarray, np.ndarray]
 #: Default windows of the day for samples, in hours; fixed values.
@@ -362,6 +362,7 @@ class FunctionHierarchy:
 
 def pareto(arcs: DataFrame, trips: DataFrame, cost: str) -> DataFrame:
     """``qid, dist, cost`` of all paths that no other path matches in both sums; ``cost``: a column of ``arcs``."""
+    check_size(arcs)
     p = arcs.select("arc_id", "tail", "head", "weight", F.col(cost).cast("long").alias("cost")).toPandas()
     g = Graph(*(p[c].to_numpy(np.int64) for c in ("tail", "head", "weight", "arc_id")))
     by_id = dict(zip(p["arc_id"].tolist(), p["cost"].tolist(), strict=True))
