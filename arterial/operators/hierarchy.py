@@ -408,3 +408,24 @@ def customize_in_cells(arcs: DataFrame, own: Hierarchy, most: int = 500) -> tupl
                 up[x][y] = min(up[x][y], down[v][x] + up[v][y])
                 down[x][y] = min(down[x][y], down[v][y] + up[v][x])
     return up, down
+
+
+def save(spark: SparkSession, own: Hierarchy, weights: tuple[list, list], folder: str) -> None:
+    """The order and the customized chordal arcs as tables; another metric of the same hierarchy may take a folder of its own."""
+    order = pd.DataFrame({"rank": np.arange(len(own.order)), "node": own.order})
+    spark.createDataFrame(order).write.mode("overwrite").parquet(f"{folder}/order")
+    chordal_arcs(spark, own, weights).write.mode("overwrite").parquet(f"{folder}/arcs")
+
+
+def load(spark: SparkSession, folder: str) -> tuple[Hierarchy, tuple[list, list]]:
+    """What :func:`save` wrote, without contraction or customization."""
+    order = spark.read.parquet(f"{folder}/order").orderBy("rank").toPandas()["node"].to_numpy(np.int64)
+    arcs = spark.read.parquet(f"{folder}/arcs").fillna(INFINITY, ["up", "down"]).orderBy("tail", "head").toPandas()
+    low, high = arcs["tail"].to_numpy(np.int64), arcs["head"].to_numpy(np.int64)
+    # chordal arcs are closed under contraction, so this only lists them
+    own = Hierarchy(order, order[low], order[high])
+    up: list[dict[int, int]] = [{} for _ in own.upper]
+    down: list[dict[int, int]] = [{} for _ in own.upper]
+    for a, b, u, d in zip(low.tolist(), high.tolist(), arcs["up"].tolist(), arcs["down"].tolist(), strict=True):
+        up[a][b], down[a][b] = int(u), int(d)
+    return own, (up, down)

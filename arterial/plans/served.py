@@ -56,6 +56,15 @@ def parallel_customization_trips(spark, sf_dir):
     return _by_labels(spark, road.trips(spark, sf_dir), own, *hierarchy.customize_in_cells(arcs, own))
 
 
+@_query(_SAME)
+def loaded_hierarchy_trips(spark, sf_dir):
+    """A hierarchy saved as tables, loaded, and asked as a potential."""
+    at = f"{folder(spark)}/{uuid.uuid4().hex}"
+    hierarchy.save(spark, *_built(spark, sf_dir), at)
+    own, weights = hierarchy.load(spark, at)
+    return lazy.distances(road.arcs(spark, sf_dir), own, weights, road.trips(spark, sf_dir))
+
+
 def _vectors(arcs):
     p = arcs.select("tail", "head", "weight").toPandas()
     return [p[c].to_numpy(np.int64) for c in ("tail", "head", "weight")]

@@ -70,6 +70,7 @@ def test_lazy_distances_searches_and_cells(seed):
             if path:
                 assert (path[0], path[-1]) == (s, t) and sum(cost[x] for x in zip(path, path[1:], strict=False)) == d
             assert lazy.one_sided(out, s, t, ahead) == d
+            assert lazy.permuted(ahead, list(range(n))[::-1])(n - 1 - s) == d
             if d is not None and d > 0:
                 assert lazy.one_sided(out, s, t, ahead, cap=d - 1) is None
                 assert lazy.two_sided(out, back, s, t, ahead, behind.aim(s), cap=d - 1) is None
