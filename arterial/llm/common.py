@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
+#: Bytes of an Arrow batch for Python workers, which a task holds several times; kernels cut batches to a megabyte anyway.
+BATCH_BYTES = 8 << 20
+
 _ROOTS: set[str] = set()
 
 
@@ -33,6 +36,14 @@ def scratch(spark: SparkSession) -> str:
     return root
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's limit of an Arrow batch to ``BATCH_BYTES``; a smaller one stays. Results don't depend on it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if now > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def release(spark: SparkSession) -> None:
     """Delete every intermediate table of this application. Call it once no result depends on them."""
     context = spark.sparkContext
@@ -47,6 +58,7 @@ def release(spark: SparkSession) -> None:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a Parquet table in the shared folder and read it back: the lineage ends here."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
