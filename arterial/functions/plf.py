@@ -141,6 +141,28 @@ def simplify(dep: np.ndarray, tt: np.ndarray, error: float = 1.0) -> tuple[np.nd
     return dep[keep], tt[keep]
 
 
+def fewest(dep: np.ndarray, tt: np.ndarray, error: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """The fewest of the points, each dropped one within ``error`` of the line that replaces it; quadratic at worst.
+
+    The points passed narrow a cone of slopes from where a line starts; the least number of allowed lines is a shortest path.
+    """
+    n = len(dep)
+    lines, before = [0, *[n] * (n - 1)], [0] * n
+    for i in range(n - 1):
+        low, high = -np.inf, np.inf
+        for j in range(i + 1, n):
+            run, rise = dep[j] - dep[i], tt[j] - tt[i]
+            if low <= rise / run <= high and lines[i] + 1 < lines[j]:
+                lines[j], before[j] = lines[i] + 1, i
+            low, high = max(low, (rise - error) / run), min(high, (rise + error) / run)
+            if low > high:
+                break
+    keep = [n - 1]
+    while keep[-1]:
+        keep.append(before[keep[-1]])
+    return dep[keep[::-1]], tt[keep[::-1]]
+
+
 def fifo(dep: np.ndarray, tt: np.ndarray) -> np.ndarray:
     """The greatest function below ``tt`` that never lets a later departure arrive earlier."""
     arrive = np.minimum.accumulate((dep + tt)[::-1])[::-1]

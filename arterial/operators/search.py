@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from ..schema import INFINITY
+
 #: Bytes that a graph may take in a task as Python lists: about 250 for an arc and 90 for a point of its function.
 MOST_BYTES = 4 << 30
 ARC_BYTES, POINT_BYTES = 250, 90
@@ -121,6 +123,36 @@ def bidirectional(out: list, back: list, source: int, target: int, cap: int | No
     return found
 
 
+def branching(graph: Graph) -> list[bool]:
+    """Nodes with other than one or two neighbours (of both directions): all but those inside chains and at dead ends."""
+    tail = np.repeat(np.arange(graph.n), np.diff(graph.first))
+    ends = np.concatenate([np.stack([tail, graph.head]), np.stack([graph.head, tail])], axis=1)
+    near = np.unique(ends[:, ends[0] != ends[1]], axis=1)
+    return (np.bincount(near[0], minlength=graph.n) > 2).tolist()
+
+
+def chained(out: list, branches: list[bool], source: int, target: int) -> int | None:
+    """Distance by a search whose queue holds branching nodes only: a label runs on along a chain at once."""
+    best = {source: 0}
+    queue: list[tuple[int, int]] = []
+    run = [(source, 0)]
+    while run:
+        node, d = run.pop()
+        if d == best[node] and node < len(out):
+            for head, weight, _ in out[node]:
+                t = d + weight
+                if t < best.get(head, t + 1):
+                    best[head] = t
+                    if branches[head]:
+                        heapq.heappush(queue, (t, head))
+                    else:
+                        run.append((head, t))
+        if not run and queue and queue[0][0] < best.get(target, INFINITY):
+            d, node = heapq.heappop(queue)
+            run.append((node, d))
+    return best.get(target)
+
+
 def goal_directed(out: list, back: list, source: int, target: int, to_target: dict[int, int], from_source: dict[int, int]) -> int | None:
     """:func:`bidirectional` on reduced costs by the average of two consistent potentials (lower bounds; absent: no path).
 
@@ -196,6 +228,19 @@ def _two_sided(arcs: DataFrame, trips: DataFrame) -> DataFrame:
     return trips.mapInPandas(work, StructType([*trips.schema.fields, StructField("dist", LongType())]))
 
 
+def chain_distances(arcs: DataFrame, trips: DataFrame) -> DataFrame:
+    """``trips`` with ``dist`` by :func:`chained`; trips are independent, so tasks share them out."""
+    graph = arcs.sparkSession.sparkContext.broadcast(collect(arcs))
+
+    def work(frames):
+        out, branches = graph.value.lists(), branching(graph.value)
+        for frame in frames:
+            found = [chained(out, branches, s, t) for s, t in zip(frame["source"].tolist(), frame["target"].tolist(), strict=True)]
+            yield frame.assign(dist=pd.array(found, "Int64"))
+
+    return _dealt(trips).mapInPandas(work, StructType([*trips.schema.fields, StructField("dist", LongType())]))
+
+
 def fixpoint(arcs: DataFrame, sources: DataFrame, store: Callable[[DataFrame], DataFrame], rounds: int = 10_000) -> DataFrame:
     """``source, node, dist`` by joins and minima until nothing improves; ``store`` cuts the lineage of each round."""
     best = store(sources.selectExpr("source", "source AS node", "0L AS dist").distinct())
