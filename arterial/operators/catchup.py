@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from ..functions import plf
 from ..schema import PERIOD
 from . import hierarchy
-from .hierarchy import Hierarchy
+from .hierarchy import INFINITY, Hierarchy, lower_neighbours
 from .lazy import TargetDistances
-from .search import _dealt, collect, settle, value
+from .search import Step, _dealt, collect, settle, value
+from .td import live_of, live_step
 
 
 def bound_metrics(arcs: DataFrame, nodes: DataFrame) -> tuple[Hierarchy, tuple[list, list], tuple[list, list]]:
@@ -38,11 +39,8 @@ def corridor(own: Hierarchy, lows: tuple[list, list], highs: tuple[list, list],
     return most, sorted(h for h in low[0].keys() & low[1].keys() if low[0][h] + low[1][h] <= most)
 
 
-def fastest(out: list, points: list, potential: TargetDistances, source: int, target: int, departure: int, most: int, period: int = PERIOD) -> tuple[int, list[tuple[int, int]]] | None:
-    """(travel time, [(node, time)]) of the fastest path that takes at most ``most``; ``points``: each arc's function."""
-
-    def step(at: int, _: int, place: int) -> int:
-        return at + value(*points[place], at % period)
+def fastest(out: list, step: Step, potential: TargetDistances, source: int, target: int, departure: int, most: int) -> tuple[int, list[tuple[int, int]]] | None:
+    """(travel time, [(node, time)]) of the fastest path that takes at most ``most``; ``step``: the arrival after an arc."""
 
     def allowed(node: int) -> int | None:
         d = potential(node)
@@ -72,11 +70,15 @@ def queries(arcs: DataFrame, nodes: DataFrame, trips: DataFrame, period: int = P
         out = g.lists()
         points = [(d.tolist(), t.tolist()) for d, t in g.extra]
         to = TargetDistances(h, low)
+
+        def step(at: int, _: int, place: int) -> int:
+            return at + value(*points[place], at % period)
+
         for frame in frames:
             rows = []
             for q, s, t, departure in zip(*(frame[c].tolist() for c in ("qid", "source", "target", "departure")), strict=True):
                 bounds = corridor(h, low, high, s, t)
-                found = fastest(out, points, to.aim(t), s, t, departure, bounds[0], period) if bounds else None
+                found = fastest(out, step, to.aim(t), s, t, departure, bounds[0]) if bounds else None
                 path = [{"node": v, "at": at} for v, at in found[1]] if found else None
                 rows.append((q, s, t, departure, found and found[0], len(bounds[1]) if bounds else 0, path))
             frame = pd.DataFrame(rows, columns=["qid", "source", "target", "departure", "travel_time", "n_hubs", "path"])
@@ -87,6 +89,50 @@ def queries(arcs: DataFrame, nodes: DataFrame, trips: DataFrame, period: int = P
     return dealt.mapInPandas(work, kind)
 
 
+def live_queries(arcs: DataFrame, nodes: DataFrame, trips: DataFrame, now: int, window: int = 3_540_000, smooth: bool = False, period: int = PERIOD) -> DataFrame:
+    """``trips(qid, source, target)`` that leave at ``now`` with ``travel_time`` on ``arcs(..., ttf, live, until)``; null without a path.
+
+    Two metrics bound live times from below: over the next ``window`` and over the whole day. A trip whose upper bound ends
+    within the window takes the closer one as its potential. The upper bound is the distance by greatest times (live ones
+    too), or with ``smooth`` the live time of the path that is shortest by the least predicted times.
+    """
+    floor = lambda least: f"least(coalesce(live, {INFINITY}L), {least})"
+    soon = plf.extreme_in_range("ttf", f"{now % period}L", f"{(now + window) % period}L")
+    metrics = [floor(plf.least("ttf")), floor(soon), f"greatest(coalesce(live, 0L), {plf.most('ttf')})", plf.least("ttf")]
+    built = [hierarchy.build(arcs.selectExpr("arc_id", "tail", "head", f"{m} AS weight"), nodes) for m in metrics]
+    own = built[0][0]
+    g = collect(arcs)
+    shared = arcs.sparkSession.sparkContext.broadcast((g, live_of(arcs, g), own, [w for _, w in built]))
+
+    def work(frames):
+        g, live, h, (day, near, high, predicted) = shared.value
+        out = g.lists()
+        step = live_step([(d.tolist(), t.tolist()) for d, t in g.extra], live, period)
+        potentials = TargetDistances(h, day), TargetDistances(h, near)
+        above, calm = TargetDistances(h, high), TargetDistances(h, predicted)
+        lower = lower_neighbours(h) if smooth else []
+
+        def bound(s: int, t: int) -> int | None:
+            if not smooth:
+                return above.aim(t)(s)
+            path = calm.aim(t).path(s, lower)
+            at = now
+            for a, b in zip(path or [], (path or [])[1:], strict=False):
+                at = min(step(at, w, place) for head, w, place in out[a] if head == b)
+            return at - now if path else None
+
+        for frame in frames:
+            took = []
+            for s, t in zip(frame["source"].tolist(), frame["target"].tolist(), strict=True):
+                most = bound(s, t)
+                found = None if most is None else fastest(out, step, potentials[most <= window].aim(t), s, t, now, most)
+                took.append(found and found[0])
+            yield frame.assign(travel_time=pd.array(took, "Int64"))
+
+    dealt = _dealt(trips.select("qid", "source", "target")).sortWithinPartitions("target")
+    return dealt.mapInPandas(work, "qid long, source long, target long, travel_time long")
+
+
 def path_arcs(found: DataFrame, arcs: DataFrame) -> DataFrame:
     """``qid, departure, arcs``: the arc ids (the first of parallel ones) along the paths of :func:`queries`."""
     first = arcs.groupBy("tail", "head").agg(F.min("arc_id").alias("arc_id"))

@@ -127,12 +127,12 @@ def contents(rows: DataFrame, *columns: str) -> tuple:
     return (*columns, *rows.agg(F.count(F.lit(1)), wide(h1), wide(h2)).first())
 
 
-def build(arcs: DataFrame, nodes: DataFrame) -> tuple[Hierarchy, tuple[list, list]]:
+def build(arcs: DataFrame, nodes: DataFrame, order: DataFrame | None = None) -> tuple[Hierarchy, tuple[list, list]]:
     """Order, contraction and customization on the driver: they are sequential, and as small as the graph.
 
-    Contraction depends on the arcs' ends alone, so another metric on known arcs is only customized.
+    ``order(node, rank)`` is taken as it is; without it nodes are dissected by their coordinates. Contraction depends on the arcs' ends alone, so another metric on known arcs is only customized.
     """
-    shape = (contents(arcs, "tail", "head"), contents(nodes, "node", "x", "y"))
+    shape = (contents(arcs, "tail", "head"), contents(nodes, "node", "x", "y") if order is None else contents(order, "node", "rank"))
     if shape[0][2] > MOST_ARCS:
         raise ValueError(f"{shape[0][2]} arcs are too many for the driver's contraction")
     metric = contents(arcs, "tail", "head", "weight")
@@ -143,6 +143,8 @@ def build(arcs: DataFrame, nodes: DataFrame) -> tuple[Hierarchy, tuple[list, lis
 
     def contracted() -> Hierarchy:
         tail, head, _ = collected()
+        if order is not None:
+            return Hierarchy(order.orderBy("rank").select("node").toPandas()["node"].to_numpy(np.int64), tail, head)
         q = nodes.select("node", "x", "y").orderBy("node").toPandas()
         return Hierarchy(dissection_order(q["x"].to_numpy(float), q["y"].to_numpy(float), tail, head), tail, head)
 

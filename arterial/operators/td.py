@@ -136,6 +136,30 @@ def profiles(arcs: DataFrame, pairs: DataFrame, period: int = PERIOD, window: tu
     return _dealt(pairs.select("source", "target").distinct()).mapInPandas(work, PROFILES)
 
 
+def live_step(points: list, live: list, period: int = PERIOD, pessimistic: bool = False):
+    """The arrival after an arc of ``points`` (function by place), where ``live`` has (time, until) or None."""
+
+    def step(at: int, _: int, place: int) -> int:
+        p = value(*points[place], at % period)
+        if live[place] is None:
+            return at + p
+        now, until = live[place]
+        then = value(*points[place], until % period)
+        if pessimistic:
+            return at + (p if at >= until else max(p, min(now, then + until - at)))
+        if at < until:
+            return at + now
+        return at + (max(now + until - at, 0, p) if then < now else min(now + at - until, p))
+
+    return step
+
+
+def live_of(arcs: DataFrame, g: Graph) -> list[tuple[int, int] | None]:
+    """(live, until) of each place, None without a live time."""
+    own = {r.arc_id: (r.live, r.until) for r in arcs.where("live IS NOT NULL").select("arc_id", "live", "until").toLocalIterator()}
+    return [own.get(a) for a in g.arc.tolist()]
+
+
 def live_arrivals(arcs: DataFrame, starts: DataFrame, period: int = PERIOD, pessimistic: bool = False) -> DataFrame:
     """``source, departure, node, travel_time`` with live times on ``arcs(..., ttf, live, until)`` (null: prediction only).
 
@@ -143,26 +167,14 @@ def live_arrivals(arcs: DataFrame, starts: DataFrame, period: int = PERIOD, pess
     ``pessimistic``: before ``until`` it holds, or waiting for ``until``, but never less than predicted.
     """
     g = collect(arcs)
-    own = {r.arc_id: (r.live, r.until) for r in arcs.where("live IS NOT NULL").select("arc_id", "live", "until").toLocalIterator()}
-    shared = arcs.sparkSession.sparkContext.broadcast((g, [own.get(a) for a in g.arc.tolist()]))
+    shared = arcs.sparkSession.sparkContext.broadcast((g, live_of(arcs, g)))
 
     def work(frames):
         graph, live = shared.value
         out = graph.lists()
         points = [(d.tolist(), t.tolist()) for d, t in graph.extra]
 
-        def step(at: int, _: int, place: int) -> int:
-            p = value(*points[place], at % period)
-            if live[place] is None:
-                return at + p
-            now, until = live[place]
-            then = value(*points[place], until % period)
-            if pessimistic:
-                return at + (p if at >= until else max(p, min(now, then + until - at)))
-            if at < until:
-                return at + now
-            return at + (max(now + until - at, 0, p) if then < now else min(now + at - until, p))
-
+        step = live_step(points, live, period, pessimistic)
         for frame in frames:
             for s, t in zip(frame["source"].tolist(), frame["departure"].tolist(), strict=True):
                 rows = [(s, t, node, at - t) for node, at, _ in settle(out, [(s, t)], step)]

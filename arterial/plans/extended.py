@@ -203,12 +203,6 @@ def contraction_trips(spark, sf_dir):
     return hierarchy.label_distances(trips, out, into).select("qid", "source", "target", "dist")
 
 
-@_query()
-def separator_cells(spark, sf_dir):
-    own, _ = hierarchy.build(road.arcs(spark, sf_dir), road.nodes(spark, sf_dir))
-    return spark.createDataFrame(hierarchy.separator_cells(own), "node long, cell long, level long")
-
-
 def _chordal(spark, sf_dir):
     arcs, nodes = road.arcs(spark, sf_dir), road.nodes(spark, sf_dir)
     own, weights = hierarchy.build(arcs, nodes)

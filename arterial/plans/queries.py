@@ -400,17 +400,55 @@ def perfect_customization_trips(spark, sf_dir):
     return hierarchy.label_distances(trips, out, into).agg(F.count(F.lit(1)).alias("n"), F.count("dist").alias("reachable"), F.sum("dist").alias("total"))
 
 
-@_query()
+# an order of the grid by dissection: the finest lines first, by the lowest bit of a coordinate counted from 1
+_LEVEL = "greatest(({x} + 1) & -({x} + 1), ({y} + 1) & -({y} + 1))"
+
+
+def _grid_hierarchy(spark, sf_dir):
+    nodes = road.nodes(spark, sf_dir)
+    keyed = nodes.select(F.struct(F.expr(_LEVEL.format(x="x", y="y")).alias("level"), "node").alias("key"))
+    order = graph.dense_ids(keyed, "key", "rank", "key.level").select("key.node", "rank")
+    return hierarchy.build(road.arcs(spark, sf_dir), nodes, order)
+
+
+def _through_lower(name: str, a: str, b: str) -> str:
+    """Least weights from (or, with ends swapped, to) each rank over lower ones only."""
+    return f"""{name}(s, v, d) USING KEY (s, v) AS (
+  SELECT rank, rank, CAST(0 AS BIGINT) FROM ord
+  UNION
+  SELECT {name}.s, r.{b}, min({name}.d + r.w) FROM {name} JOIN r ON r.{a} = {name}.v AND r.{b} < {name}.s LEFT JOIN recurring.{name} k ON k.s = {name}.s AND k.v = r.{b}
+  WHERE k.d IS NULL OR {name}.d + r.w < k.d GROUP BY {name}.s, r.{b})"""
+
+
+_CHORDAL = f"""WITH RECURSIVE {_ARCS}, ord AS (SELECT v AS node, row_number() OVER (ORDER BY {_LEVEL.format(x='(v % 50)', y='(v // 50)')}, v) - 1 AS rank FROM p),
+r AS (SELECT a.rank AS t, b.rank AS h, min(weight) AS w FROM arcs JOIN ord a ON a.node = tail JOIN ord b ON b.node = head WHERE tail <> head GROUP BY 1, 2),
+{_through_lower('go', 't', 'h')}, {_through_lower('come', 'h', 't')},
+chordal AS (SELECT tail, head, u.up, w.down FROM (SELECT go.s AS tail, r.h AS head, min(go.d + r.w) AS up FROM go JOIN r ON r.t = go.v WHERE r.h > go.s GROUP BY 1, 2) u
+  FULL JOIN (SELECT come.s AS tail, r.t AS head, min(come.d + r.w) AS down FROM come JOIN r ON r.h = come.v WHERE r.t > come.s GROUP BY 1, 2) w USING (tail, head)),
+tree AS (SELECT tail AS node, min(head) AS parent FROM chordal GROUP BY tail)"""
+
+
+@_query(f"{_CHORDAL} SELECT tail, head, up, down FROM chordal")
 def cch_arcs(spark, sf_dir):
-    own, weights = hierarchy.build(road.arcs(spark, sf_dir), road.nodes(spark, sf_dir))
-    return hierarchy.chordal_arcs(spark, own, weights)
+    return hierarchy.chordal_arcs(spark, *_grid_hierarchy(spark, sf_dir))
 
 
-@_query()
+@_query(f"{_CHORDAL} SELECT node, parent FROM tree")
 def elimination_tree(spark, sf_dir):
     return hierarchy.elimination_tree(cch_arcs(spark, sf_dir))
 
 
+@_query(f"""{_CHORDAL}, kids AS (SELECT parent, count(*) AS n FROM tree GROUP BY parent),
+cells(v, cell, level) AS (
+  SELECT rank, rank, CAST(0 AS BIGINT) FROM ord WHERE rank NOT IN (SELECT node FROM tree)
+  UNION ALL
+  SELECT t.node, CASE WHEN n = 1 THEN cell ELSE t.node END, CASE WHEN n = 1 THEN level ELSE level + 1 END FROM cells JOIN tree t ON t.parent = v JOIN kids k ON k.parent = v)
+SELECT node, cell, level FROM cells JOIN ord ON rank = v""")
+def separator_cells(spark, sf_dir):
+    own, _ = _grid_hierarchy(spark, sf_dir)
+    return spark.createDataFrame(hierarchy.separator_cells(own), "node long, cell long, level long")
+
+
 # potentials
 
 

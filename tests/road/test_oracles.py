@@ -11,7 +11,7 @@ import pytest
 
 from arterial.operators import hierarchy, lazy, neighbours
 from arterial.operators.search import Graph, settle
-from arterial.plans import extended, queries, served  # noqa: F401
+from arterial.plans import extended, queries, served, timed  # noqa: F401
 from arterial.streaming import link_speed
 
 SF = "/root/testdata/sf0.001"
