@@ -111,7 +111,7 @@ _KNOWN: OrderedDict[tuple, tuple] = OrderedDict()
 _KEPT = 4
 
 
-def _remembered(key: tuple, make):
+def remembered(key: tuple, make):
     if key not in _KNOWN:
         _KNOWN[key] = make()
         while len(_KNOWN) > 2 * _KEPT:
@@ -148,8 +148,8 @@ def build(arcs: DataFrame, nodes: DataFrame, order: DataFrame | None = None) ->
         q = nodes.select("node", "x", "y").orderBy("node").toPandas()
         return Hierarchy(dissection_order(q["x"].to_numpy(float), q["y"].to_numpy(float), tail, head), tail, head)
 
-    own = _remembered(shape, contracted)
-    return own, _remembered((shape, metric), lambda: own.customize(*collected()))
+    own = remembered(shape, contracted)
+    return own, remembered((shape, metric), lambda: own.customize(*collected()))
 
 
 def chordal_arcs(spark: SparkSession, own: Hierarchy, weights: tuple[list, list]) -> DataFrame:

@@ -242,11 +242,19 @@ class Shortcuts:
 
 
 def build(arcs: DataFrame, nodes: DataFrame, period: int = PERIOD) -> tuple[Shortcuts, np.ndarray]:
-    """The shortcuts of ``arcs(..., ttf)`` and the arc ids by place. Sequential, so on the driver, up to the checked size of ``collect``."""
-    own, _ = hierarchy.build(arcs, nodes)
-    g = collect(arcs)
-    tail = np.repeat(np.arange(g.n), np.diff(g.first))
-    return Shortcuts(own, tail, g.head, seconds(g), period / 1000), g.arc
+    """The shortcuts of ``arcs(..., ttf)`` and the arc ids by place. Sequential, so on the driver, up to the checked size of ``collect``.
+
+    Like hierarchies they are kept by what the tables hold.
+    """
+
+    def made():
+        own, _ = hierarchy.build(arcs, nodes)
+        g = collect(arcs)
+        tail = np.repeat(np.arange(g.n), np.diff(g.first))
+        return Shortcuts(own, tail, g.head, seconds(g), period / 1000), g.arc
+
+    key = ("shortcuts", hierarchy.contents(arcs, "arc_id", "tail", "head", "ttf"), hierarchy.contents(nodes, "node", "x", "y"), period)
+    return hierarchy.remembered(key, made)
 
 
 def travel_times(spark, built: tuple[Shortcuts, np.ndarray], trips: DataFrame) -> DataFrame:
