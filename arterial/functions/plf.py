@@ -163,6 +163,21 @@ def fewest(dep: np.ndarray, tt: np.ndarray, error: float = 1.0) -> tuple[np.ndar
     return dep[keep[::-1]], tt[keep[::-1]]
 
 
+def remembering(f, most: int = 10_000):
+    """``f(dep, tt, *more)``, computed once for equal arguments; everything known is dropped after ``most`` functions."""
+    known: dict[tuple, object] = {}
+
+    def get(dep: np.ndarray, tt: np.ndarray, *more):
+        key = (dep.tobytes(), tt.tobytes(), *more)
+        if key not in known:
+            if len(known) >= most:
+                known.clear()
+            known[key] = f(dep, tt, *more)
+        return known[key]
+
+    return get
+
+
 def fifo(dep: np.ndarray, tt: np.ndarray) -> np.ndarray:
     """The greatest function below ``tt`` that never lets a later departure arrive earlier."""
     arrive = np.minimum.accumulate((dep + tt)[::-1])[::-1]

@@ -4,8 +4,10 @@ import random
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 
+from arterial.functions import plf
 from arterial.operators import experiments, search
 from arterial.plans import extended, queries, served, timed  # noqa: F401
 from arterial.plans.storage import storer
@@ -53,3 +55,19 @@ def test_balls_and_first_beyond_equal_whole_searches(spark, few_arcs):
 def test_near_nodes_without_the_graph(spark, monkeypatch, name):
     monkeypatch.setattr(search, "collect", refuse)
     same_as_sql(spark, name)
+
+
+@pytest.mark.parametrize(("name", "costly"), [("fewest_points", "fewest")])
+def test_equal_functions_are_worked_on_once(spark, monkeypatch, name, costly):
+    """All arcs of a weight share a function: a task works on each once, not on each arc."""
+    frames, seen = [], []
+    monkeypatch.setattr(type(spark.range(1)), "mapInPandas", lambda df, work, kind: frames.append((df.toPandas(), work)))
+    queries.QUERIES[name](spark, SF)
+    monkeypatch.undo()
+    own = getattr(plf, costly)
+    monkeypatch.setattr(plf, costly, lambda *a: (seen.append(a), own(*a))[1])
+    ((frame, work),) = frames
+    for c in ("dep", "tt"):
+        frame[c] = frame[c].map(np.asarray)
+    n = sum(map(len, work(iter([frame[:400], frame[400:]]))))
+    assert n in (len(frame), 6 * len(frame)) and len(seen) == len({(tuple(d), tuple(t)) for d, t in zip(frame["dep"], frame["tt"], strict=True)}) < len(frame)
