@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import plf
 from ..schema import INFINITY, PERIOD
 from .hierarchy import Hierarchy
-from .search import Graph, _dealt, check_size, collect, settle, value
+from .search import Graph, _dealt, by_cells, check_size, collect, settle, value
 
 Function = tuple[np.ndarray, np.ndarray]
 #: Default windows of the day for samples, in hours; fixed values.
@@ -160,12 +160,25 @@ def live_of(arcs: DataFrame, g: Graph) -> list[tuple[int, int] | None]:
     return [own.get(a) for a in g.arc.tolist()]
 
 
-def live_arrivals(arcs: DataFrame, starts: DataFrame, period: int = PERIOD, pessimistic: bool = False) -> DataFrame:
+def _lists(frame: pd.DataFrame) -> list[tuple[list, list]]:
+    return [(d.tolist(), t.tolist()) for d, t in zip(frame["dep"], frame["tt"], strict=True)]
+
+
+def live_arrivals(arcs: DataFrame, starts: DataFrame, period: int = PERIOD, pessimistic: bool = False, store=None, size: int = 50_000) -> DataFrame:
     """``source, departure, node, travel_time`` with live times on ``arcs(..., ttf, live, until)`` (null: prediction only).
 
     By default a live time moves back to the prediction by one for each unit of time after ``until``;
-    ``pessimistic``: before ``until`` it holds, or waiting for ``until``, but never less than predicted.
+    ``pessimistic``: before ``until`` it holds, or waiting for ``until``, but never less than predicted. With ``store``
+    (as of :func:`search.by_cells`) no memory holds the graph.
     """
+    if store:
+
+        def step_of(frame: pd.DataFrame):
+            live = [None if pd.isna(x) else (int(x), int(u)) for x, u in zip(frame["live"], frame["until"], strict=True)]
+            return live_step(_lists(frame), live, period, pessimistic)
+
+        found = by_cells(arcs, starts, step_of, store, size)
+        return found.select("source", "departure", "node", (F.col("at") - F.col("departure")).alias("travel_time"))
     g = collect(arcs)
     shared = arcs.sparkSession.sparkContext.broadcast((g, live_of(arcs, g)))
 
@@ -183,26 +196,33 @@ def live_arrivals(arcs: DataFrame, starts: DataFrame, period: int = PERIOD, pess
     return _dealt(starts.select("source", "departure").distinct()).mapInPandas(work, "source long, departure long, node long, travel_time long")
 
 
-def float_arrivals(arcs: DataFrame, starts: DataFrame, period: int = PERIOD) -> DataFrame:
+def _float_step(points: list, period: int):
+    def step(at: float, _: int, place: int) -> float:
+        dep, tt = points[place]
+        if len(dep) <= 2:
+            return at + tt[0]
+        x = at % period
+        i = bisect.bisect_right(dep, x) - 1
+        return at + (tt[i] + (x - dep[i]) * (tt[i + 1] - tt[i]) / (dep[i + 1] - dep[i]))
+
+    return step
+
+
+def float_arrivals(arcs: DataFrame, starts: DataFrame, period: int = PERIOD, store=None, size: int = 50_000) -> DataFrame:
     """``source, departure, node, travel_time, before`` with float functions (unrounded) for each of ``starts(source, departure)``.
 
-    ``before``: the node from which each is reached, -1 at the source, so the rows are timed paths.
+    ``before``: the node from which each is reached, -1 at the source, so the rows are timed paths. With ``store``
+    (as of :func:`search.by_cells`) no memory holds the graph.
     """
+    if store:
+        found = by_cells(arcs, starts, lambda frame: _float_step(_lists(frame), period), store, size, "double")
+        return found.select("source", "departure", "node", (F.col("at") - F.col("departure")).alias("travel_time"), "before")
     graph = arcs.sparkSession.sparkContext.broadcast(collect(arcs))
 
     def work(frames):
         g = graph.value
         out = g.lists()
-        points = [(d.tolist(), t.tolist()) for d, t in g.extra]
-
-        def step(at: float, _: int, place: int) -> float:
-            dep, tt = points[place]
-            if len(dep) <= 2:
-                return at + tt[0]
-            x = at % period
-            i = bisect.bisect_right(dep, x) - 1
-            return at + (tt[i] + (x - dep[i]) * (tt[i + 1] - tt[i]) / (dep[i + 1] - dep[i]))
-
+        step = _float_step([(d.tolist(), t.tolist()) for d, t in g.extra], period)
         for frame in frames:
             for s, t in zip(frame["source"].tolist(), frame["departure"].tolist(), strict=True):
                 rows = [(s, t, node, at - t, b) for node, at, b in settle(out, [(s, float(t))], step)]

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from arterial.functions import plf
-from arterial.operators import experiments, search
+from arterial.operators import experiments, search, td
 from arterial.plans import extended, queries, served, timed  # noqa: F401
 from arterial.plans.storage import storer
 
@@ -71,3 +71,13 @@ def test_equal_functions_are_worked_on_once(spark, monkeypatch, name, costly):
         frame[c] = frame[c].map(np.asarray)
     n = sum(map(len, work(iter([frame[:400], frame[400:]]))))
     assert n in (len(frame), 6 * len(frame)) and len(seen) == len({(tuple(d), tuple(t)) for d, t in zip(frame["dep"], frame["tt"], strict=True)}) < len(frame)
+
+
+@pytest.mark.parametrize("name", ["float_td_dijkstra"])
+def test_arrivals_by_cells(spark, monkeypatch, name):
+    """Cells of 37 nodes, so that labels cross their borders in both directions."""
+    for module in (search, td):
+        monkeypatch.setattr(module, "collect", refuse)
+    own = search.by_cells
+    monkeypatch.setattr(td, "by_cells", lambda a, s, f, store, size, *more: own(a, s, f, store, 37, *more))
+    same_as_sql(spark, name)
