@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import plf
 from ..schema import INFINITY, PERIOD
 from .hierarchy import Hierarchy
-from .search import Graph, _dealt, by_cells, check_size, collect, settle, value
+from .search import Graph, _dealt, by_cells, check_size, collect, inside, regions, settle, towards, value
 
 Function = tuple[np.ndarray, np.ndarray]
 #: Default windows of the day for samples, in hours; fixed values.
@@ -108,11 +108,51 @@ def profile(out: list, functions: list[Function], nodes: Iterable[int], source:
 PROFILES = "source long, target long, dep array<double>, tt array<double>, switches array<struct<valid_from: double, arcs: array<long>>>"
 
 
-def profiles(arcs: DataFrame, pairs: DataFrame, period: int = PERIOD, window: tuple[float, float] | None = None) -> DataFrame:
+def _profile_row(g: Graph, back: Graph, out: list, functions: list[Function], s: int, t: int, period: int, window: tuple[float, float] | None) -> tuple:
+    found = profile(out, functions, corridor(g, back, s, t), s, t, period / 1000)
+    if found is None:
+        return s, t, None, None, None
+    f, switches = found
+    if window:
+        f = plf.crop(*f, *window, period / 1000)
+        cuts = [b for _, b in zip(switches, [x[0] for x in switches[1:]] + [period / 1000], strict=True)]
+        switches = [(max(a, window[0]), p) for (a, p), b in zip(switches, cuts, strict=True) if a <= window[1] and b > window[0]]
+    return s, t, f[0].tolist(), f[1].tolist(), [{"valid_from": a, "arcs": [int(g.arc[i]) for i in p]} for a, p in switches]
+
+
+def _profiles_in_regions(arcs: DataFrame, pairs: DataFrame, period: int, window: tuple[float, float] | None, store) -> DataFrame:
+    """:func:`profiles` on the nodes whose least time from the source doesn't exceed the pair's least greatest time."""
+    bounds = store(arcs.selectExpr("tail", "head", f"{plf.least('ttf')} AS low", f"{plf.most('ttf')} AS high"))
+    pairs = pairs.select("source", "target").distinct()
+    most = towards(bounds.selectExpr("tail", "head", "high AS weight"), pairs, store).withColumnRenamed("dist", "most")
+    region = regions(bounds.selectExpr("tail", "head", "low AS weight"), most, store)
+    own = inside(arcs.select("arc_id", "tail", "head", "weight", F.col("ttf.dep").alias("dep"), F.col("ttf.tt").alias("tt")), region, store)
+
+    def work(key, pair: pd.DataFrame, frame: pd.DataFrame) -> pd.DataFrame:
+        s, t = int(key[0]), int(key[1])
+        # ids in rising order keep the order of ties
+        names = np.unique(np.concatenate([frame["tail"].to_numpy(np.int64), frame["head"].to_numpy(np.int64), [s, t]]))
+        at = lambda v: np.searchsorted(names, v)
+        # a loop that no path takes makes room for both ends
+        loops = at(np.array([s, t]))
+        ends = [np.concatenate([at(frame[c].to_numpy(np.int64)), loops]) for c in ("tail", "head")]
+        none = np.array([0]), np.array([INFINITY])
+        extra = [(np.asarray(d), np.asarray(x)) for d, x in zip(frame["dep"], frame["tt"], strict=True)] + [none, none]
+        g = Graph(*ends, *(np.concatenate([frame[c].to_numpy(np.int64), [INFINITY, INFINITY]]) for c in ("weight", "arc_id")), extra)
+        row = _profile_row(g, g.transposed(), g.lists(), seconds(g), int(loops[0]), int(loops[1]), period, window)
+        return pd.DataFrame([(s, t, *row[2:])], columns=["source", "target", "dep", "tt", "switches"])
+
+    return pairs.groupBy("source", "target").cogroup(own.groupBy("source", "target")).applyInPandas(work, PROFILES)
+
+
+def profiles(arcs: DataFrame, pairs: DataFrame, period: int = PERIOD, window: tuple[float, float] | None = None, store=None) -> DataFrame:
     """For ``pairs(source, target)`` the travel times (s) over the day and the paths with the departures from which they are best.
 
     ``window``: departures (s) to restrict to. Without a path the arrays are null; a node reaches itself at once.
+    With ``store`` a task gets only the arcs that a pair's fastest paths may pass, found by joins on bounds.
     """
+    if store:
+        return _profiles_in_regions(arcs, pairs, period, window, store)
     graph = arcs.sparkSession.sparkContext.broadcast(collect(arcs))
 
     def work(frames):
@@ -121,16 +161,7 @@ def profiles(arcs: DataFrame, pairs: DataFrame, period: int = PERIOD, window: tu
         for frame in frames:
             rows = []
             for s, t in zip(frame["source"].tolist(), frame["target"].tolist(), strict=True):
-                found = profile(out, functions, corridor(g, back, s, t), s, t, period / 1000)
-                if found is None:
-                    rows.append((s, t, None, None, None))
-                    continue
-                f, switches = found
-                if window:
-                    f = plf.crop(*f, *window, period / 1000)
-                    cuts = [b for _, b in zip(switches, [x[0] for x in switches[1:]] + [period / 1000], strict=True)]
-                    switches = [(max(a, window[0]), p) for (a, p), b in zip(switches, cuts, strict=True) if a <= window[1] and b > window[0]]
-                rows.append((s, t, f[0].tolist(), f[1].tolist(), [{"valid_from": a, "arcs": [int(g.arc[i]) for i in p]} for a, p in switches]))
+                rows.append(_profile_row(g, back, out, functions, s, t, period, window))
             yield pd.DataFrame(rows, columns=["source", "target", "dep", "tt", "switches"])
 
     return _dealt(pairs.select("source", "target").distinct()).mapInPandas(work, PROFILES)

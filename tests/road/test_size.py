@@ -81,3 +81,8 @@ def test_arrivals_by_cells(spark, monkeypatch, name):
     own = search.by_cells
     monkeypatch.setattr(td, "by_cells", lambda a, s, f, store, size, *more: own(a, s, f, store, 37, *more))
     same_as_sql(spark, name)
+
+
+def test_profile_samples_without_the_graph(spark, monkeypatch):
+    monkeypatch.setattr(td, "collect", refuse)
+    same_as_sql(spark, "profile_samples")
