@@ -86,3 +86,12 @@ def test_arrivals_by_cells(spark, monkeypatch, name):
 def test_profile_samples_without_the_graph(spark, monkeypatch):
     monkeypatch.setattr(td, "collect", refuse)
     same_as_sql(spark, "profile_samples")
+
+
+def test_profiles_in_regions(spark, monkeypatch):
+    """Pairs without a path and of one node too; equal to profiles on the whole graph."""
+    arcs = queries._normal(spark, SF).where("tail < 100 AND head < 100 AND tail % 50 <> 6 AND head % 50 <> 6").cache()
+    pairs = spark.createDataFrame([(0, 53), (7, 7), (3, 8)], "source long, target long")
+    whole = rows(td.profiles(arcs, pairs))
+    monkeypatch.setattr(td, "collect", refuse)
+    assert rows(td.profiles(arcs, pairs, store=storer(spark))) == whole
