@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import plf
-from ..operators import graph, hierarchy, neighbours, paths, potentials, search
+from ..operators import cells, graph, hierarchy, neighbours, paths, potentials, search
 from ..schema import INFINITY, PERIOD
 from ..streaming import link_speed
 from . import road
+from .storage import storer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -404,11 +405,13 @@ def perfect_customization_trips(spark, sf_dir):
 _LEVEL = "greatest(({x} + 1) & -({x} + 1), ({y} + 1) & -({y} + 1))"
 
 
+def _grid_order(spark, sf_dir):
+    keyed = road.nodes(spark, sf_dir).select(F.struct(F.expr(_LEVEL.format(x="x", y="y")).alias("level"), "node").alias("key"))
+    return graph.dense_ids(keyed, "key", "rank", "key.level").select("key.node", "rank")
+
+
 def _grid_hierarchy(spark, sf_dir):
-    nodes = road.nodes(spark, sf_dir)
-    keyed = nodes.select(F.struct(F.expr(_LEVEL.format(x="x", y="y")).alias("level"), "node").alias("key"))
-    order = graph.dense_ids(keyed, "key", "rank", "key.level").select("key.node", "rank")
-    return hierarchy.build(road.arcs(spark, sf_dir), nodes, order)
+    return hierarchy.build(road.arcs(spark, sf_dir), road.nodes(spark, sf_dir), _grid_order(spark, sf_dir))
 
 
 def _through_lower(name: str, a: str, b: str) -> str:
@@ -430,7 +433,7 @@ tree AS (SELECT tail AS node, min(head) AS parent FROM chordal GROUP BY tail)"""
 
 @_query(f"{_CHORDAL} SELECT tail, head, up, down FROM chordal")
 def cch_arcs(spark, sf_dir):
-    return hierarchy.chordal_arcs(spark, *_grid_hierarchy(spark, sf_dir))
+    return cells.build(road.arcs(spark, sf_dir), road.nodes(spark, sf_dir), storer(spark), _grid_order(spark, sf_dir)).chordal()
 
 
 @_query(f"{_CHORDAL} SELECT node, parent FROM tree")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from arterial.functions import plf
-from arterial.operators import experiments, search, td
+from arterial.operators import cells, experiments, hierarchy, search, td
 from arterial.plans import extended, queries, served, timed  # noqa: F401
 from arterial.plans.storage import storer
 
@@ -95,3 +95,35 @@ def test_profiles_in_regions(spark, monkeypatch):
     whole = rows(td.profiles(arcs, pairs))
     monkeypatch.setattr(td, "collect", refuse)
     assert rows(td.profiles(arcs, pairs, store=storer(spark))) == whole
+
+
+def small_cells(monkeypatch, size=37):
+    """No hierarchy on the driver, and cells so small that there are several rounds."""
+    monkeypatch.setattr(hierarchy, "build", refuse)
+    monkeypatch.setattr(cells, "LEAF", size)
+
+
+@pytest.mark.parametrize("size", [9, 37, 4000])
+@pytest.mark.parametrize("given", [False, True])
+def test_cells_give_the_hierarchy_and_its_labels(spark, few_arcs, size, given):
+    """By the dissection and by a random order, which leaves most for the last round."""
+    rng = np.random.default_rng(size)
+    nodes = spark.createDataFrame([(v, float(v % 8), float(v // 8)) for v in range(60)], "node long, x double, y double")
+    order = spark.createDataFrame(list(zip(range(60), rng.permutation(60).tolist(), strict=True)), "node long, rank long") if given else None
+    own = cells.build(few_arcs, nodes, storer(spark), order, size)
+    p = few_arcs.toPandas()
+    tail, head, weight = (p[c].to_numpy() for c in ("tail", "head", "weight"))
+    ranks = own.order.orderBy("rank").toPandas()
+    assert ranks["rank"].tolist() == list(range(60))
+    one = hierarchy.Hierarchy(ranks["node"].to_numpy(), tail, head)
+    weights = one.customize(tail, head, weight)
+    plain_ = lambda df: sorted(map(str, df.collect()))
+    assert plain_(own.chordal()) == plain_(hierarchy.chordal_arcs(spark, one, weights))
+    for side, w in zip(("up", "down"), weights, strict=True):
+        assert rows(cells.labels(own, nodes, side)) == rows(hierarchy.labels(spark, one, w, nodes))
+
+
+@pytest.mark.parametrize("name", ["cch_arcs"])
+def test_hierarchies_in_cells(spark, monkeypatch, name):
+    small_cells(monkeypatch)
+    same_as_sql(spark, name)
