@@ -372,7 +372,10 @@ def hub_label_trips(spark, sf_dir):
 
 @_query(f"{_FROM_TRIPS} SELECT s.source, t.target, sp.dist FROM (SELECT DISTINCT source FROM trips) s, (SELECT DISTINCT target FROM trips) t JOIN sp ON sp.source = s.source AND sp.node = t.target")
 def many_to_many(spark, sf_dir):
-    trips, out, into = _labelled(spark, sf_dir)
+    own = cells.build(road.arcs(spark, sf_dir), road.nodes(spark, sf_dir), storer(spark))
+    trips = road.trips(spark, sf_dir)
+    out = cells.labels(own, trips.select(F.col("source").alias("node")), "up")
+    into = cells.labels(own, trips.select(F.col("target").alias("node")), "down")
     # the label join meets every source with every target on their hubs
     a = out.select(F.col("node").alias("source"), "hub", F.col("dist").alias("d1"))
     b = into.select(F.col("node").alias("target"), "hub", F.col("dist").alias("d2"))
