@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from arterial.functions import plf
-from arterial.operators import cells, experiments, hierarchy, search, td
+from arterial.operators import catchup, cells, experiments, hierarchy, search, td
 from arterial.plans import extended, queries, served, timed  # noqa: F401
 from arterial.plans.storage import storer
 from arterial.schema import INFINITY
@@ -143,3 +143,14 @@ def test_perfect_and_directed_in_cells(spark, few_arcs, size):
 def test_hierarchies_in_cells(spark, monkeypatch, name):
     small_cells(monkeypatch)
     same_as_sql(spark, name)
+
+
+def test_smooth_bounds_in_cells(spark, monkeypatch):
+    """No graph, no hierarchy; cells of 97 nodes, so that labels cross their borders in both directions."""
+    for module in (search, td, catchup):
+        monkeypatch.setattr(module, "collect", refuse)
+    monkeypatch.setattr(hierarchy, "build", refuse)
+    own = search.by_cells
+    for module in (catchup, td):
+        monkeypatch.setattr(module, "by_cells", lambda a, s, f, store, size, *more, **named: own(a, s, f, store, 97, *more, **named))
+    same_as_sql(spark, "smooth_bound_trips")
