@@ -6,9 +6,10 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from arterial.functions import plf
-from arterial.operators import catchup, cells, experiments, hierarchy, search, td
+from arterial.operators import catchup, cells, experiments, hierarchy, lazy, paths, search, td
 from arterial.plans import extended, queries, served, timed  # noqa: F401
 from arterial.plans.storage import storer
 from arterial.schema import INFINITY
@@ -154,3 +155,15 @@ def test_smooth_bounds_in_cells(spark, monkeypatch):
     for module in (catchup, td):
         monkeypatch.setattr(module, "by_cells", lambda a, s, f, store, size, *more, **named: own(a, s, f, store, 97, *more, **named))
     same_as_sql(spark, "smooth_bound_trips")
+
+
+@pytest.mark.parametrize("size", [9, 4000])
+def test_path_lengths_in_cells(spark, few_arcs, size):
+    """Weights of 0, trips without a path and of one node too; the same as by the lists of nodes on the driver's hierarchy."""
+    nodes = spark.createDataFrame([(v, float(v % 8), float(v // 8)) for v in range(60)], "node long, x double, y double")
+    trips = spark.range(40).selectExpr("id AS qid", "id * 7 % 20 AS source", "id * 11 % 60 AS target")
+    found = rows(cells.path_lengths(cells.build(few_arcs, nodes, storer(spark), None, size), trips, few_arcs).where("dist IS NOT NULL").select("qid", "dist"))
+    own, weights = hierarchy.build(few_arcs, nodes)
+    assert found == rows(hierarchy.paths(spark, own, weights, trips).select("qid", "dist"))
+    walk = lazy.unpacked_paths(spark, own, weights, hierarchy.lower_neighbours(own), trips).select("qid", F.posexplode("path").alias("pos", "node"))
+    assert found == rows(paths.cumulative(walk, few_arcs).groupBy("qid").agg(F.max("cum").alias("dist")))
