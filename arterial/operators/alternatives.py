@@ -13,9 +13,10 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..schema import PERIOD
-from .search import _dealt, check_size, collect, Graph, settle, value
+from .search import _dealt, by_cells, check_size, collect, Graph, settle, value
 
 # Fixed values of the penalty method.
 STRETCH, PENALTY, REJOIN, MOST_PENALTIES, NEW_SHARE, MOST_PATHS = 1.25, (11, 10), 100, 5, 5, 5
@@ -237,6 +238,8 @@ class Traffic:
         self.step = step or (lambda d, _, p: d + live[p])
         self.known = lambda d, _, p: d + smooth[p]
         self.cache: dict[int, dict[int, int]] = {}
+        #: The longest path looked at, by smooth weights.
+        self.longest = 0
 
     def far(self, v: int) -> dict[int, int]:
         if v not in self.cache:
@@ -258,7 +261,9 @@ class Traffic:
         return start
 
     def bad(self, path: list[int], eps: float) -> list[tuple[int, int]]:
-        return violations(path, self.along(path), self.far, eps)
+        along = self.along(path)
+        self.longest = max(self.longest, along[-1])
+        return violations(path, along, self.far, eps)
 
     def blocked(self, source: int, target: int, eps: float, limit_ms: float | None = TIME_LIMIT_MS, start: int = 0, detours: bool = False):
         """(label, path, rounds, done): best live paths, forbidding their bad subpaths, until one has none.
@@ -335,36 +340,89 @@ def alternatives(arcs: DataFrame, trips: DataFrame) -> DataFrame:
 HOW = ("blocking", "detours", "fixing", "smooth")
 
 
-def traffic_aware(arcs: DataFrame, trips: DataFrame, live: str, eps: float, how: str = "blocking", limit_ms: float | None = TIME_LIMIT_MS) -> DataFrame:
+def traffic_aware(arcs: DataFrame, trips: DataFrame, live: str, eps: float, how: str = "blocking", limit_ms: float | None = TIME_LIMIT_MS, store: Callable[..., DataFrame] | None = None) -> DataFrame:
     """``qid, live_dist, path, done`` for ``trips``; smooth weights in ``weight``, live ones in the column ``live``.
 
     ``how``: block bad subpaths (exact), block detours (heuristic), fix the live path, or take the smooth path.
+    ``store``: no memory holds the graph, a task gets what lies around a source (:func:`_around`).
     """
     if how not in HOW:
         raise ValueError(f"{how} is none of {HOW}")
+    if store:
+        return _around(arcs, trips, live, eps, how, limit_ms, store)
     shared = _shared(arcs, live)
 
     def work(frames):
         g, now = shared.value
-        out = g.lists()
-        own = Traffic(out, g.weight.tolist(), now)
+        own = Traffic(g.lists(), g.weight.tolist(), now)
         for frame in frames:
             rows = []
             for q, s, t in zip(frame["qid"].tolist(), frame["source"].tolist(), frame["target"].tolist(), strict=True):
-                if how in ("blocking", "detours"):
-                    found = own.blocked(s, t, eps, limit_ms, detours=how == "detours")
-                    if found:
-                        rows.append((q, found[0], found[1], found[3]))
-                else:
-                    found = shortest(out, s, t, own.known if how == "smooth" else own.step)
-                    if found:
-                        path, done = own.fixed(found[1], eps, limit_ms) if how == "fixing" else (found[1], True)
-                        rows.append((q, own.along(path, smooth=False)[-1], path, done))
+                found = _answer(own, s, t, eps, how, limit_ms)
+                if found:
+                    rows.append((q, *found))
             yield pd.DataFrame(rows, columns=["qid", "live_dist", "path", "done"])
 
     return _dealt(trips.select("qid", "source", "target")).mapInPandas(work, "qid long, live_dist long, path array<long>, done boolean")
 
 
+def _answer(own: Traffic, source: int, target: int, eps: float, how: str, limit_ms: float | None) -> tuple[int, list[int], bool] | None:
+    """(live distance, path, done) of one trip."""
+    if how in ("blocking", "detours"):
+        found = own.blocked(source, target, eps, limit_ms, detours=how == "detours")
+        return found and (found[0], found[1], found[3])
+    found = shortest(own.out, source, target, own.known if how == "smooth" else own.step)
+    if not found:
+        return None
+    path, done = own.fixed(found[1], eps, limit_ms) if how == "fixing" else (found[1], True)
+    own.longest = max(own.longest, found[0], own.along(path)[-1])
+    return own.along(path, smooth=False)[-1], path, done
+
+
+def _around(arcs: DataFrame, trips: DataFrame, live: str, eps: float, how: str, limit_ms: float | None, store: Callable[..., DataFrame], first: int | None = None) -> DataFrame:
+    """:func:`traffic_aware` where a source's task gets the nodes within a bound by the smaller of both weights, found by cells.
+
+    Labels up to the bound are settled before any other, and no part of a path that long, nor a shorter way between two of its
+    nodes, leaves these nodes. So an answer whose live label and whose paths' smooth lengths keep to the bound is that on the
+    whole graph, ties included; other trips are asked again with twice the bound, until no arc leaves the nodes. A bound
+    starts at ``first``, by default 64 mean weights.
+    """
+    arcs = arcs.select("arc_id", "tail", "head", "weight", F.col(live).alias("live"))
+    least = arcs.select("arc_id", "tail", "head", F.least("weight", "live").alias("weight"))
+    most = first or 1 + int(64 * (least.agg(F.avg("weight")).first()[0] or 0))
+    open_ = store(trips.select("qid", "source", "target"))
+    answered = None
+    while not open_.isEmpty():
+        starts = open_.select("source", F.lit(0).cast("long").alias("departure"))
+        near = store(by_cells(least, starts, lambda _: lambda d, w, p: d + w, store, most=most, parts=8).select("source", "node"))
+        inside = near.select("source", F.col("node").alias("head"), F.lit(True).alias("inside"))
+        own = store(arcs.join(near.withColumnRenamed("node", "tail"), "tail").join(inside, ["source", "head"], "left"))
+
+        def work(asked: pd.DataFrame, rows: pd.DataFrame, most: int = most) -> pd.DataFrame:
+            whole = bool(rows["inside"].notna().all())
+            p = rows[rows["inside"].notna()].sort_values(["tail", "arc_id"])
+            ids = np.unique(np.concatenate([p["tail"], p["head"], asked["source"], asked["target"]]).astype(np.int64))
+            place = lambda c: np.searchsorted(ids, c.to_numpy(np.int64))
+            g = Graph(place(p["tail"]), place(p["head"]), p["weight"].to_numpy(np.int64), p["arc_id"].to_numpy(np.int64))
+            traffic = Traffic(g.lists() + [[] for _ in range(len(ids) - g.n)], g.weight.tolist(), p["live"].tolist())
+            out = []
+            for q, s, t in zip(asked["qid"].tolist(), place(asked["source"]).tolist(), place(asked["target"]).tolist(), strict=True):
+                traffic.longest = 0
+                found = _answer(traffic, s, t, eps, how, limit_ms)
+                # nothing left that avoids what is forbidden: there may be more outside
+                sure = whole or bool(found and found[2] and max(found[0], traffic.longest) <= most)
+                out.append((q, found[0], ids[found[1]].tolist(), found[2], sure) if found else (q, None, None, None, sure))
+            return pd.DataFrame(out, columns=["qid", "live_dist", "path", "done", "sure"]).astype({"live_dist": "Int64", "done": "boolean"})
+
+        asked = open_.groupBy("source").cogroup(own.groupBy("source"))
+        found = store(asked.applyInPandas(lambda t, f: work(t, f) if len(t) else pd.DataFrame({c: [] for c in ("qid", "live_dist", "path", "done", "sure")}), "qid long, live_dist long, path array<long>, done boolean, sure boolean"))
+        ready = found.where("sure AND path IS NOT NULL").drop("sure")
+        answered = ready if answered is None else answered.union(ready)
+        open_ = store(open_.join(found.where("NOT sure").select("qid"), "qid", "left_semi"))
+        most *= 2
+    return answered if answered is not None else open_.selectExpr("qid", "0L AS live_dist", "array(0L) AS path", "true AS done")
+
+
 def td_traffic_aware(arcs: DataFrame, trips: DataFrame, eps: float, how: str = "blocking", limit_ms: float | None = TIME_LIMIT_MS, period: int = PERIOD) -> DataFrame:
     """:func:`traffic_aware` at the time of day: ``arcs(..., weight, ttf)``, ``trips(qid, source, target, departure)``; ``live_dist`` is the travel time."""
     if how not in HOW:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arterial.functions import plf
-from arterial.operators import catchup, cells, experiments, hierarchy, lazy, paths, search, td
+from arterial.operators import alternatives, catchup, cells, experiments, hierarchy, lazy, paths, search, td
 from arterial.plans import extended, queries, served, timed  # noqa: F401
 from arterial.plans.storage import storer
 from arterial.schema import INFINITY
@@ -167,3 +167,29 @@ def test_path_lengths_in_cells(spark, few_arcs, size):
     assert found == rows(hierarchy.paths(spark, own, weights, trips).select("qid", "dist"))
     walk = lazy.unpacked_paths(spark, own, weights, hierarchy.lower_neighbours(own), trips).select("qid", F.posexplode("path").alias("pos", "node"))
     assert found == rows(paths.cumulative(walk, few_arcs).groupBy("qid").agg(F.max("cum").alias("dist")))
+
+
+@pytest.mark.parametrize("how", ["blocking", "fixing"])
+def test_traffic_around_sources(spark, monkeypatch, how):
+    """Bounds that grow from 12; trips without a path and of one node, parallel arcs, live weights below the smooth ones; equal to answers on the whole graph."""
+    rng = random.Random(8)
+    grid = [(v, w) for v in range(100) for w in (v + 1, v - 1, v + 10, v - 10) if 0 <= w < 100]
+    made = [(i, a, b, w, rng.choice((w, w, 3 * w, max(0, w - 1)))) for i, (a, b) in enumerate([*grid, *grid[::9]]) if b != 55 for w in [rng.randrange(10)]]
+    arcs = spark.createDataFrame(made, "arc_id long, tail long, head long, weight long, live long").cache()
+    trips = spark.createDataFrame([(q, q % 6 * 7, q * 31 % 100) for q in range(30)] + [(30, 3, 55), (31, 55, 55)], "qid long, source long, target long")
+    whole = rows(alternatives.traffic_aware(arcs, trips, "live", 0.2, how, None))
+    monkeypatch.setattr(alternatives, "_shared", refuse)
+    own = alternatives.by_cells
+    monkeypatch.setattr(alternatives, "by_cells", lambda a, s, f, store, **named: own(a, s, f, store, 60, **named))
+    assert rows(alternatives._around(arcs, trips, "live", 0.2, how, None, storer(spark), 12)) == whole
+
+
+def test_traffic_without_the_graph(spark, monkeypatch):
+    whole = alternatives.traffic_aware
+    before = rows(whole(queries_arcs(spark), extended._nation_trips(spark, SF), "live", 0.2, "blocking", None).selectExpr("qid", "live_dist", "size(path)", "done"))
+    monkeypatch.setattr(alternatives, "_shared", refuse)
+    assert rows(queries.QUERIES["traffic_path_blocking"](spark, SF)) == before
+
+
+def queries_arcs(spark):
+    return extended.road.arcs(spark, SF).withColumn("live", F.expr("weight * IF(arc_id % 5 = 0, 3, 1)"))
