@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import cells
 from .hierarchy import dissection_order
 from .search import check_size
 
@@ -116,3 +119,50 @@ def labels(spark: SparkSession, own: Contraction, nodes: DataFrame, down: bool)
             yield pd.DataFrame(rows, columns=["node", "hub", "dist"]).astype("int64")
 
     return nodes.select("node").distinct().mapInPandas(work, "node long, hub long, dist long")
+
+
+def _without(f: pd.DataFrame, cell: int, shift: int) -> pd.DataFrame:
+    """A cell's arcs after the contraction of its nodes that go, but those beside one that goes elsewhere."""
+    tail, head = (f[c].to_numpy(np.int64) for c in ("tail", "head"))
+    ids, at = np.unique(np.concatenate([tail, head]), return_inverse=True)
+    t, h = at[: len(f)], at[len(f) :]
+    leaf, goes = np.empty(len(ids), np.int64), np.zeros(len(ids), bool)
+    leaf[at] = np.concatenate([f["leaf_t"].to_numpy(np.int64), f["leaf_h"].to_numpy(np.int64)])
+    goes[at] = np.concatenate([f["goes_t"].to_numpy(bool), f["goes_h"].to_numpy(bool)])
+    outside = goes & (leaf >> shift != cell)
+    ready = goes & ~outside
+    ready[t[outside[h]]] = ready[h[outside[t]]] = False
+    order = np.concatenate([np.flatnonzero(ready), np.flatnonzero(~ready)])
+    own = Contraction(order, t, h, f["weight"].to_numpy(np.int64), count=int(ready.sum()))
+    rows = [(order[a], order[b], w) for a, arcs in enumerate(own.overlay) if not ready[order[a]] for b, w in arcs.items()]
+    a, b, w = np.array(rows, np.int64).reshape(-1, 3).T
+    return pd.DataFrame({"tail": ids[a], "head": ids[b], "weight": w, "leaf_t": leaf[a], "leaf_h": leaf[b], "goes_t": goes[a], "goes_h": goes[b]})
+
+
+def _going(shift: int) -> Callable:
+    return lambda key, frame: _without(frame, int(key[0]), shift)
+
+
+def overlay(arcs: DataFrame, nodes: DataFrame, gone: str, store: Callable[..., DataFrame], size: int | None = None) -> DataFrame:
+    """``tail, head, weight`` among the nodes where ``gone`` (an expression of ``node``) is false, with the distances of ``arcs``; no memory holds the graph.
+
+    Leaves of ``nodes(node, x, y)`` and rounds as in :mod:`cells`: a task gets the arcs at the nodes that go in its cell, and those among
+    their neighbours there as witnesses. Witnesses elsewhere aren't seen, so there may be more shortcuts than by :class:`Contraction` on
+    the whole. A task of the last round holds the arcs of the nodes that are still to go.
+    """
+    at, bits = cells.leaves(nodes, size or cells.LEAF)
+    at = store(at.selectExpr("node", "leaf", f"({gone}) AS goes"))
+    t, h = (at.select(F.col("node").alias(c), F.col("leaf").alias(f"leaf_{c[0]}"), F.col("goes").alias(f"goes_{c[0]}")) for c in ("tail", "head"))
+    keys = ["tail", "head", "leaf_t", "leaf_h", "goes_t", "goes_h"]
+    least = lambda df: df.groupBy(*keys).agg(F.min("weight").alias("weight")).select("tail", "head", "weight", *keys[2:])
+    rest = store(least(arcs.where("tail <> head").select("tail", "head", "weight").join(t, "tail").join(h, "head")))
+    kind = "tail long, head long, weight long, leaf_t long, leaf_h long, goes_t boolean, goes_h boolean"
+    for shift in cells._rounds(bits):
+        going, kept = rest.where("goes_t OR goes_h"), rest.where("NOT goes_t AND NOT goes_h")
+        cells_of = F.array_distinct(F.array_compact(F.array(*(F.expr(f"IF(goes_{e}, shiftright(leaf_{e}, {shift}), NULL)") for e in "th"))))
+        asked = store(going.withColumn("cell", F.explode(cells_of)))
+        beside = store(asked.where("NOT goes_t").select("cell", F.col("tail").alias("node")).union(asked.where("NOT goes_h").select("cell", "head")).distinct())
+        witnesses = kept.join(beside.withColumnRenamed("node", "tail"), "tail").join(beside.withColumnRenamed("node", "head"), ["cell", "head"]).select(asked.columns)
+        out = asked.union(witnesses).groupBy("cell").applyInPandas(_going(shift), kind)
+        rest = store(least(kept.union(out.select(kept.columns))))
+    return rest.select("tail", "head", "weight")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arterial.functions import plf
-from arterial.operators import alternatives, catchup, cells, experiments, hierarchy, lazy, paths, search, td
+from arterial.operators import alternatives, catchup, cells, contraction, experiments, hierarchy, lazy, paths, search, td
 from arterial.plans import extended, queries, served, timed  # noqa: F401
 from arterial.plans.storage import storer
 from arterial.schema import INFINITY
@@ -216,3 +216,22 @@ def test_depth_first_in_cells(spark, few_arcs, size):
     again = cells.reordered(own, few_arcs.where("tail <> 17 AND head <> 17"), turned)
     named = lambda c, names: sorted((*sorted((names[a], names[b])),) for a, b in c.chordal().select("tail", "head").collect())
     assert named(own, node) == named(again, {r: v for v, r in new.items()})
+
+
+@pytest.mark.parametrize("size", [9, 4000])
+def test_overlay_in_cells(spark, few_arcs, size):
+    """Weights of 0, loops and parallel arcs; distances among the kept nodes stay, and no other node is left."""
+    nodes = spark.createDataFrame([(v, float(v % 8), float(v // 8)) for v in range(60)], "node long, x double, y double")
+    found = contraction.overlay(few_arcs, nodes, "node % 3 > 0", storer(spark), size).selectExpr("tail * 100 + head AS arc_id", "*")
+    assert found.where("tail % 3 > 0 OR head % 3 > 0").isEmpty()
+    sources = spark.range(0, 60, 3).selectExpr("id AS source")
+    some = lambda arcs: rows(search.one_to_all(arcs, sources).where("node % 3 = 0").select("source", "node", "dist"))
+    assert some(found) == some(few_arcs)
+
+
+def test_overlay_without_the_graph(spark, monkeypatch):
+    for refused in ("collect", "one_to_all"):
+        monkeypatch.setattr(search, refused, refuse)
+    monkeypatch.setattr(served, "_vectors", refuse)
+    monkeypatch.setattr(cells, "LEAF", 300)
+    same_as_sql(spark, "overlay_distances")
