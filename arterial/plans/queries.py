@@ -535,7 +535,8 @@ def gps_day_buckets(spark, sf_dir):
     from ..sources.files import day_buckets
 
     rows = road.table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), "value")
-    return day_buckets(rows).withColumn("mean", F.round("mean", 6))
+    # halves are told at the product, as the SQL's round does
+    return day_buckets(rows).withColumn("mean", F.round(F.col("mean") * 1_000_000) / 1_000_000)
 
 
 @_query(f"""WITH {_ARCS}, e AS (SELECT arc_id, tail, head, weight * 100 AS dist FROM arcs),

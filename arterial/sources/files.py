@@ -85,9 +85,15 @@ def link_rows(arcs: DataFrame) -> DataFrame:
 
 
 def day_buckets(points: DataFrame, minutes: int = 15, least: int = 3) -> DataFrame:
-    """Mean ``value`` for each ``key`` and bucket of the day of ``ts_ms``; buckets of fewer than ``least`` rows go."""
+    """Mean ``value`` for each ``key`` and bucket of the day of ``ts_ms``; buckets of fewer than ``least`` rows go.
+
+    Values of up to 14 decimals are summed up as decimals, so the order of the rows doesn't matter; a bucket with others has the mean of doubles.
+    """
     bucket = F.expr(f"(ts_ms div {minutes * 60000}) % {24 * 60 // minutes}").alias("bucket")
-    return points.groupBy("key", bucket).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean")).where(F.col("n") >= least)
+    rows = points.select("key", bucket, "value", F.expr("try_cast(value AS DECIMAL(28, 14))").alias("exact"))
+    plain = F.bool_and(F.col("exact").cast("double").eqNullSafe(F.col("value")))
+    mean = F.when(plain, F.sum("exact").cast("double") / F.nullif(F.count("exact"), F.lit(0))).otherwise(F.avg("value"))
+    return rows.groupBy("key", "bucket").agg(F.count(F.lit(1)).alias("n"), mean.alias("mean")).where(F.col("n") >= least)
 
 
 def live_triples(rows: DataFrame, t_live: int, period: int = 86_400_000) -> DataFrame:

@@ -1,5 +1,6 @@
 """Queries that must not gather the graph, and their operators on small random graphs."""
 
+import datetime
 import random
 from pathlib import Path
 
@@ -99,6 +100,23 @@ def test_profiles_in_regions(spark, monkeypatch):
     assert rows(td.profiles(arcs, pairs, store=storer(spark))) == whole
 
 
+def test_bucket_means_whatever_the_order(spark, tmp_path):
+    """32 values of two decimals: a mean may end in half of the sixth decimal, which a sum of doubles misses."""
+    rng = random.Random(5)
+    groups = [[rng.randrange(20_000) for _ in range(32)] for _ in range(400)]
+    halves = {k: (sum(cents) * 10_000 // 16 + 1) // 2 / 1_000_000 for k, cents in enumerate(groups)}
+    at = datetime.datetime(2024, 1, 1, 8)
+    for turn in (1, -1):
+        events = [(k, at, c / 100) for k, cents in enumerate(groups) for c in sorted(cents)[::turn]]
+        events += [(1000, at, None)] * 3 + [(1001, at, v) for v in (1e300, 2e300, 3e300)] + [(1002, at, v) for v in (1.0, 2.0, float("nan"))]
+        folder = tmp_path / str(turn)
+        spark.createDataFrame(events, "user_id long, ts timestamp, value double").coalesce(1).write.parquet(str(folder / "events.parquet"))
+        found = {r["key"]: (r["bucket"], r["n"], r["mean"]) for r in queries.QUERIES["gps_day_buckets"](spark, str(folder)).collect()}
+        assert found.pop(1000)[1:] == (3, None) and found.pop(1001)[2] == pytest.approx(2e300) and np.isnan(found.pop(1002)[2])
+        assert {k: v[2] for k, v in found.items()} == halves
+        assert {v[1] for v in found.values()} == {32}
+
+
 def small_cells(monkeypatch, size=37):
     """No hierarchy on the driver, and cells so small that there are several rounds."""
     monkeypatch.setattr(hierarchy, "build", refuse)
